@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import operator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import winter_year
@@ -13,12 +13,16 @@ from isotherm.operators.series import yearly_means
 from isotherm.schema import COVERAGE, FULL_YEAR, HURRICANE, KMH, SNOW, STORM, THRESHOLDS
 
 TEST = {">=": operator.ge, "<": operator.lt}
-STATION = Window.partitionBy("station")      # over one row per year
+
+
+def _station() -> WindowSpec:
+    """Over one row per year."""
+    return Window.partitionBy("station")
 
 
 def _usual(value: str, counted: Column) -> Column:
     """Mean over the years of the station that count."""
-    return F.avg(F.when(counted, F.col(value))).over(STATION)
+    return F.avg(F.when(counted, F.col(value))).over(_station())
 
 
 def threshold_days(c: DataFrame, nv: int = 1991, min_days: int = FULL_YEAR) -> DataFrame:
@@ -40,7 +44,7 @@ def stripes(c: DataFrame, nv: int = 1991, min_days: int = FULL_YEAR) -> DataFram
     rows = yearly_means(c, "tmk", min_days)
     return rows.withColumns({
         "bezug": _usual("m", in_period(nv)),
-        "bezug_jahre": F.count(F.when(in_period(nv), 1)).over(STATION),
+        "bezug_jahre": F.count(F.when(in_period(nv), 1)).over(_station()),
     }).select("station", "jahr", "m", (F.col("m") - F.col("bezug")).alias("abw"), "bezug",
               "bezug_jahre")
 
