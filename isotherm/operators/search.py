@@ -31,12 +31,11 @@ def _queries(queries: DataFrame) -> DataFrame:
 
 def _grams(text: Column) -> Column:
     """All pieces of one to three characters, each once."""
-    pieces = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (g - 1), F.lit(1))),
-                    lambda i, g=g: F.substring(text, i, F.lit(g)))
-        for g in range(1, GRAM + 1)
-    ]
-    return F.array_distinct(F.concat(*pieces))
+    def of_length(g):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (g - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(g)))
+
+    return F.array_distinct(F.concat(*[of_length(g) for g in range(1, GRAM + 1)]))
 
 
 def _meet(queries: DataFrame, texts: DataFrame, indexed: Column) -> DataFrame:

@@ -64,7 +64,7 @@ def unpack_archives(archives: DataFrame) -> DataFrame:
 
 def _headers(lines: DataFrame) -> DataFrame:
     """Per file its first line, the positions of the known fields, and what is wrong with it."""
-    names = F.transform(F.split(F.col("_kopf"), ";"), F.trim)
+    names = F.transform(F.split(F.col("_kopf"), ";"), lambda n: F.trim(n))
     first = lines.groupBy("path").agg(F.min(F.struct("ord", "value")).alias("r")).select(
         "path", F.col("r.ord").alias("_ord"), F.trim(F.rtrim(F.col("r.value"), F.lit("\r"))).alias("_kopf"))
     ok = F.forall("_namen", lambda n: n.rlike(FIELD_NAME)) & (

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verification import analyses, daily, hourly
+from verification import analyses, daily, hourly, loading, places
 
-PARTS = [daily, analyses, hourly]
+PARTS = [daily, analyses, hourly, places, loading]
 
 
 def queries() -> dict:
