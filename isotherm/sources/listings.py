@@ -38,7 +38,7 @@ def parse_stations(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
     """The list is Latin-1, which the text source does not read."""
-    text = F.decode("content", F.lit(ENCODING))
+    text = F.decode("content", ENCODING)
     lines = spark.read.format("binaryFile").load(path).select(
         F.explode(F.split(text, r"\r\n|\r|\n")).alias("value"))
     return parse_stations(lines)
