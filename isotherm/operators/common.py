@@ -131,17 +131,43 @@ def runs(marked: DataFrame, value: str) -> DataFrame:
     )
 
 
-def dense_year_sums(c: DataFrame, column: str) -> DataFrame:
-    """Per station, year with a value and k in 0..365: ``summe`` and ``anzahl`` (0 where empty)."""
+def year_curves(c: DataFrame, column: str) -> DataFrame:
+    """Per station and year with a value: ``kurve``, the running sum at k = 0..last k, and ``tage``.
+
+    A day without a value repeats the sum before it. One shuffle by (station, year); what
+    leaves it is one row per year instead of 366.
+    """
     from isotherm.functions.calendar import day_index
 
     rows = with_value(c, column).select(
         "station", F.year("datum").alias("jahr"), day_index(F.col("datum")).alias("k"),
-        F.col(column).alias("summe"), F.lit(1).alias("anzahl"))
-    grid = (
-        rows.select("station", "jahr").distinct()
-        .select("station", "jahr", F.explode(F.sequence(F.lit(0), F.lit(365))).alias("k"),
-                F.lit(0.0).alias("summe"), F.lit(0).alias("anzahl"))
-    )
-    return rows.unionByName(grid).groupBy("station", "jahr", "k").agg(
-        F.sum("summe").alias("summe"), F.sum("anzahl").alias("anzahl"))
+        F.col(column).alias("_v"))
+    year = Window.partitionBy("station", "jahr").orderBy("k")
+    steps = rows.select(
+        "station", "jahr", "k", F.sum("_v").over(year).alias("s"),
+        (F.coalesce(F.lead("k").over(year), F.col("k") + 1) - F.col("k")).alias("n"))
+    listed = steps.groupBy("station", "jahr").agg(
+        F.sort_array(F.collect_list(F.struct("k", "s", "n"))).alias("_l"),
+        F.min("k").alias("_k0"), F.count(F.lit(1)).alias("tage"))
+    held = F.flatten(F.transform("_l", lambda x: F.array_repeat(x["s"], x["n"])))
+    return listed.select("station", "jahr", "tage", F.concat(
+        F.array_repeat(F.lit(0.0), F.col("_k0")), held).alias("kurve"))
+
+
+def year_rests(c: DataFrame, column: str) -> DataFrame:
+    """Per station and year: ``rest``, at index k the sum and number of values from k on."""
+    from isotherm.functions.calendar import day_index
+
+    rows = with_value(c, column).select(
+        "station", F.year("datum").alias("jahr"), day_index(F.col("datum")).alias("k"),
+        F.col(column).alias("_v"))
+    year = Window.partitionBy("station", "jahr")
+    back = year.orderBy(F.desc("k"))
+    steps = rows.select(
+        "station", "jahr", "k", F.sum("_v").over(back).alias("s"), F.count("_v").over(back).alias("a"),
+        (F.col("k") - F.coalesce(F.lead("k").over(back), F.lit(-1))).alias("n"))
+    listed = steps.groupBy("station", "jahr").agg(
+        F.sort_array(F.collect_list(F.struct("k", "s", "a", "n"))).alias("_l"))
+    held = F.flatten(F.transform("_l", lambda x: F.array_repeat(
+        F.struct(x["s"].alias("s"), x["a"].alias("a")), x["n"])))
+    return listed.select("station", "jahr", held.alias("rest"))

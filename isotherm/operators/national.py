@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import day_index, month_day
 from isotherm.functions.numbers import displayed
-from isotherm.operators.records import by_category, shown_value, with_category
+from isotherm.operators.records import (
+    best_days, bounds, by_category, promising, shown_value, with_category,
+)
 from isotherm.schema import CATEGORIES, CATEGORY_ORDER, SNAPSHOT
 
 # ---- fixed values: display factor and digits of the snapshot's measures ------
@@ -110,11 +112,11 @@ def new_records(c: DataFrame, days: int = 365) -> DataFrame:
     """
     stand = newest_day(c)
     since = F.date_sub(stand, days - 1)
-    values = by_category(c)
-    group = Window.partitionBy("station", "kat").orderBy("key", "datum")
+    # a day behind the bound of the history has ten better days before it: it neither places
+    # nor counts for another
+    values = promising(c, bounds(c.where(F.col("datum") < since), RECORD_DEPTH))
     best = (
-        values.where(F.col("datum") < since)
-        .withColumn("_nr", F.row_number().over(group)).where(F.col("_nr") <= RECORD_DEPTH)
+        best_days(values.where(F.col("datum") < since), RECORD_DEPTH)
         .groupBy("station", "kat")
         .agg(F.collect_list(F.struct("key", "datum")).alias("_alt"))
     )

@@ -53,24 +53,33 @@ def _around(days: DataFrame, means: list[str], pooled: str) -> DataFrame:
             "pos", "werte", *[f"{a}_{m}" for m in means for a in "sn"])).alias("tage"))
     )
 
+    first = F.col("stueck") * CHUNK
+    by_day = F.map_from_entries(F.transform("tage", lambda d: F.struct(d["pos"], d)))
+    # one slot per calendar day, so that a target's neighbours are a slice of fifteen
+    slots = F.transform(F.sequence(first - REACH, first + (CHUNK - 1 + REACH)),
+                        lambda pos: F.try_element_at(by_day, pos))
+    filled = chunks.select("station", "stueck", slots.alias("_slots"))
+
     def pooled_day(target):
-        near = F.filter("tage", lambda d: F.abs(d["pos"] - target) <= REACH)
+        near = F.filter(F.slice("_slots", target - first + 1, 2 * REACH + 1), lambda d: d.isNotNull())
+        zero = F.struct(F.lit(0).alias("_tage"), *[
+            v for m in means for v in (F.lit(0.0).alias(f"s_{m}"), F.lit(0).cast("bigint").alias(f"n_{m}"))])
 
-        def total(name, zero):
-            return F.aggregate(near, zero, lambda acc, d: acc + F.coalesce(d[name], zero))
+        def add(acc, d):
+            return F.struct((acc["_tage"] + 1).alias("_tage"), *[
+                v for m in means for v in (
+                    (acc[f"s_{m}"] + F.coalesce(d[f"s_{m}"], F.lit(0.0))).alias(f"s_{m}"),
+                    (acc[f"n_{m}"] + d[f"n_{m}"]).alias(f"n_{m}"))])
 
         return F.struct(
-            target.alias("k"), F.size(near).alias("_tage"),
-            F.sort_array(F.flatten(F.transform(near, lambda d: d["werte"]))).alias("_pool"),
-            *[F.try_divide(total(f"s_{m}", F.lit(0.0)), total(f"n_{m}", F.lit(0).cast("bigint")))
-              .alias(m) for m in means])
+            target.alias("k"), F.aggregate(near, zero, add).alias("_a"),
+            F.sort_array(F.flatten(F.transform(near, lambda d: d["werte"]))).alias("_pool"))
 
-    first = F.col("stueck") * CHUNK
     targets = F.transform(F.sequence(first, first + (CHUNK - 1)), pooled_day)
     return (
-        chunks.select("station", F.inline(targets))
-        .where(F.col("_tage") > 0)
-        .select("station", "k", *means,
+        filled.select("station", F.inline(targets))
+        .where(F.col("_a._tage") > 0)
+        .select("station", "k", *[F.try_divide(F.col(f"_a.s_{m}"), F.col(f"_a.n_{m}")).alias(m) for m in means],
                 quantile_of_sorted(F.col("_pool"), 0.1).alias("p10"),
                 quantile_of_sorted(F.col("_pool"), 0.9).alias("p90"))
     )

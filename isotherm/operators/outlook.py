@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import day_index, month_day, year_end, year_length
-from isotherm.functions.numbers import quantiles
-from isotherm.operators.common import dense_year_sums, in_years, last_days, with_value
+from isotherm.functions.numbers import quantile_of_sorted
+from isotherm.operators.common import in_years, last_days, with_value, year_rests
 from isotherm.schema import COVERAGE, FORECAST_YEARS, FULL_YEAR
 
 PS = (0.1, 0.5, 0.9)
@@ -72,18 +72,13 @@ def forecast_trajectory(c: DataFrame, today: dt.date, compare_years: int = FOREC
                         share: float = COVERAGE) -> DataFrame:
     """What the forecast would have said on every measured day of the running year.
 
-    Every comparison year is reduced to 366 sums first; its rest after a day is a reverse
-    running sum, joined on the next calendar day.
+    Every comparison year is one array of its remaining sums, and a station's own year one
+    array of days: they meet in one row per station, and no day is paired with a year in rows.
     """
     year = today.year
     running = last_days(c).where(F.col("jahr_letzter") == year).select("station")
     history = in_years(c, year - compare_years, year - 1).join(running, "station", "left_semi")
-    backwards = Window.partitionBy("station", "jahr").orderBy(F.desc("k")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    rests = dense_year_sums(history, "tmk").select(
-        "station", (F.col("k") - 1).alias("k"),
-        F.sum("summe").over(backwards).alias("r_summe"),
-        F.sum("anzahl").over(backwards).alias("r_anzahl"))
+    rests = year_rests(history, "tmk").groupBy("station").agg(F.collect_list("rest").alias("_jahre"))
     forwards = Window.partitionBy("station", F.year("datum")).orderBy("datum").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     end = F.lit(dt.date(year, 12, 31))
@@ -94,16 +89,22 @@ def forecast_trajectory(c: DataFrame, today: dt.date, compare_years: int = FOREC
                 F.avg("tmk").over(forwards).alias("m"), F.count("tmk").over(forwards).alias("n"),
                 F.datediff(end, F.col("datum")).alias("rest"))
         .where((F.col("rest") > 0) & (F.col("n") >= (length - F.col("rest")) * share))
+        # at most 366 days
+        .groupBy("station").agg(F.collect_list(F.struct("datum", "k", "m", "rest")).alias("_tage"))
     )
-    paired = (
-        own.join(rests, ["station", "k"])
-        .where((F.col("r_anzahl") > 0) & (F.col("r_anzahl") >= F.col("rest") * share))
-        .withColumn("r", F.col("r_summe") / F.col("r_anzahl"))
-    )
-    q = quantiles(paired, ["station", "datum", "m", "rest"], "r", PS)
 
-    def ending(i):
-        return (F.col("m") * (length - F.col("rest")) + F.col("q")[i] * F.col("rest")) / length
+    def compared(day):
+        left = F.transform("_jahre", lambda j: F.get(j, day["k"] + 1))
+        enough = F.filter(left, lambda x: x["a"] >= day["rest"] * share)
+        return F.struct(day["datum"].alias("datum"), day["m"].alias("m"), day["rest"].alias("rest"),
+                        F.sort_array(F.transform(enough, lambda x: x["s"] / x["a"])).alias("_w"))
+
+    days = own.join(rests, "station").select("station", F.inline(F.transform("_tage", compared)))
+
+    def ending(p):
+        rest = quantile_of_sorted(F.col("_w"), p)
+        return (F.col("m") * (length - F.col("rest")) + rest * F.col("rest")) / length
 
-    return q.select("station", "datum", ending(0).alias("tief"), ending(1).alias("mitte"),
-                    ending(2).alias("hoch"), "m")
+    low, middle, high = map(ending, PS)
+    return days.where(F.size("_w") > 0).select(
+        "station", "datum", low.alias("tief"), middle.alias("mitte"), high.alias("hoch"), "m")

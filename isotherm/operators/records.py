@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,19 +52,53 @@ def permitted_depth(c: DataFrame) -> DataFrame:
     return c.groupBy("station").agg(years.alias("jahre")).withColumn("erlaubt", n)
 
 
-def records(c: DataFrame, n: int = 10, limit_depth: bool = False) -> DataFrame:
-    """The best ``n`` days of every category; equal values share the place of the first.
+def bounds(c: DataFrame, n: int = 10) -> DataFrame:
+    """Per station and category a key that at least ``n`` values do not exceed, else NULL.
+
+    The n-th of the monthly bests: every one of them is the value of a day, so the n best days
+    lie at or before it. A hash aggregation of the days, then one row per month.
+    """
+    best = [F.min(-F.col(col) if direction == "hoch" else F.col(col)).alias(f"_{i}")
+            for i, col, direction, *_ in CATEGORIES]
+    months = c.groupBy("station", F.trunc("datum", "month").alias("_monat")).agg(*best)
+    nth = [F.get(F.sort_array(F.collect_list(f"_{i}")), F.lit(n - 1)) for i, *_ in CATEGORIES]
+    return months.groupBy("station").agg(*[x.alias(f"_{i}") for i, x in enumerate(nth)]).select(
+        "station", F.array(*[f"_{i}" for i, *_ in CATEGORIES]).alias("_grenze"))
+
+
+def promising(c: DataFrame, limits: DataFrame) -> DataFrame:
+    """Values by category that do not exceed their bound.
+
+    The days are tested before they are spread over the categories, so only the few that
+    pass in some category are copied.
+    """
+    keys = [-F.col(col) if direction == "hoch" else F.col(col) for _, col, direction, *_ in CATEGORIES]
+    within = [key.isNotNull() & (F.get("_grenze", F.lit(i)).isNull() | (key <= F.get("_grenze", F.lit(i))))
+              for i, key in enumerate(keys)]
+    columns = list(dict.fromkeys(cat[1] for cat in CATEGORIES))
+    days = c.select("station", "datum", *columns).join(limits, "station", "left").where(
+        reduce(operator.or_, within))
+    entries = F.filter(F.array(*[F.when(w, F.struct(F.lit(i).alias("kat"), key.alias("key")))
+                                 for i, (w, key) in enumerate(zip(within, keys))]),
+                       lambda e: e.isNotNull())
+    return days.select("station", "datum", F.inline(entries))
+
+
+def best_days(values: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` days of every category, earlier days first among equals.
 
     The row number is filtered directly above its window, so that every task cuts its own
     rows to ``n`` per (station, category) before the shuffle.
     """
-    values = by_category(c)
+    order = Window.partitionBy("station", "kat").orderBy("key", "datum")
+    return values.withColumn("_nr", F.row_number().over(order)).where(F.col("_nr") <= n)
+
+
+def records(c: DataFrame, n: int = 10, limit_depth: bool = False) -> DataFrame:
+    """The best ``n`` days of every category; equal values share the place of the first."""
     group = Window.partitionBy("station", "kat")
-    best = (
-        values.withColumn("_nr", F.row_number().over(group.orderBy("key", "datum")))
-        .where(F.col("_nr") <= n)
-        .withColumn("platz", F.rank().over(group.orderBy("key")))
-    )
+    best = best_days(promising(c, bounds(c, n)), n).withColumn(
+        "platz", F.rank().over(group.orderBy("key")))
     # days with a value: one count per column, not one per exploded row
     columns = sorted({cat[1] for cat in CATEGORIES})
     counts = c.groupBy("station").agg(*[F.count(x).alias(x) for x in columns]).select(

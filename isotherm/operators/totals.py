@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import month_length
-from isotherm.functions.numbers import displayed, quantiles
+from isotherm.functions.numbers import displayed, quantile_of_sorted
 from isotherm.operators.common import (
-    dense_year_sums, earliest, in_period, in_years, of_year, with_value,
+    earliest, in_period, in_years, of_year, with_value, year_curves,
 )
 from isotherm.operators.waves import dry_spells
 from isotherm.schema import COVERAGE, FULL_YEAR, WET
@@ -48,33 +48,27 @@ def totals_rank(c: DataFrame, column: str = "rsk", nv: int = 1991,
     })
 
 
-def _curves(c: DataFrame, column: str) -> DataFrame:
-    """Running sum by calendar day, 366 points for each year with a value."""
-    w = Window.partitionBy("station", "jahr").orderBy("k").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("station", "jahr")
-    return dense_year_sums(c, column).withColumns({
-        "kumuliert": F.sum("summe").over(w),
-        "letzt_k": F.max(F.when(F.col("anzahl") > 0, F.col("k"))).over(whole),
-        "tage": F.sum("anzahl").over(whole),
-    })
-
-
 def cumulative(c: DataFrame, column: str = "rsk", jahr: int | None = None) -> DataFrame:
     """The year's curve up to its last day with a value; a missing day adds nothing."""
-    return (
-        _curves(of_year(c, jahr, column).drop("jahr"), column)
-        .where(F.col("k") <= F.col("letzt_k")).select("station", "jahr", "k", "kumuliert")
-    )
+    curves = year_curves(of_year(c, jahr, column).drop("jahr"), column)
+    return curves.select("station", "jahr", F.posexplode("kurve").alias("k", "kumuliert"))
 
 
 def cumulative_band(c: DataFrame, column: str = "rsk", nv: int = 1991,
                     min_days: int = FULL_YEAR) -> DataFrame:
-    """10, 50 and 90 % over the curves of the period's full years."""
-    full = _curves(in_years(c, nv, nv + 29), column).where(F.col("tage") >= min_days)
-    return quantiles(full, ["station", "k"], "kumuliert", (0.1, 0.5, 0.9)).select(
-        "station", "k", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"),
-        F.col("q")[2].alias("p90"), F.col("n").alias("jahre"))
+    """10, 50 and 90 % over the curves of the period's full years (at most thirty a station)."""
+    full = year_curves(in_years(c, nv, nv + 29), column).where(F.col("tage") >= min_days)
+    bundles = full.groupBy("station").agg(F.collect_list("kurve").alias("_k"))
+
+    def at(k):
+        values = F.transform("_k", lambda a: F.get(a, F.least(k, F.size(a) - 1)))
+        return F.struct(k.alias("k"), F.sort_array(values).alias("_w"))
+
+    days = bundles.select("station", F.inline(F.transform(F.sequence(F.lit(0), F.lit(365)), at)))
+    w = F.col("_w")
+    return days.select(
+        "station", "k", quantile_of_sorted(w, 0.1).alias("p10"), quantile_of_sorted(w, 0.5).alias("p50"),
+        quantile_of_sorted(w, 0.9).alias("p90"), F.size(w).cast("bigint").alias("jahre"))
 
 
 def monthly_totals(c: DataFrame, column: str = "rsk", jahr: int | None = None, nv: int = 1991,
