@@ -112,9 +112,9 @@ def new_records(c: DataFrame, days: int = 365) -> DataFrame:
     """
     stand = newest_day(c)
     since = F.date_sub(stand, days - 1)
-    # a day behind the bound of the history has ten better days before it: it neither places
-    # nor counts for another
-    values = promising(c, bounds(c.where(F.col("datum") < since), RECORD_DEPTH))
+    # a day of the window no better than the bound of the history has ten days before it that
+    # are as good: it neither places nor counts for another
+    values = promising(c, bounds(c.where(F.col("datum") < since), RECORD_DEPTH), since)
     best = (
         best_days(values.where(F.col("datum") < since), RECORD_DEPTH)
         .groupBy("station", "kat")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import day_index
-from isotherm.functions.numbers import quantile_of_sorted
 from isotherm.operators.common import in_years, with_value
 
 REACH = 7
@@ -20,7 +23,8 @@ def _around(days: DataFrame, means: list[str], pooled: str) -> DataFrame:
     A day goes to the chunk of calendar days it lies in, and again to the next chunk if it is
     within reach of it: 1.23 copies instead of the 15 that a copy per target day would cost.
     One shuffle by (station, chunk) then serves everything that follows and splits a heavy
-    station six ways; a chunk holds at most 75 calendar days of the thirty years.
+    station six ways; a chunk holds at most 75 calendar days of the thirty years. The moving
+    sort of a chunk is done on arrays: as lambda expressions it took most of the time.
     """
     k, chunk = F.col("k"), F.floor(F.col("k") / CHUNK).cast("int")
     inside = F.pmod(k, F.lit(CHUNK))
@@ -42,47 +46,74 @@ def _around(days: DataFrame, means: list[str], pooled: str) -> DataFrame:
         .select("station", F.explode(places).alias("p"), *wanted)
         .select("station", "p.stueck", "p.pos", *wanted)
         .repartition("station", "stueck")
+        .sortWithinPartitions("station", "stueck", "pos")
     )
-    chunks = (
-        rows.groupBy("station", "stueck", "pos")
-        .agg(F.collect_list(pooled).alias("werte"),
-             *[F.sum(m).alias(f"s_{m}") for m in means],
-             *[F.count(m).alias(f"n_{m}") for m in means])
-        .groupBy("station", "stueck")
-        .agg(F.collect_list(F.struct(
-            "pos", "werte", *[f"{a}_{m}" for m in means for a in "sn"])).alias("tage"))
-    )
-
-    first = F.col("stueck") * CHUNK
-    by_day = F.map_from_entries(F.transform("tage", lambda d: F.struct(d["pos"], d)))
-    # one slot per calendar day, so that a target's neighbours are a slice of fifteen
-    slots = F.transform(F.sequence(first - REACH, first + (CHUNK - 1 + REACH)),
-                        lambda pos: F.try_element_at(by_day, pos))
-    filled = chunks.select("station", "stueck", slots.alias("_slots"))
-
-    def pooled_day(target):
-        near = F.filter(F.slice("_slots", target - first + 1, 2 * REACH + 1), lambda d: d.isNotNull())
-        zero = F.struct(F.lit(0).alias("_tage"), *[
-            v for m in means for v in (F.lit(0.0).alias(f"s_{m}"), F.lit(0).cast("bigint").alias(f"n_{m}"))])
-
-        def add(acc, d):
-            return F.struct((acc["_tage"] + 1).alias("_tage"), *[
-                v for m in means for v in (
-                    (acc[f"s_{m}"] + F.coalesce(d[f"s_{m}"], F.lit(0.0))).alias(f"s_{m}"),
-                    (acc[f"n_{m}"] + d[f"n_{m}"]).alias(f"n_{m}"))])
-
-        return F.struct(
-            target.alias("k"), F.aggregate(near, zero, add).alias("_a"),
-            F.sort_array(F.flatten(F.transform(near, lambda d: d["werte"]))).alias("_pool"))
-
-    targets = F.transform(F.sequence(first, first + (CHUNK - 1)), pooled_day)
-    return (
-        filled.select("station", F.inline(targets))
-        .where(F.col("_a._tage") > 0)
-        .select("station", "k", *[F.try_divide(F.col(f"_a.s_{m}"), F.col(f"_a.n_{m}")).alias(m) for m in means],
-                quantile_of_sorted(F.col("_pool"), 0.1).alias("p10"),
-                quantile_of_sorted(F.col("_pool"), 0.9).alias("p90"))
-    )
+    names = [*means, "p10", "p90"]
+    schema = "station int, k int, " + ", ".join(f"{n} double" for n in names)
+
+    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Chunks come one after another; the last of a batch may go on in the next."""
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pd.concat([rest, batch], ignore_index=True)
+            starts = _starts(batch)
+            if len(starts):
+                yield from _pooled(batch.iloc[:starts[-1]], starts[:-1], means, pooled, names)
+                rest = batch.iloc[starts[-1]:]
+        if rest is not None and len(rest):
+            yield from _pooled(rest, _starts(rest), means, pooled, names)
+
+    return rows.mapInPandas(pool, schema)
+
+
+def _starts(rows: pd.DataFrame) -> np.ndarray:
+    station, chunk = rows["station"].to_numpy(), rows["stueck"].to_numpy()
+    if not len(station):
+        return np.empty(0, dtype=int)
+    new = (station[1:] != station[:-1]) | (chunk[1:] != chunk[:-1])
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _pooled(rows: pd.DataFrame, starts: np.ndarray, means: list[str], pooled: str,
+            names: list[str]) -> Iterator[pd.DataFrame]:
+    """Normals of whole chunks, sorted by position."""
+    if not len(starts):
+        return
+    station, chunk, pos = (rows[c].to_numpy() for c in ("station", "stueck", "pos"))
+    columns = {c: rows[c].to_numpy(dtype=float, na_value=np.nan) for c in {*means, pooled}}
+    out = {n: [] for n in ["station", "k", *names]}
+    for a, b in zip(starts, [*starts[1:], len(rows)]):
+        first = chunk[a] * CHUNK
+        k = np.arange(first, first + CHUNK)
+        p = pos[a:b]
+        lo, hi = np.searchsorted(p, k - REACH, "left"), np.searchsorted(p, k + REACH, "right")
+        some = hi > lo
+        out["station"].append(np.full(some.sum(), station[a]))
+        out["k"].append(k[some])
+        for m in means:
+            v = columns[m][a:b]
+            sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(v))])
+            counts = np.concatenate([[0], np.cumsum(~np.isnan(v))])
+            n = counts[hi] - counts[lo]
+            out[m].append(np.where(n > 0, (sums[hi] - sums[lo]) / np.maximum(n, 1), np.nan)[some])
+        # one row of slots per calendar day, then a window of fifteen rows per target
+        slot = p - (first - REACH)
+        at = np.arange(b - a) - np.searchsorted(p, p, "left")
+        grid = np.full((CHUNK + 2 * REACH, at.max() + 1), np.nan)
+        grid[slot, at] = columns[pooled][a:b]
+        near = np.lib.stride_tricks.sliding_window_view(grid, 2 * REACH + 1, axis=0)
+        near = np.sort(near.reshape(CHUNK, -1), axis=1)       # missing values last
+        n = (~np.isnan(near)).sum(axis=1)
+        for name, share in (("p10", 0.1), ("p90", 0.9)):
+            where = np.maximum(n - 1, 0) * share
+            low, high = np.floor(where).astype(int), np.ceil(where).astype(int)
+            each = np.arange(CHUNK)
+            value = near[each, low] + (near[each, high] - near[each, low]) * (where - low)
+            out[name].append(np.where(n > 0, value, np.nan)[some])
+    frame = pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
+    # NaN means no value: hand it over as NULL
+    yield frame.astype({"station": "int32", "k": "int32"} | {n: "Float64" for n in names})
 
 
 def day_normals(c: DataFrame, nv: int = 1991) -> DataFrame:

@@ -53,35 +53,48 @@ def permitted_depth(c: DataFrame) -> DataFrame:
 
 
 def bounds(c: DataFrame, n: int = 10) -> DataFrame:
-    """Per station and category a key that at least ``n`` values do not exceed, else NULL.
+    """Per station and category (key, monat): the n-th of the monthly bests, else NULL.
 
-    The n-th of the monthly bests: every one of them is the value of a day, so the n best days
-    lie at or before it. A hash aggregation of the days, then one row per month.
+    Each monthly best is the value of a day in that month. A day with a worse key, or with the
+    same key in a later month, comes after n such days and is none of the n best, however many
+    days share a value. A hash aggregation of the days, then one row per month.
     """
     best = [F.min(-F.col(col) if direction == "hoch" else F.col(col)).alias(f"_{i}")
             for i, col, direction, *_ in CATEGORIES]
     months = c.groupBy("station", F.trunc("datum", "month").alias("_monat")).agg(*best)
-    nth = [F.get(F.sort_array(F.collect_list(f"_{i}")), F.lit(n - 1)) for i, *_ in CATEGORIES]
-    return months.groupBy("station").agg(*[x.alias(f"_{i}") for i, x in enumerate(nth)]).select(
-        "station", F.array(*[f"_{i}" for i, *_ in CATEGORIES]).alias("_grenze"))
 
+    def nth(i):
+        pair = F.when(F.col(f"_{i}").isNotNull(), F.struct(F.col(f"_{i}").alias("key"), F.col("_monat").alias("monat")))
+        return F.get(F.sort_array(F.collect_list(pair)), F.lit(n - 1)).alias(f"_{i}")
 
-def promising(c: DataFrame, limits: DataFrame) -> DataFrame:
-    """Values by category that do not exceed their bound.
+    # plain columns: the test of the days stays short generated code
+    return months.groupBy("station").agg(*[nth(i) for i, *_ in CATEGORIES]).select(
+        "station", *[F.coalesce(F.col(f"_{i}.key"), F.lit(float("inf"))).alias(f"_g{i}") for i, *_ in CATEGORIES],
+        *[F.col(f"_{i}.monat").alias(f"_m{i}") for i, *_ in CATEGORIES])
 
-    The days are tested before they are spread over the categories, so only the few that
-    pass in some category are copied.
+
+def promising(c: DataFrame, limits: DataFrame, history_until: Column | None = None) -> DataFrame:
+    """Values by category that may be among the best.
+
+    The days are tested before they are spread over the categories, so only the few that pass
+    in some category are copied. With ``history_until`` the bounds are those of the days
+    before it, and a later day only passes with a key better than the bound's.
     """
-    keys = [-F.col(col) if direction == "hoch" else F.col(col) for _, col, direction, *_ in CATEGORIES]
-    within = [key.isNotNull() & (F.get("_grenze", F.lit(i)).isNull() | (key <= F.get("_grenze", F.lit(i))))
-              for i, key in enumerate(keys)]
     columns = list(dict.fromkeys(cat[1] for cat in CATEGORIES))
-    days = c.select("station", "datum", *columns).join(limits, "station", "left").where(
-        reduce(operator.or_, within))
-    entries = F.filter(F.array(*[F.when(w, F.struct(F.lit(i).alias("kat"), key.alias("key")))
-                                 for i, (w, key) in enumerate(zip(within, keys))]),
-                       lambda e: e.isNotNull())
-    return days.select("station", "datum", F.inline(entries))
+    keys = [-F.col(col) if direction == "hoch" else F.col(col) for _, col, direction, *_ in CATEGORIES]
+    days = c.select("station", "datum", *columns).join(limits, "station", "left")
+    open_limit = [F.coalesce(F.col(f"_g{i}"), F.lit(float("inf"))) for i, *_ in CATEGORIES]
+    near = days.where(reduce(operator.or_, [key <= g for key, g in zip(keys, open_limit)]))
+    entries = [F.struct(F.lit(i).alias("kat"), key.alias("key"), g.alias("_g"), F.col(f"_m{i}").alias("_m"))
+               for i, (key, g) in enumerate(zip(keys, open_limit))]
+    tied = F.trunc("datum", "month") <= F.col("_m")
+    if history_until is not None:
+        tied = tied & (F.col("datum") < history_until)
+    return (
+        near.select("station", "datum", F.inline(F.array(*entries)))
+        .where((F.col("key") < F.col("_g")) | ((F.col("key") == F.col("_g")) & tied))
+        .drop("_g", "_m")
+    )
 
 
 def best_days(values: DataFrame, n: int = 10) -> DataFrame:
