@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import day_index
 from isotherm.operators.common import in_years
-from isotherm.operators.normals import day_normals
+from isotherm.operators.normals import day_means
 from isotherm.schema import COVERAGE, KMH, MONTH, SUMMED, WIND
 
 VALUES = [m for m in MONTH if m != "rskf"]
@@ -38,7 +38,7 @@ def _shown(column: str):
 def month_days(c: DataFrame, jahr: int | None = None, monat: int | None = None,
                nv: int = 1991) -> DataFrame:
     """Every day of the month with all measures, wind in km/h, and the deviation of the mean."""
-    usual = day_normals(c, nv).select("station", "k", F.col("tmk").alias("_normal"))
+    usual = day_means(c, ["tmk"], nv).withColumnRenamed("tmk", "_normal")
     return (
         _of_month(c, jahr, monat).withColumn("k", day_index(F.col("datum")))
         .join(usual, ["station", "k"], "left")

@@ -127,6 +127,23 @@ def day_normal(c: DataFrame, column: str = "tmk", nv: int = 1991) -> DataFrame:
     return _around(rows, [column], column).withColumnRenamed(column, "mittel")
 
 
+def day_means(c: DataFrame, columns: list[str], nv: int = 1991) -> DataFrame:
+    """Only the means of the normals, for those who need no quantiles.
+
+    Sums per calendar day come first and are small; only they are copied to the fifteen days
+    they count for.
+    """
+    sums = (
+        in_years(c, nv, nv + 29).groupBy("station", day_index(F.col("datum")).alias("k"))
+        .agg(*[F.sum(x).alias(f"_s_{x}") for x in columns], *[F.count(x).alias(f"_n_{x}") for x in columns])
+    )
+    return (
+        sums.withColumn("_o", F.explode(F.sequence(F.lit(-REACH), F.lit(REACH))))
+        .groupBy("station", F.pmod(F.col("k") + F.col("_o"), F.lit(366)).alias("k"))
+        .agg(*[F.try_divide(F.sum(f"_s_{x}"), F.sum(f"_n_{x}")).alias(x) for x in columns])
+    )
+
+
 def normal_years(c: DataFrame, nv: int = 1991) -> DataFrame:
     """Number of years of the period with a daily mean."""
     return (

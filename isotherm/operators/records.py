@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import day_index, month_day
 from isotherm.operators.common import earliest, last_days
-from isotherm.operators.normals import day_normal
+from isotherm.operators.normals import day_means
 from isotherm.schema import CATEGORIES
 
 
@@ -178,11 +178,8 @@ def on_this_day(c: DataFrame, date: dt.date | None = None, nv: int = 1991) -> Da
         F.count(F.lit(1)).alias("von"),
         *[nth(f"_{side}", i, what).alias(f"{side}{i}_{what}")
           for side in ("warm", "kalt") for i in (1, 2, 3) for what in ("wert", "jahr")])
-    usual = None
-    for s in HISTORY:
-        one = day_normal(c, s, nv).select("station", "k", F.lit(s).alias("spalte"),
-                                          F.col("mittel").alias("normal"))
-        usual = one if usual is None else usual.unionByName(one)
+    usual = day_means(c, list(HISTORY), nv).select("station", "k", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("spalte"), F.col(s).alias("normal")) for s in HISTORY])))
     return (
         out.withColumn("k", day_index(F.col("ziel")))
         .join(usual, ["station", "spalte", "k"], "left").drop("k")
