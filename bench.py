@@ -11,7 +11,6 @@ import datetime as dt
 import json
 import os
 import sys
-import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -24,7 +23,7 @@ from isotherm.operators import (  # noqa: E402
     series as S, totals as T, waves as W, year as Y, yearly as A,
 )
 from isotherm.schema import MEASURES  # noqa: E402
-from isotherm.session import local_session  # noqa: E402
+from isotherm.session import local_session, new_folder  # noqa: E402
 from isotherm.sources import derived  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -106,7 +105,7 @@ def main() -> None:
     queries = {name: timed(q, REPEATS) for name, q in small.items()}
     scaled, rows = {}, 0
     if STATION_DAYS:
-        folder = tempfile.mkdtemp(prefix="isotherm-bench-")
+        folder = new_folder(spark, "bench")
         rows = scaled_store(spark, obs.cache(), f"{folder}/store")
         big = spark.read.parquet(f"{folder}/store").drop("fach")
         scaled_queries, start = daily_queries(big), time.perf_counter()

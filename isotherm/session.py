@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,18 +33,23 @@ def local_session(cores: int = 8, partitions: int = 8, **extra: str) -> SparkSes
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = spark.sparkContext.getCheckpointDir()
-    return own if own else tempfile.mkdtemp(prefix="isotherm-checkpoint-")
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one the cluster names in spark.checkpoint.dir.
+
+    Where none is named (tests, single machine) it lies beside the tables, in the warehouse folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, unlike a local one."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    """Reliable checkpoint: ends the lineage and survives lost executors, unlike a local one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/isotherm/{name}-{uuid.uuid4().hex}"

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 
 from pyspark.sql import functions as F
 
 from isotherm.functions.sky import with_daylight
 from isotherm.functions.symbols import DRY_SYMBOLS, TEXT_RULES, WET_SYMBOLS, WMO_SYMBOLS, with_symbol
 from isotherm.operators import forecast as H
-from isotherm.session import checkpoint_dir
+from isotherm.session import new_folder
 from isotherm.sources import derived, forecasts as J
 from isotherm.streaming.alerts import stream_alerts
 from verification.base import FORECAST, LOCAL, NOW, r, rounded, rs
@@ -361,7 +359,7 @@ FROM (SELECT *, floor(value) AS v, event_id % 13 = 0 AS leer FROM events)"""
 
 def _alert_stream(s, d):
     """The forecast written as files, read as a stream, alerts written as files."""
-    base = os.path.join(checkpoint_dir(s), f"alerts-{uuid.uuid4().hex}")
+    base = new_folder(s, "alerts")
     fc(s, d).repartitionByRange(4, "zeit").write.parquet(f"{base}/in")
     hours = s.readStream.schema(s.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
     query = (stream_alerts(hours, storm=23.0, heavy=5.0).select("ort", "art", "tag").writeStream.format("parquet")

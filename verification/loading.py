@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from isotherm.operators import ingest as I
 from isotherm.operators.national import national_snapshot
 from isotherm.plans import store
 from isotherm.schema import MEASURES, PRODUCT_FIELDS
-from isotherm.session import checkpoint_dir
+from isotherm.session import new_folder
 from isotherm.sources import daily as S, derived, listings as L
 from isotherm.streaming.recent import stream_recent
 from verification.analyses import _SNAP
@@ -208,7 +206,7 @@ WHERE nr > 2 AND erstellt < TIMESTAMP '1998-01-01' - INTERVAL 14 DAY"""
 
 
 def _folder(s, name):
-    return os.path.join(checkpoint_dir(s), f"{name}-{uuid.uuid4().hex}")
+    return new_folder(s, name)
 
 
 def _snapshot_written(s, d):
