@@ -150,15 +150,16 @@ class DecisionList:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, limit: int) -> DataFrame:
-    """(bad 0/1, grow boolean, f array) of a bounded sample of labelled rows."""
+    """(bad 0/1, grow boolean, failed boolean, f array) of a bounded sample of labelled rows."""
     seen = (labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
             .groupBy(id_col).agg(F.min("quality").alias("_q"))
             .withColumn("_h", F.xxhash64(id_col)).orderBy("_h", id_col).limit(limit))
     # at most `limit` rows: small enough to send to every task
     rows = docs.select(id_col, text).join(F.broadcast(seen), id_col)
-    made = with_statistics(rows, ["_q", "_h"], text).where(~base_failed(F.col("stats")))
+    made = with_statistics(rows, ["_q", "_h"], text)
     s = F.col("stats")
     return made.select((F.col("_q") == 0).cast("int").alias("bad"), (F.pmod("_h", F.lit(3)) > 0).alias("grow"),
+                       base_failed(s).alias("failed"),
                        F.array(*[f(s) for f in FEATURES.values()]).alias("f"))
 
 
@@ -170,7 +171,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     is pruned on rows it was not grown on, and then takes the rows it covers away.
     """
     names = list(FEATURES)
-    rows = cut(_labelled(docs, labels, id_col, text, max_labelled))
+    # cut before the filter: below the join it would compute the statistics of every document
+    rows = cut(_labelled(docs, labels, id_col, text, max_labelled)).where(~F.col("failed"))
     steps = [(i + 0.5) / THRESHOLDS for i in range(THRESHOLDS)]
     found = rows.agg(F.array(*[F.percentile_approx(F.col("f")[j], steps, 10_000) for j in range(len(names))])).first()
     if found is None or found[0] is None or found[0][0] is None:
