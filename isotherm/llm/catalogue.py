@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from isotherm.llm import quality
+from isotherm.llm import decontaminate, html_text, langid, quality, secrets, warc
 
 Q = {
+    "op1_secrets": secrets.op1_secrets,
+    "op3_language_id": langid.op3_language_id,
+    "op4_html_text": html_text.op4_html_text,
+    "op8_warc_index": warc.op8_warc_index,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "op8_warc_index": warc.SQL,
+    "op9_decontamination": decontaminate.SQL,
+}
 
 
 def queries() -> dict:
