@@ -143,7 +143,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                 if stream is None or size >= archive_bytes:
                     close()
                     name, size = f"{uuid.uuid4().hex}.warc.gz", 0
-                    stream = fs.open_output_stream(f"{base}/_{name}")
+                    stream = fs.open_output_stream(f"{base}/_{name}", compression=None)
                 stream.write(raw)
                 lines.append((reversed_key(url), page_id, json.dumps([name, size, len(raw)])))
                 size += len(raw)
