@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from isotherm.llm import decontaminate, html_text, langid, quality, secrets, warc
+import corpus_pipeline
+from isotherm.llm import decontaminate, html_text, langid, lines, mixing, neardup, pii, quality, secrets, warc
 
 Q = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_ngram_jaccard_join": neardup.op2_ngram_jaccard_join,
     "op3_language_id": langid.op3_language_id,
     "op4_html_text": html_text.op4_html_text,
+    "op5_line_dedup": lines.op5_line_dedup,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_pii": pii.op7_pii,
     "op8_warc_index": warc.op8_warc_index,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_quality_rules": quality.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
+    "op6_mixing": mixing.SQL,
     "op8_warc_index": warc.SQL,
     "op9_decontamination": decontaminate.SQL,
 }

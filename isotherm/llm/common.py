@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isotherm.session import new_folder
+
 # space, tab, line feed, vertical tab, form feed, carriage return
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -33,3 +35,18 @@ def count_words(text: Column) -> Column:
 def count_matching(text: Column, pattern: str) -> Column:
     """Number of characters that match a one-character pattern."""
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
+
+
+def small_or_shuffled(df: DataFrame, limit: int) -> DataFrame:
+    """A side of a join: sent to every task where it has at most limit rows, else left to a shuffle.
+
+    df must be cheap to count (a written table). Rows are narrow: ids, hashes, short arrays.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, survives lost executors."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

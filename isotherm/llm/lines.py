@@ -1,24 +1,25 @@
 """Line dedup: lines within one edit of an earlier line go, by a join of deletion neighbourhoods.
 
-Two lines within one edit (insertion, deletion or substitution of a character) have a variant in
-common among "the line itself" and "the line without its i-th character". So every line would emit
-all its variants as hashed keys and equal keys would be joined. Before that, two cheap steps lose
-nothing:
+Two lines are within one edit (insertion, deletion or substitution of a character) exactly if
+one is the other without a character, or both are equal without their p-th characters. So every
+line emits the hashed keys of all its variants: itself, itself without a character, and itself
+without its p-th character together with p. Lines that meet at a key of the last sort are within
+one edit pairwise, and so are a line and those it is a variant of. Thus the earliest line of a
+key is found by an aggregate, and no pairs are formed. Two steps before that lose nothing:
 
-* Equal lines meet first, by a hash aggregate; one representative of each text goes on.
-* A single edit leaves the first or the second half of a line as it is. Only lines that share such
-  a half with a different line emit variants; all others cannot have a partner.
+* Equal lines meet first, by a hash aggregate; only the first of each text goes on.
+* A single edit touches one third of a line. Only lines that share the other two thirds with a
+  different line emit variants; no other line can have a partner.
 
-Candidate pairs are verified by their edit distance. For every text the earliest place that holds
-it or a text within one edit is known then, and a line stays where no place before it does.
+The partner found is verified by its edit distance.
 
-Rule: lines are compared in lower case with white space runs as one space; lines of fewer than
+Rule: lines are compared in lower case with runs of white space as one space; lines of fewer than
 MIN_WORDS words are left alone (headings, list marks). "Earlier" is by document id, then line
 number. A line goes if any earlier line lies within the bound, whether that one stays or not.
 
-Defined results: NULL text stays NULL and has no lines; documents whose id is NULL are left as
-they are, as their order is unknown. Rows that share an id are one document: of their equal lines
-at the same place all stay. A text of which every line went becomes empty.
+Defined results: NULL text stays NULL and has no lines; documents whose id is NULL stay as they
+are, as their order is unknown. Rows that share an id are one document: of equal lines at the
+same place all stay. A text of which every line went is empty. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -27,105 +28,168 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import WHITE, table
+from isotherm.llm.common import WHITE, small_or_shuffled, table, written
 from isotherm.llm.words import map_rows
-from isotherm.session import new_folder
 
 MIN_WORDS = 5
-MAX_EDITS = 1
-HUBS = 64                       # variants of one key are paired with that many of its earliest lines at most
+SMALL = 500_000                 # rows of two or three numbers that a join may send to every task
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), WHITE, " "))
+    """Lower case, trimmed, white space runs as one space."""
+    low = F.lower(line)
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(low, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(low, WHITE, " ")).otherwise(low))
+
+
+def _thirds(line: Column, nominal: Column) -> list[Column]:
+    """Hashes of a line without each of its thirds, as cut for a line of the nominal length."""
+    n, a, b = F.length(line), F.floor(nominal / 3).cast("int"), F.floor(2 * nominal / 3).cast("int")
+
+    def end(size: Column) -> Column:
+        return F.substring(line, n - size + 1, size)
+
+    head = lambda size: F.substring(line, F.lit(1), size)
+    return [F.xxhash64(F.lit(0), nominal, end(nominal - a)),
+            F.xxhash64(F.lit(1), nominal, head(a), end(nominal - b)),
+            F.xxhash64(F.lit(2), nominal, head(b))]
 
 
 def numbered_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(doc, no, line): normalised lines long enough to be compared."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("no", "raw"))
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`").cast("string"), "\n", -1)).alias("no", "raw"))
     made = rows.select("doc", "no", normal(F.col("raw")).alias("line"))
     return made.where(F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) >= MIN_WORDS - 1)
 
 
-def _hash(value: Column, seed: int = 0) -> Column:
-    return F.xxhash64(value) if not seed else F.xxhash64(F.lit(seed), value)
-
-
-def earliest(lines: DataFrame) -> DataFrame:
-    """(h1, h2, doc, no): the first place of every text; 128 bits stand for the text."""
-    keyed = lines.select(_hash(F.col("line")).alias("h1"), _hash(F.col("line"), 1).alias("h2"), "doc", "no")
-    # the smallest number within a document, then the smallest document: both hash aggregates
-    per_doc = keyed.groupBy("h1", "h2", "doc").agg(F.min("no").alias("no"))
-    first = per_doc.groupBy("h1", "h2").agg(F.min("doc").alias("doc"))
-    return per_doc.join(first, ["h1", "h2", "doc"], "left_semi")
+def hashed_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(doc, no, h1, h2, keys): 128 bits stand for a line; keys are what a near line shares.
 
+    A line and one that is a character longer are cut at the same places if the longer one also
+    counts as a line of one character less.
+    """
+    line, n = F.col("line"), F.length("line")
+    return numbered_lines(docs, id_col, text).select(
+        "doc", "no", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"),
+        F.array(*_thirds(line, n), *_thirds(line, n - 1)).alias("keys"))
 
-def with_shared_half(lines: DataFrame) -> DataFrame:
-    """(h1, h2) of the texts that share a half with a different text.
 
-    The halves of a line of n characters are taken for n and for n - 1, so that a line and one
-    that is a character longer split at the same place.
-    """
-    n = F.length("line")
+def first_places(lines: DataFrame) -> DataFrame:
+    """(h1, h2, doc, no, n): first place and number of occurrences of every text."""
+    per_doc = lines.groupBy("h1", "h2", "doc").agg(F.min("no").alias("no"), F.count("*").alias("n"))
+    # doc is unique within a text here, so the number belongs to the smallest document
+    return per_doc.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min_by("no", "doc").alias("no"), F.sum("n").alias("n"))
 
-    def halves(length: Column) -> list[Column]:
-        h = F.floor(length / 2).cast("int")
-        rest = (length - h).cast("int")
-        return [F.xxhash64(F.lit(0), length, F.substring(F.col("line"), F.lit(1), h)),
-                F.xxhash64(F.lit(1), length, F.substring(F.col("line"), n - rest + 1, rest))]
 
-    keys = lines.select(_hash(F.col("line")).alias("h1"), _hash(F.col("line"), 1).alias("h2"),
-                        F.explode(F.array(*halves(n), *halves(n - 1))).alias("k"))
-    keys = keys.groupBy("k", "h1", "h2").count().select("k", "h1", "h2")
+def suspects(lines: DataFrame) -> DataFrame:
+    """(h1): texts that share two thirds with a different text."""
+    keys = lines.select("h1", F.explode("keys").alias("k"))
     shared = keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k")
-    return keys.join(shared, "k", "left_semi").select("h1", "h2").distinct()
+    shared = small_or_shuffled(written(shared, "line-keys"), SMALL)
+    return keys.join(shared, "k", "left_semi").select("h1").distinct()
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(h1, h2, v): hashes of the line and of the line without each of its characters.
+    """(key, role, doc, no) of every line of (doc, no, line).
 
-    The hash is a polynomial over the characters, so that of a variant follows from those of the
-    parts before and after the gap; a line of n characters takes n steps.
+    Roles: "=" the line itself, "-" the line without a character (these two meet), "p" the line
+    without its p-th character. The hash is a polynomial over the characters, so that a variant's
+    follows from those of the parts before and after the gap: n steps for n characters.
     """
-    def make():
-        base = np.uint64(0x9E3779B97F4A7C15)
+    base, odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def mix(h: np.ndarray, n: int) -> np.ndarray:
+        h = (h ^ np.uint64(n)) * np.uint64(0xFF51AFD7ED558CCD)
+        return h ^ (h >> np.uint64(33))
 
+    def make():
         def run(columns):
-            for h1, h2, line in zip(*columns):
-                c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-                c = (c + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            for doc, no, line in zip(*columns):
+                c = (np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)) * odd
                 c ^= c >> np.uint64(31)
                 n = len(c)
-                power = np.cumprod(np.full(n + 1, base, dtype=np.uint64))      # base^1 ...
-                before = np.concatenate([[np.uint64(0)], np.cumsum(c * power[:n])])
-                # what follows the gap moves one place to the front: one power less
-                lower = np.concatenate([[np.uint64(1)], power[:n - 1]]) if n else power[:0]
-                after = np.concatenate([np.cumsum((c * lower)[::-1])[::-1], [np.uint64(0)]])
-                v = before[:n] + after[1:]
-                length = np.uint64(n)
-                mixed = np.unique(np.concatenate([[_mix(before[n], length)], _mix(v, length - np.uint64(1))]) if n else v)
-                for x in mixed.astype(np.int64).tolist():
-                    yield h1, h2, x
+                power = np.cumprod(np.full(n + 1, base, dtype=np.uint64))
+                before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * power[:n], dtype=np.uint64)])
+                # what follows the gap moves up by one place
+                lower = np.concatenate([np.ones(1, np.uint64), power[:n - 1]])
+                after = np.concatenate([np.cumsum((c * lower)[::-1], dtype=np.uint64)[::-1], np.zeros(1, np.uint64)])
+                cut = mix(before[:n] + after[1:], n - 1)
+                place = mix(cut ^ (np.arange(1, n + 1, dtype=np.uint64) * odd), n)
+                yield int(mix(before[n:], n).astype(np.int64)[0]), "=", doc, no
+                for v in np.unique(cut).astype(np.int64).tolist():
+                    yield v, "-", doc, no
+                for v in place.astype(np.int64).tolist():
+                    yield v, "p", doc, no
         return run
 
-    return map_rows(lines.select("h1", "h2", "line"), make, "h1 bigint, h2 bigint, v bigint")
-
-
-def _mix(h, n):
-    h = (h ^ n) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(33))
-
-
-def within_one(a: str, b: str) -> bool:
-    """Edit distance of at most one."""
-    if a == b:
-        return True
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    return a[i + (len(a) == len(b)):] == b[i + 1:]
+    kind = lines.schema["doc"].dataType.simpleString()
+    return map_rows(lines.select("doc", "no", "line"), make, f"key bigint, role string, doc {kind}, no int")
+
+
+def near_earlier(lines: DataFrame) -> DataFrame:
+    """(doc, no) of lines of (doc, no, line), all different texts, that lie within one edit of an earlier one."""
+    keys = variants(lines)
+    place = F.struct("doc", "no")
+    # two sorts of meeting: equal place of the gap, or one line is the other without a character
+    meet = F.when(F.col("role") == "p", "p").otherwise("v")
+    best = (keys.groupBy("key", meet.alias("meet")).agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("role") != "-", place)).alias("first"),
+        F.min(F.when(F.col("role") == "-", place)).alias("longer"))
+        .where((F.col("n") > 1) & ((F.col("meet") == "p") | (F.col("first").isNotNull() & F.col("longer").isNotNull()))))
+    best = small_or_shuffled(written(best, "line-variants"), SMALL // 5)
+    met = keys.withColumn("meet", meet).join(best, ["key", "meet"]).select(
+        "doc", "no", F.when(F.col("role") == "=", F.col("longer")).otherwise(F.col("first")).alias("to"))
+    found = (met.where(F.col("to") < place).groupBy("doc", "no").agg(F.min("to").alias("to"))
+             .select("doc", "no", F.col("to.doc").alias("d2"), F.col("to.no").alias("n2")))
+    # verify: a hash may lie, the edit distance does not
+    other = lines.select(F.col("doc").alias("d2"), F.col("no").alias("n2"), F.col("line").alias("l2"))
+    checked = found.join(lines, ["doc", "no"]).join(other, ["d2", "n2"])
+    return checked.where(F.levenshtein("line", "l2", 1).between(0, 1)).select("doc", "no")
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, gone): per document that loses lines their numbers, from 0."""
+    lines = written(hashed_lines(docs, id_col, text), "lines")
+    first = written(first_places(lines), "line-first")
+    near = first.join(suspects(lines), "h1", "left_semi")
+    places = small_or_shuffled(written(near.select("doc", "no"), "line-suspects"), SMALL)
+    texts = written(numbered_lines(docs, id_col, text).join(places, ["doc", "no"], "left_semi")
+                    .dropDuplicates(["doc", "no"]), "line-texts")
+    late = near_earlier(texts).withColumn("late", F.lit(True))
+    judged = first.join(late, ["doc", "no"], "left").where((F.col("n") > 1) | F.col("late")).select(
+        "h1", "h2", F.col("doc").alias("d1"), F.col("no").alias("n1"), F.coalesce("late", F.lit(False)).alias("late"))
+    judged = small_or_shuffled(written(judged, "line-judged"), SMALL)
+    gone = lines.select("doc", "no", "h1", "h2").join(judged, ["h1", "h2"]).where(
+        F.col("late") | (F.col("doc") != F.col("d1")) | (F.col("no") != F.col("n1")))
+    return gone.groupBy("doc").agg(F.collect_set("no").alias("gone"))
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of docs with the text that stays, and struct _lines (n_lines, n_removed)."""
+    gone = small_or_shuffled(written(removed_lines(docs, id_col, text).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")),
+                                     "line-gone"), SMALL // 5)
+    joined = docs.join(gone, docs[id_col] == F.col("_doc"), "left")
+    split, body = F.split(F.col(f"`{text}`"), "\n", -1), F.col(f"`{text}`")
+    stays = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    return joined.select(*[F.when(F.col("_gone").isNull(), body).otherwise(stays).alias(c) if c == text else F.col(f"`{c}`")
+                           for c in docs.columns],
+                         F.struct(F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+                                  F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")).alias("_lines"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_lines(docs).select("doc_id", "_lines.n_lines", "_lines.n_removed", "text")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated lines; a document that consisted of repeated lines only goes."""
+    made = drop_lines(docs)
+    left = made.where((F.col("_lines.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("_lines.n_removed") == 0, F.col("n_chars"))
+                               .otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

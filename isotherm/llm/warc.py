@@ -305,8 +305,8 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 SQL = f"""WITH p AS (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
-b AS (SELECT *, list_aggregate(list_transform(range(0, 8), g -> list_aggregate(list_transform([15, 10, 5, 0],
- s -> '{_B32}'[((('0x' || h[g * 5 + 1:g * 5 + 5])::INT >> s) & 31) + 1]), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+b AS (SELECT *, list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform([15, 10, 5, 0],
+ lambda s: '{_B32}'[((('0x' || h[g * 5 + 1:g * 5 + 5])::INT >> s) & 31) + 1]), 'string_agg', '')), 'string_agg', '') AS payload_digest,
  min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
  CASE WHEN page_id <> first THEN first END::BIGINT AS refers_to FROM b"""
