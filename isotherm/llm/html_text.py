@@ -199,8 +199,11 @@ def count_labelled(page: str) -> Counter:
 
 def learn(pages: DataFrame, id_col: str = "page_id", html: str = "html", max_pages: int = MAX_LABELLED) -> Weights:
     """Weights from labelled pages: log odds of inside, words kept positive and tags negative."""
-    chosen = (pages.select(F.col(f"`{html}`").cast("string").alias("_html"), F.xxhash64(f"`{id_col}`").alias("_h"))
-              .where(F.lower("_html").rlike("<(article|main)[ >]")).orderBy("_h").limit(max_pages).select("_html"))
+    rows = pages.select(F.col(f"`{html}`").cast("string").alias("_html"), F.xxhash64(f"`{id_col}`").alias("_h")).where(
+        F.lower("_html").rlike("<(article|main)[ >]"))
+    # the hashes decide alone, the pages then stay where they are
+    last = rows.select("_h").orderBy("_h").limit(max_pages).agg(F.max("_h")).first()[0]
+    chosen = rows.where(F.col("_h") <= F.lit(last).cast("long")).select("_html")
 
     def make():
         def run(columns):
