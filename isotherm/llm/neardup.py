@@ -258,6 +258,6 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the smallest id. Rows that share an id stay together."""
-    found = near_duplicates(docs).where("doc <> class_id").select("doc").distinct()
+    found = near_duplicates(docs).where("doc <> class_id").select(F.col("doc").alias("_near_copy")).distinct()
     found = small_or_shuffled(written(found, "near-copies"), SMALL)
-    return docs.join(found, docs["doc_id"] == F.col("doc"), "left_anti")
+    return docs.join(found, docs["doc_id"] == F.col("_near_copy"), "left_anti")
