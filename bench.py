@@ -30,10 +30,6 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 STATION_DAYS = int(os.environ.get("BENCH_STATION_DAYS", "21600000"))
 REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
-# seconds for the queries of the scaled part; what does not fit is left out
-BUDGET = float(os.environ.get("BENCH_BUDGET", "150"))
-SCALED = ["yearly_mean", "extremes", "yearly_series", "threshold_days", "rule_audit", "records", "day_normals",
-          "waves_fixed", "rain_band", "new_records", "rain_totals", "calendar_day_records", "forecast_trajectory"]
 TODAY = dt.date(2001, 11, 5)
 
 
@@ -108,12 +104,9 @@ def main() -> None:
         folder = new_folder(spark, "bench")
         rows = scaled_store(spark, obs.cache(), f"{folder}/store")
         big = spark.read.parquet(f"{folder}/store").drop("fach")
-        scaled_queries, start = daily_queries(big), time.perf_counter()
-        for name in SCALED:
-            if time.perf_counter() - start > BUDGET:
-                break
+        for name, query in daily_queries(big).items():
             # the two with published numbers are measured warm, like those
-            scaled[name] = timed(scaled_queries[name], 3 if name in ("yearly_mean", "extremes") else 1)
+            scaled[name] = timed(query, 3 if name in ("yearly_mean", "extremes") else 1)
             print(name, scaled[name], file=sys.stderr)
     print(json.dumps({
         "metric": "total time of the headline queries", "value": round(sum(queries.values()), 3), "unit": "sec",

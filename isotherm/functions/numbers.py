@@ -45,3 +45,23 @@ def quantile_of_sorted(values: Column, p: float) -> Column:
     low = F.try_element_at(values, F.floor(at).cast("int") + 1)
     high = F.try_element_at(values, F.ceil(at).cast("int") + 1)
     return F.when(F.size(values) > 0, low + (high - low) * (at - F.floor(at)))
+
+
+def rounded(value: Column, digits: int = 1) -> Column:
+    """Nearest value with 0 or 1 digits of the exact binary number, a true half to the even one.
+
+    Rounding the shortest decimal text would take 0.15, which is a little less, for a half. The
+    twentyfold is split into its double and the exact rest (the factor has few bits, so halves of
+    the value times 20 are exact): an odd whole number is a half, unless the rest says otherwise.
+    """
+    if digits == 0:
+        return F.rint(value)
+    if digits != 1:
+        raise ValueError(digits)
+    twenty = value * 20
+    high = value * 134217729.0 - (value * 134217729.0 - value)
+    rest = (high * 20 - twenty) + (value - high) * 20
+    tenth = F.floor((twenty + 1) / 2)
+    half = F.pmod(twenty, F.lit(2.0)) == 1.0
+    down = half & ((rest < 0) | ((rest == 0) & (F.pmod(tenth, F.lit(2)) == 1)))
+    return F.when(down, tenth - 1).otherwise(tenth) / F.lit(10.0)

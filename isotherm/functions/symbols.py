@@ -50,7 +50,7 @@ def wmo_symbol(code: Column) -> Column:
 def text_symbol(code: Column) -> tuple[Column, Column]:
     """(symbol, is-day) of a text code such as ``partlycloudy_night``."""
     base = F.substring_index(code, "_", 1)
-    suffix = F.when(F.contains(code, F.lit("_")), F.substring(code, F.length(base) + 2, 1000))
+    suffix = F.when(F.contains(code, F.lit("_")), F.substring(code, F.length(base) + 2, F.length(code)))
     pairs = [
         (F.contains(base, F.lit(t)) if kind == "contains" else base == t, F.lit(name))
         for kind, t, name in TEXT_RULES
@@ -74,11 +74,3 @@ def with_symbol(df: DataFrame, kind: str, code: str | None = None) -> DataFrame:
     symbol, day = of(F.col(code or {"text": "symbol_code", "icon": "icon"}[kind]))
     return df.withColumns({"symbol": symbol, "ist_tag": day})
 
-
-def wet_rank(symbol: Column) -> Column:
-    """0 for the strongest wet symbol; NULL for a dry one."""
-    return _chain([(symbol == s, F.lit(i)) for i, s in enumerate(WET_SYMBOLS)])
-
-
-def dry_rank(symbol: Column) -> Column:
-    return _chain([(symbol == s, F.lit(i)) for i, s in enumerate(DRY_SYMBOLS)])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import new_year, year_end
-from isotherm.schema import year_span
+from isotherm.schema import period_start, year_span
 
 
 def with_value(c: DataFrame, column: str) -> DataFrame:
@@ -41,14 +41,35 @@ def of_year(c: DataFrame, jahr: int | None, column: str = "tmk") -> DataFrame:
         F.col("datum").between(new_year(F.col("jahr")), year_end(F.col("jahr"))))
 
 
-def earliest(value: Column, date: Column, largest: bool) -> Column:
-    """Aggregate: the extreme value with the first date that reaches it."""
-    key = -value if largest else value
-    return F.min(F.when(value.isNotNull(), F.struct(key.alias("key"), date.alias("datum"))))
+def with_first_dates(best: DataFrame, c: DataFrame, keys: dict[str, Column],
+                     pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """``best`` with the first date on which a day of ``c`` reaches its extreme values.
+
+    keys: group column of ``best`` -> expression over ``c``. pairs: new date column -> (measure
+    of ``c``, column of ``best`` with its extreme). Extremes and dates are hash aggregates of
+    fixed width; a minimum of (value, date) pairs would have Spark sort all days. Only days
+    that reach an extreme get past the join.
+    """
+    measures = list(dict.fromkeys(m for m, _ in pairs.values()))
+    limits = best.select(*keys, *[F.col(b).alias(f"_{b}") for _, b in pairs.values()])
+    days = c.select(*[e.alias(k) for k, e in keys.items()], "datum", *measures)
+    reached = {name: F.col(m) == F.col(f"_{b}") for name, (m, b) in pairs.items()}
+    hits = days.join(limits, list(keys)).where(F.greatest(*reached.values()) if len(reached) > 1
+                                               else next(iter(reached.values())))
+    dates = hits.groupBy(*keys).agg(*[
+        F.min(F.when(r, F.col("datum"))).alias(name) for name, r in reached.items()])
+    return best.join(dates, list(keys), "left")
 
 
 def in_period(nv: int, year: str = "jahr") -> Column:
-    return F.col(year).between(nv, nv + 29)
+    first = period_start(nv)
+    return F.col(year).between(first, first + 29)
+
+
+def of_period(c: DataFrame, nv: int) -> DataFrame:
+    """The days of the reference period; a start that is not offered means the newest."""
+    first = period_start(nv)
+    return in_years(c, first, first + 29)
 
 
 def with_previous_day(c: DataFrame, column: str) -> DataFrame:
@@ -98,24 +119,26 @@ def with_neighbours(df: DataFrame, keys: list[str], order: str, block: Column) -
     )
 
 
-def runs(marked: DataFrame, value: str) -> DataFrame:
+def runs(marked: DataFrame, value: str, sorts: list[str] | None = None) -> DataFrame:
     """Runs of consecutive days among the given rows (rows that satisfy the condition).
 
-    Columns: station, von, bis, tage, hoch, tief, summe. Runs are formed inside each
-    (station, year); only pieces that touch a turn of the year are then put together.
+    Columns: station, sorts, von, bis, tage, hoch, tief, summe. Days of different sorts are
+    different runs. Runs are formed inside each (station, sorts, year); only pieces that touch a
+    turn of the year are then put together.
     """
-    day = Window.partitionBy("station", "_j").orderBy("datum")
+    keys = ["station", *(sorts or [])]
+    day = Window.partitionBy(*keys, "_j").orderBy("datum")
     pieces = (
-        marked.select("station", "datum", F.col(value).alias("_v"), F.year("datum").alias("_j"))
+        marked.select(*keys, "datum", F.col(value).alias("_v"), F.year("datum").alias("_j"))
         .withColumn("_island", F.date_sub("datum", F.row_number().over(day)))
-        .groupBy("station", "_j", "_island")
+        .groupBy(*keys, "_j", "_island")
         .agg(F.min("datum").alias("von"), F.max("datum").alias("bis"),
              F.count(F.lit(1)).alias("tage"), F.max("_v").alias("hoch"),
              F.min("_v").alias("tief"), F.sum("_v").alias("summe"))
     )
     open_ended = (F.col("von") == new_year(F.col("_j"))) | (F.col("bis") == year_end(F.col("_j")))
     # a closed piece is its own group; the open ones of a station share the NULL key
-    piece = Window.partitionBy("station", "_own").orderBy("von")
+    piece = Window.partitionBy(*keys, "_own").orderBy("von")
     grouped = (
         pieces.withColumn("_own", F.when(~open_ended, F.col("von")))
         .withColumn("_new", F.when(
@@ -123,7 +146,7 @@ def runs(marked: DataFrame, value: str) -> DataFrame:
         .withColumn("_run", F.sum("_new").over(piece))
     )
     return (
-        grouped.groupBy("station", "_own", "_run")
+        grouped.groupBy(*keys, "_own", "_run")
         .agg(F.min("von").alias("von"), F.max("bis").alias("bis"), F.sum("tage").alias("tage"),
              F.max("hoch").alias("hoch"), F.min("tief").alias("tief"),
              F.sum("summe").alias("summe"))
@@ -171,3 +194,33 @@ def year_rests(c: DataFrame, column: str) -> DataFrame:
     held = F.flatten(F.transform("_l", lambda x: F.array_repeat(
         F.struct(x["s"].alias("s"), x["a"].alias("a")), x["n"])))
     return listed.select("station", "jahr", held.alias("rest"))
+
+
+def sums_around(c: DataFrame, targets: DataFrame, column: str = "tmk") -> DataFrame:
+    """Per station and year the sum and number of values up to the target's month-day and behind it.
+
+    targets: station, ende (a date). Columns: station, jahr, s_bis, n_bis, s_nach, n_nach. Days become
+    month sums by a hash aggregate before anything is joined; single days are only looked up in the
+    months that some target ends in, at most twelve.
+    """
+    rows = with_value(c, column).select("station", "datum", F.col(column).alias("_v"), F.month("datum").alias("_m"))
+    months = rows.groupBy("station", F.year("datum").alias("jahr"), "_m").agg(
+        F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    ends = targets.select("station", F.month("ende").alias("_em"), F.dayofmonth("ende").alias("_ed"))
+    early, late = F.col("_m") < F.col("_em"), F.col("_m") > F.col("_em")
+
+    def parts(before, behind, s, n):
+        return [F.sum(F.when(before, s)).alias("s_bis"), F.sum(F.when(before, n)).alias("n_bis"),
+                F.sum(F.when(behind, s)).alias("s_nach"), F.sum(F.when(behind, n)).alias("n_nach")]
+
+    whole = months.join(ends, "station").groupBy("station", "jahr").agg(*parts(early, late, F.col("_s"), F.col("_n")))
+    within = (
+        # at most twelve rows
+        rows.join(F.broadcast(ends.select(F.col("_em").alias("_m")).distinct()), "_m", "left_semi")
+        .join(ends, "station").where(F.col("_m") == F.col("_em"))
+        .groupBy("station", F.year("datum").alias("jahr"))
+        .agg(*parts(F.dayofmonth("datum") <= F.col("_ed"), F.dayofmonth("datum") > F.col("_ed"), F.col("_v"), F.lit(1)))
+    )
+    return whole.unionByName(within).groupBy("station", "jahr").agg(
+        *[F.sum(x).alias(x) for x in ("s_bis", "s_nach")],
+        *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n_bis", "n_nach")])

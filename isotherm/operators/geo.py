@@ -1,9 +1,14 @@
 """Stations and places near a point.
 
-Nearest-neighbour search without pairing every point with every station. The globe is cut
-into nested square cells (0.25 degrees and doublings). The number of stations per cell tells
-for every occupied point cell how far one must look; the exact search is then an equi-join on
-cells of that size. Cell tables are bounded by the number of cells, not by the data.
+Nearest-neighbour search without pairing every point with every station. The globe is cut into
+nested cells of latitude and longitude (0.25 degrees and doublings). Two equi-joins on cells:
+
+1. Per occupied point cell the smallest 3 x 3 block that holds enough stations; the true costs of
+   the stations in it bound a point's n-th best cost from above.
+2. The cells that reach within that bound of the point, at a level where they are a few cells;
+   what lies beyond cannot cost less.
+
+Cell tables are bounded by the number of cells, candidates by the density around a point.
 """
 
 from __future__ import annotations
@@ -17,30 +22,29 @@ from isotherm.functions.calendar import new_year
 from isotherm.functions.sky import distance_km, with_grid
 
 CELL = 0.25
-LEVELS = 6                       # 0.25, 0.5, ... 8 degrees; each divides the circle
-GLOBE = LEVELS                   # one more level: everything is one cell
-KM_PER_DEGREE = 111.2            # a little more than a degree of latitude measures
+LEVELS = 10                      # 0.25, 0.5, ... 128 degrees
+REACH = 3                        # cells to either side that the second search takes at most
+KM_PER_DEGREE = 111.0            # a little less than a degree of latitude measures
 # names within these many thousandths of a degree are candidates for a point
 NAME_BOX = (150, 250)
 SUMMIT_KM, NEAR_KM = 0.5, 2.0
 
 
-def _cell(value: Column, level: Column) -> Column:
-    size = F.lit(CELL) * F.pow(F.lit(2.0), level)
-    return F.when(level >= GLOBE, F.lit(0).cast("bigint")).otherwise(F.floor(value / size))
+def _size(level: Column) -> Column:
+    return F.lit(CELL) * F.pow(F.lit(2.0), level)
+
+
+def _row(lat: Column, level: Column) -> Column:
+    return F.floor((lat + 90) / _size(level))
 
 
-def _turn(zx: Column, level: Column) -> Column:
-    """Columns of cells go round the globe."""
-    around = (F.lit(360 / CELL) / F.pow(F.lit(2.0), level)).cast("bigint")
-    return F.when(level >= GLOBE, zx).otherwise(F.pmod(zx, around))
+def _column(lon: Column, level: Column) -> Column:
+    """Columns of cells go round the globe; the last one may be narrower."""
+    return F.floor(F.pmod(lon + 180, F.lit(360.0)) / _size(level))
 
 
-def _around(level: Column) -> Column:
-    """The 3 x 3 block of cells; the globe has no neighbours."""
-    ring = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
-                     for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    return F.when(level >= GLOBE, F.slice(ring, 5, 1)).otherwise(ring)
+def _columns(level: Column) -> Column:
+    return F.ceil(360.0 / _size(level))
 
 
 def with_distance(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str) -> DataFrame:
@@ -56,72 +60,71 @@ def pair_distances(pairs: DataFrame, points: DataFrame, st: DataFrame) -> DataFr
 
 
 def _levels_down(df: DataFrame) -> DataFrame:
-    levels = F.explode(F.sequence(F.lit(0), F.lit(GLOBE))).alias("stufe")
-    rows = df.select("*", levels)
-    return rows.withColumns({"zx": _turn(_cell(F.col("lon"), F.col("stufe")), F.col("stufe")),
-                             "zy": _cell(F.col("lat"), F.col("stufe"))})
-
-
-def _search_level(points: DataFrame, st: DataFrame, n: int, climb: float) -> DataFrame:
-    """Per finest point cell (fx, fy) the level whose 3 x 3 block must hold the best ``n``.
-
-    The smallest block with ``n`` stations bounds the n-th best cost from above. The level
-    searched is the first whose cell is so wide that nothing outside the block can cost less.
-    """
-    counts = _levels_down(st.select("lat", "lon", "hoehe")).groupBy("stufe", "zx", "zy").agg(
-        F.count(F.lit(1)).alias("n"), F.min("hoehe").alias("h_min"), F.max("hoehe").alias("h_max"))
-    cells = (
-        points.groupBy(F.floor(F.col("lon") / CELL).alias("fx"),
-                       F.floor(F.col("lat") / CELL).alias("fy"))
-        .agg(F.min("hoehe").alias("p_min"), F.max("hoehe").alias("p_max"))
-        .withColumns({"lon": (F.col("fx") + 0.5) * CELL, "lat": (F.col("fy") + 0.5) * CELL})
-    )
-    blocks = (
-        _levels_down(cells).select("*", F.inline(_around(F.col("stufe"))))
-        .withColumns({"zx": _turn(F.col("zx") + F.col("a"), F.col("stufe")),
-                      "zy": F.col("zy") + F.col("b")})
-        .join(counts, ["stufe", "zx", "zy"])
-        .groupBy("fx", "fy", "lat", "stufe", "p_min", "p_max")
-        .agg(F.sum("n").alias("n"), F.min("h_min").alias("h_min"), F.max("h_max").alias("h_max"))
-    )
-    size = F.lit(CELL) * F.pow(F.lit(2.0), F.col("stufe"))
-    # both ends of a block of three cells, twice a cell away in each direction at most
-    far = F.when(F.col("stufe") >= GLOBE, math.inf).otherwise(size * (2 * math.sqrt(2) * KM_PER_DEGREE))
-    uphill = F.coalesce(F.greatest(F.col("h_max") - F.col("p_min"), F.col("p_max") - F.col("h_min")),
-                        F.lit(0)) * climb
-    bound = blocks.where((F.col("n") >= n) | (F.col("stufe") == GLOBE)).groupBy("fx", "fy", "lat").agg(
-        F.min(far + F.greatest(uphill, F.lit(0.0))).alias("_weit"))
-    # what lies outside the block is at least one cell away: in latitude a cell of kilometres,
-    # in longitude less towards the poles (two degrees spare for the cell's own extent)
-    shrink = F.cos(F.radians(F.least(F.abs("lat") + 2, F.lit(89.0))))
-    level = F.lit(GLOBE)
-    for i in range(LEVELS - 1, -1, -1):
-        width = CELL * 2 ** i
-        # five percent spare: the way to the next meridian is shorter than along the parallel
-        reaches = F.lit(width * 111.0 * 0.95) * shrink >= F.col("_weit")
-        level = F.when(reaches, F.lit(i)).otherwise(level)
-    return bound.select("fx", "fy", level.alias("stufe"))
+    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("stufe"))
+    return rows.withColumns({"zx": _column(F.col("lon"), F.col("stufe")), "zy": _row(F.col("lat"), F.col("stufe"))})
+
+
+def _ring(rows: DataFrame, up: Column, side: Column) -> DataFrame:
+    """Every row once per cell at most ``up`` rows and ``side`` columns away, each cell once."""
+    n = _columns(F.col("stufe"))
+    all_round = 2 * side + 1 >= n
+    columns = F.when(all_round, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.transform(
+        F.sequence(-side, side), lambda a: F.pmod(F.col("_x") + a, n)))
+    lines = F.sequence(F.greatest(F.col("_y") - up, F.lit(0).cast("bigint")), F.col("_y") + up)
+    return rows.select("*", F.explode(columns).alias("zx")).select("*", F.explode(lines).alias("zy")).drop("_x", "_y")
+
+
+def _first_level(points: DataFrame, st: DataFrame, n: int) -> DataFrame:
+    """Per finest point cell (fx, fy) the level of the smallest block with ``n`` stations."""
+    counts = _levels_down(st.select("lat", "lon")).groupBy("stufe", "zx", "zy").agg(F.count(F.lit(1)).alias("n"))
+    zero, one = F.lit(0), F.lit(1).cast("bigint")
+    cells = points.select(_column(F.col("lon"), zero).alias("fx"), _row(F.col("lat"), zero).alias("fy")).distinct().select(
+        "fx", "fy", ((F.col("fx") + 0.5) * CELL - 180).alias("lon"), ((F.col("fy") + 0.5) * CELL - 90).alias("lat"))
+    placed = _levels_down(cells).withColumnsRenamed({"zx": "_x", "zy": "_y"})
+    found = _ring(placed, one, one).join(counts, ["stufe", "zx", "zy"]).groupBy("fx", "fy", "stufe").agg(F.sum("n").alias("n"))
+    # fewer stations than asked for: the widest level holds all there are
+    enough = F.min(F.when(F.col("n") >= n, F.col("stufe")))
+    return found.groupBy("fx", "fy").agg(F.coalesce(enough, F.lit(LEVELS - 1)).alias("stufe"))
+
+
+def _costs(wanted: DataFrame, placed: DataFrame, climb: float, most: str | None = None) -> DataFrame:
+    """Points beside the stations of their cells with km and wert; beyond ``most`` none."""
+    targets = _levels_down(placed).withColumnRenamed("id", "station")
+    near = with_distance(wanted.join(targets, ["stufe", "zx", "zy"]), "p_lat", "p_lon", "lat", "lon")
+    up = F.coalesce(F.abs(F.col("hoehe") - F.col("p_hoehe")), F.lit(0)) * climb
+    near = near.withColumn("wert", F.col("km") + up)
+    return near if most is None else near.where(F.col("wert") <= F.col(most))
 
 
 def _candidates(points: DataFrame, st: DataFrame, n: int, climb: float) -> DataFrame:
-    placed = st.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
-        "id", "hoehe", "lat", "lon")
-    at = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    levels = _search_level(at, placed, n, climb)
-    wanted = (
-        at.withColumns({"fx": F.floor(F.col("lon") / CELL), "fy": F.floor(F.col("lat") / CELL)})
-        .join(levels, ["fx", "fy"])
-        .select(F.col("id").alias("punkt"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
-                F.col("hoehe").alias("p_hoehe"), "stufe",
-                _cell(F.col("lon"), F.col("stufe")).alias("zx"),
-                _cell(F.col("lat"), F.col("stufe")).alias("zy"),
-                F.inline(_around(F.col("stufe"))))
-        .withColumns({"zx": _turn(F.col("zx") + F.col("a"), F.col("stufe")),
-                      "zy": F.col("zy") + F.col("b")})
-        .drop("a", "b")
+    """All stations that can be among the best ``n`` of a point: cost is km plus ``climb`` per metre of height."""
+    placed = st.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("id", "hoehe", "lat", "lon")
+    at = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+        F.col("id").alias("punkt"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.col("hoehe").alias("p_hoehe"))
+    zero, one, s = F.lit(0), F.lit(1).cast("bigint"), F.col("stufe")
+    # with heights a few more stations make the bound much closer
+    levels = _first_level(at.select(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")), placed, n if not climb else 3 * n)
+    here = {"_x": _column(F.col("p_lon"), s), "_y": _row(F.col("p_lat"), s)}
+    first = (
+        at.withColumns({"fx": _column(F.col("p_lon"), zero), "fy": _row(F.col("p_lat"), zero)})
+        .join(levels, ["fx", "fy"]).drop("fx", "fy").withColumns(here)
     )
-    targets = _levels_down(placed).withColumnRenamed("id", "station")
-    return with_distance(wanted.join(targets, ["stufe", "zx", "zy"]), "p_lat", "p_lon", "lat", "lon")
+    seen = _costs(_ring(first, one, one), placed, climb).groupBy("punkt").agg(
+        # bounded by the smallest block that holds enough
+        F.slice(F.sort_array(F.collect_list("wert")), 1, n).alias("_w"))
+    # fewer than n seen: all stations count
+    limit = seen.select("punkt", F.when(F.size("_w") >= n, F.element_at("_w", -1) + 1e-6).otherwise(F.lit(1e9)).alias("_most"))
+    bounded = at.join(limit, "punkt")
+    # a degree of longitude is shortest at the end of the circle that lies nearer to the pole
+    tall = F.least(F.col("_most") / KM_PER_DEGREE, F.lit(180.0))
+    edge = F.abs("p_lat") + tall
+    # half the angle, exactly: sin(dlon / 2) = sin(d / 2) / cos(lat) at most; beyond a pole all round
+    wide = F.when(edge >= 89.9, 360.0).otherwise(F.degrees(
+        2 * F.asin(F.least(F.lit(1.0), F.sin(F.radians(tall / 2)) / F.cos(F.radians(edge))))))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(tall, F.least(wide, F.lit(90.0))) / (REACH * CELL)))).cast("int")
+    second = bounded.withColumns({"_tall": tall, "_wide": wide, "stufe": F.least(level, F.lit(LEVELS - 1))}).withColumns(here)
+    second = _ring(second, F.ceil(F.col("_tall") / _size(s)), F.ceil(F.col("_wide") / _size(s)))
+    return _costs(second.drop("_tall", "_wide"), placed, climb, "_most").drop("_most")
 
 
 def _active(st: DataFrame, year: int) -> DataFrame:
@@ -146,11 +149,10 @@ def suitable_stations(points: DataFrame, st: DataFrame, n: int = 3, year: int |
     """The best ``n`` active stations of at least thirty years; 100 m of height cost as 10 km."""
     long_enough = F.year("bis") - F.year("von") + 1 >= min_years
     found = _candidates(points, _active(st, year).where(long_enough), n, 0.1)
-    found = found.withColumn("dh", F.col("hoehe") - F.col("p_hoehe"))
-    found = found.withColumn("wert", F.col("km") + F.coalesce(F.abs("dh") / 10, F.lit(0.0)))
     w = Window.partitionBy("punkt").orderBy("wert", "station")
     return (
-        found.withColumn("nr", F.row_number().over(w)).where(F.col("nr") <= n)
+        found.withColumn("dh", F.col("hoehe") - F.col("p_hoehe"))
+        .withColumn("nr", F.row_number().over(w)).where(F.col("nr") <= n)
         .select("punkt", "nr", "station", "km", "dh", "wert")
     )
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REFRESH_AFTER_SECONDS = 3 * 3600
@@ -119,17 +120,27 @@ def with_bucket(obs: DataFrame, buckets: int = 64) -> DataFrame:
     return obs.withColumn("fach", F.pmod(F.xxhash64("station"), F.lit(buckets)).cast("int"))
 
 
-def write_snapshot(snapshot: DataFrame, path: str, created: dt.datetime | Column) -> None:
+def write_snapshot(snapshot: DataFrame, path: str, created: dt.datetime | Column) -> str:
     """The national snapshot as JSON documents, one per station and measure, plus its day.
 
-    Spark's commit makes the whole directory visible at once. The document is not put
-    together in one task, so it may be of any size.
+    Every write makes a folder of its own and then, in one small commit, an entry in ``stand``
+    that names it. Readers go by the newest entry, so they see the old result or the new one,
+    whenever a writer fails; an overwrite would delete the old one first. The document is not put
+    together in one task, so it may be of any size. Returns the folder.
     """
+    spark = snapshot.sparkSession
     created = created if isinstance(created, Column) else F.lit(created)
-    (
-        snapshot_documents(snapshot).withColumn("erstellt", created)
-        .write.mode("overwrite").json(path)
-    )
+    version = f"v-{uuid.uuid4().hex}"
+    snapshot_documents(snapshot).withColumn("erstellt", created).write.json(f"{path}/{version}")
+    entry = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("zeit"))
+    entry.coalesce(1).write.mode("append").json(f"{path}/stand")
+    return f"{path}/{version}"
+
+
+def newest_snapshot(spark: SparkSession, path: str) -> str:
+    """The folder of the newest complete snapshot."""
+    entries = spark.read.schema("version string, zeit timestamp").json(f"{path}/stand")
+    return f"{path}/{entries.agg(F.max_by('version', 'zeit')).first()[0]}"
 
 
 def snapshot_documents(snapshot: DataFrame) -> DataFrame:

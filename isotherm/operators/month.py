@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import day_index
-from isotherm.operators.common import in_years
+from isotherm.operators.common import in_years, of_period
 from isotherm.operators.normals import day_means
 from isotherm.schema import COVERAGE, KMH, MONTH, SUMMED, WIND
 
@@ -44,7 +44,6 @@ def month_days(c: DataFrame, jahr: int | None = None, monat: int | None = None,
         .join(usual, ["station", "k"], "left")
         .select("station", "jahr", "monat", F.day("datum").alias("tag"), *map(_shown, MONTH),
                 (F.col("tmk") - F.col("_normal")).alias("abw"))
-        .orderBy("station", "tag")
     )
 
 
@@ -73,7 +72,7 @@ def month_normal(c: DataFrame, jahr: int | None = None, monat: int | None = None
             "station", F.lit(int(monat)).alias("monat"),
             F.coalesce("bis_tag", F.lit(31)).alias("bis_tag"))
     years = (
-        in_years(c, nv, nv + 29).join(wanted, "station")
+        of_period(c, nv).join(wanted, "station")
         .where((F.month("datum") == F.col("monat")) & (F.day("datum") <= F.col("bis_tag")))
         .groupBy("station", "monat", "bis_tag", F.year("datum").alias("_j"))
         .agg(*[F.sum(m).alias(f"s_{m}") for m in VALUES],

@@ -161,20 +161,24 @@ def new_records(c: DataFrame, days: int = 365) -> DataFrame:
 
 
 def calendar_day_records(c: DataFrame, days: int = 14, min_years: int = 20) -> DataFrame:
-    """Days strictly better than every earlier value of the same month and day."""
-    if not 1 <= days <= 365:
-        raise ValueError("the window must not hold a month-day twice")
+    """Days strictly better than every earlier value of the same month and day.
+
+    Earlier days of the window count as well, so it may be longer than a year. A group of the
+    window function is one month-day of a station: as many rows as the series has years.
+    """
     stand = newest_day(c)
     since = F.date_sub(stand, days - 1)
     # the window's month-days, one spare for a skipped 29 February: 25 of 26 rows stay out
     back = F.pmod(day_index(stand) - day_index(F.col("datum")), F.lit(366))
     values = by_category(c.where(back <= days)).withColumn("md", month_day(F.col("datum")))
-    keys = ["station", "kat", "md"]
-    earlier = values.where(F.col("datum") < since).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("jahre"), F.min(F.struct("key", "datum")).alias("_b"))
+    before = Window.partitionBy("station", "kat", "md").orderBy("datum").rowsBetween(
+        Window.unboundedPreceding, -1)
+    seen = values.withColumns({
+        "jahre": F.count(F.lit(1)).over(before),
+        "_b": F.min(F.struct("key", "datum")).over(before)})
     return with_category(
-        values.where(F.col("datum") >= since).join(earlier, keys)
-        .where((F.col("jahre") >= min_years) & (F.col("key") < F.col("_b.key")))
+        seen.where((F.col("datum") >= since) & (F.col("jahre") >= min_years)
+                   & (F.col("key") < F.col("_b.key")))
     ).select(
         "station", "datum", "spalte", "richtung", "kategorie", "einheit",
         shown_value(F.col("key")).alias("wert"), "jahre",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import day_index
-from isotherm.operators.common import in_years, with_value
+from isotherm.operators.common import of_period, with_value
 
 REACH = 7
 CHUNK = 61          # 366 = 6 chunks of 61 calendar days
@@ -118,12 +118,12 @@ def _pooled(rows: pd.DataFrame, starts: np.ndarray, means: list[str], pooled: st
 
 def day_normals(c: DataFrame, nv: int = 1991) -> DataFrame:
     """k, means of tmk/txk/tnk, and the 10 % and 90 % quantiles of tmk."""
-    return _around(in_years(c, nv, nv + 29), ["tmk", "txk", "tnk"], "tmk")
+    return _around(of_period(c, nv), ["tmk", "txk", "tnk"], "tmk")
 
 
 def day_normal(c: DataFrame, column: str = "tmk", nv: int = 1991) -> DataFrame:
     """The same for one measure, from rows with a value: k, mittel, p10, p90."""
-    rows = with_value(in_years(c, nv, nv + 29), column)
+    rows = with_value(of_period(c, nv), column)
     return _around(rows, [column], column).withColumnRenamed(column, "mittel")
 
 
@@ -134,7 +134,7 @@ def day_means(c: DataFrame, columns: list[str], nv: int = 1991) -> DataFrame:
     they count for.
     """
     sums = (
-        in_years(c, nv, nv + 29).groupBy("station", day_index(F.col("datum")).alias("k"))
+        of_period(c, nv).groupBy("station", day_index(F.col("datum")).alias("k"))
         .agg(*[F.sum(x).alias(f"_s_{x}") for x in columns], *[F.count(x).alias(f"_n_{x}") for x in columns])
     )
     return (
@@ -147,7 +147,7 @@ def day_means(c: DataFrame, columns: list[str], nv: int = 1991) -> DataFrame:
 def normal_years(c: DataFrame, nv: int = 1991) -> DataFrame:
     """Number of years of the period with a daily mean."""
     return (
-        with_value(in_years(c, nv, nv + 29), "tmk")
+        with_value(of_period(c, nv), "tmk")
         .select("station", F.year("datum").alias("jahr")).distinct()
         .groupBy("station").agg(F.count(F.lit(1)).alias("normal_jahre"))
     )

@@ -7,9 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isotherm.functions.calendar import day_index, month_day, year_end, year_length
+from isotherm.functions.calendar import day_index, year_end, year_length
 from isotherm.functions.numbers import quantile_of_sorted
-from isotherm.operators.common import in_years, last_days, with_value, year_rests
+from isotherm.operators.common import in_years, last_days, sums_around, with_value, year_rests
 from isotherm.schema import COVERAGE, FORECAST_YEARS, FULL_YEAR
 
 PS = (0.1, 0.5, 0.9)
@@ -24,13 +24,13 @@ def year_forecast(c: DataFrame, today: dt.date, compare_years: int = FORECAST_YE
         .withColumn("rest", F.datediff(year_end(F.col("lauf")), "letzter"))
         .withColumn("laenge", year_length(F.col("lauf")))
     )
-    behind = month_day(F.col("datum")) > month_day(F.col("letzter"))
+    total = F.coalesce("s_bis", F.lit(0.0)) + F.coalesce("s_nach", F.lit(0.0))
     years = (
-        with_value(c, "tmk").select("station", "datum", "tmk").join(running, "station")
-        .groupBy("station", F.year("datum").alias("jahr"), "lauf", "rest", "laenge")
-        .agg(F.avg("tmk").alias("m"), F.count(F.lit(1)).alias("n"),
-             F.avg(F.when(behind, F.col("tmk"))).alias("m_rest"),
-             F.count(F.when(behind, 1)).alias("n_rest"))
+        sums_around(c, running.withColumn("ende", F.col("letzter"))).join(running, "station")
+        .withColumn("n", F.col("n_bis") + F.col("n_nach"))
+        .select("station", "jahr", "lauf", "rest", "laenge", (total / F.col("n")).alias("m"), "n",
+                F.when(F.col("n_nach") > 0, F.col("s_nach") / F.col("n_nach")).alias("m_rest"),
+                F.col("n_nach").alias("n_rest"))
     )
     is_own = F.col("jahr") == F.col("lauf")
     compared = (

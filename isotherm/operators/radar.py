@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from isotherm.functions.sky import GRID_COLUMNS, GRID_ROWS, with_rain_class
 
-# ---- fixed values: hours offered, hours of forecast ----------------------------
-HOURS_BACK = (1, 2, 3, 6)
+# ---- fixed value: hours of forecast ---------------------------------------------
 HOURS_AHEAD = 2
 # --------------------------------------------------------------------------------
 
@@ -21,7 +20,7 @@ def merge_frames(parts: DataFrame, block: DataFrame) -> DataFrame:
     row = F.struct(*[c for c in parts.columns if c != "timestamp"])
     return (
         both.groupBy("timestamp").agg(F.min_by(row, F.col("_q")).alias("r"))
-        .select("timestamp", "r.*").orderBy("timestamp")
+        .select("timestamp", "r.*")
     )
 
 
@@ -34,8 +33,8 @@ def sample_frames(frames: DataFrame, now: dt.datetime | Column, hours_back: int
 
     Only timestamps are compared, so frames that are not wanted are never decoded.
     """
-    if hours_back not in HOURS_BACK:
-        hours_back = HOURS_BACK[0]
+    if hours_back <= 0:
+        raise ValueError(f"hours back must be positive: {hours_back}")
     step = step_minutes(hours_back)
     now = now if isinstance(now, Column) else F.lit(now)
     now_min = F.floor(F.unix_timestamp(now) / 300) * 5
@@ -73,20 +72,31 @@ def windows_around(points: DataFrame, km: int | None) -> DataFrame:
                          (x + h).alias("rechts"))
 
 
+BLOCK = 64                      # grid cells along a block's edge
+
+
 def crop_around(pixels: DataFrame, points: DataFrame, km: int | None) -> DataFrame:
-    """Pixels inside the window of each point, found by the blocks of ``km`` both lie in."""
+    """Pixels of every frame inside the window of each point.
+
+    Windows are joined by the grid blocks they touch, a block of a frame being one key: pixels of
+    different frames never share one. Without ``km`` a window is the whole grid and the result is
+    by definition every pixel for every point; it is put together block by block all the same.
+    """
     boxes = windows_around(points, km)
-    edge = int(km) if km else max(GRID_ROWS, GRID_COLUMNS)
 
     def covered(lo, hi):
-        return F.explode(F.sequence(F.floor(F.col(lo) / edge), F.floor(F.col(hi) / edge)))
+        return F.explode(F.sequence(F.floor(F.col(lo) / BLOCK), F.floor(F.col(hi) / BLOCK)))
 
     boxes = boxes.withColumn("by", covered("oben", "unten")).withColumn(
         "bx", covered("links", "rechts"))
+    keys = ["timestamp", "by", "bx"] if "timestamp" in pixels.columns else ["by", "bx"]
     blocked = pixels.withColumns({
-        "by": F.floor(F.col("zeile") / edge), "bx": F.floor(F.col("spalte") / edge)})
+        "by": F.floor(F.col("zeile") / BLOCK), "bx": F.floor(F.col("spalte") / BLOCK)})
+    if "timestamp" in keys:
+        # blocks that exist, per frame: narrow rows, and every frame's blocks are keys of their own
+        boxes = blocked.select(*keys).distinct().join(boxes, ["by", "bx"])
     return (
-        blocked.join(boxes, ["by", "bx"])
+        blocked.join(boxes, keys)
         .where(F.col("zeile").between(F.col("oben"), F.col("unten"))
                & F.col("spalte").between(F.col("links"), F.col("rechts")))
         .drop("by", "bx", "oben", "links", "unten", "rechts")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import day_index, month_day
-from isotherm.operators.common import earliest, last_days
+from isotherm.operators.common import last_days, with_first_dates
 from isotherm.operators.normals import day_means
 from isotherm.schema import CATEGORIES
 
@@ -128,11 +128,10 @@ def records(c: DataFrame, n: int = 10, limit_depth: bool = False) -> DataFrame:
 
 def extremes(c: DataFrame) -> DataFrame:
     """Hottest maximum and coldest minimum with their first dates."""
-    d = F.col("datum")
-    return c.groupBy("station").agg(
-        earliest(F.col("txk"), d, True).alias("h"), earliest(F.col("tnk"), d, False).alias("k"),
-    ).select("station", (-F.col("h.key")).alias("heiss"), F.col("h.datum").alias("heiss_datum"),
-             F.col("k.key").alias("kalt"), F.col("k.datum").alias("kalt_datum"))
+    best = c.groupBy("station").agg(F.max("txk").alias("heiss"), F.min("tnk").alias("kalt"))
+    return with_first_dates(best, c, {"station": F.col("station")}, {
+        "heiss_datum": ("txk", "heiss"), "kalt_datum": ("tnk", "kalt"),
+    }).select("station", "heiss", "heiss_datum", "kalt", "kalt_datum")
 
 
 HISTORY = ("tmk", "txk", "tnk")
@@ -192,5 +191,4 @@ def this_day_years(c: DataFrame, date: dt.date | None = None) -> DataFrame:
     return (
         _same_day(c, date).groupBy("station", "jahr")
         .agg(*[F.max(F.when(F.col("spalte") == s, F.col("wert"))).alias(s) for s in HISTORY])
-        .orderBy("station", F.desc("jahr"))
     )

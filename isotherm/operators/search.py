@@ -1,8 +1,7 @@
 """Search of places and stations by words.
 
 Queries are a table. Every text is indexed by its character triples (shorter pieces for
-short words); a query meets only texts that share the first triple of its longest word, and
-is then compared in full.
+short words); a query meets only texts that share its rarest piece, and is then compared in full.
 """
 
 from __future__ import annotations
@@ -18,16 +17,19 @@ def _words(text: Column) -> Column:
 
 
 def _queries(queries: DataFrame) -> DataFrame:
-    """Columns: anfrage, q, woerter, gram."""
+    """Columns: anfrage, q, woerter, grams (the pieces of all words of the greatest length they have)."""
     q = F.lower(F.trim("text"))
-    longest = F.array_max(F.transform("woerter", lambda w: F.struct(
-        F.length(w).alias("n"), w.alias("w"))))["w"]
-    return (
+    asked = (
         queries.select("anfrage", q.alias("q")).where(F.col("q") != "")
         .withColumn("woerter", _words(F.col("q"))).where(F.size("woerter") > 0)
-        .withColumn("gram", F.substring(longest, 1, GRAM))
     )
 
+    def pieces(w):
+        size = F.least(F.length(w), F.lit(GRAM))
+        return F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.substring(w, i, size))
+
+    return asked.withColumn("grams", F.array_distinct(F.flatten(F.transform("woerter", pieces))))
+
 
 def _grams(text: Column) -> Column:
     """All pieces of one to three characters, each once."""
@@ -39,11 +41,23 @@ def _grams(text: Column) -> Column:
 
 
 def _meet(queries: DataFrame, texts: DataFrame, indexed: Column) -> DataFrame:
+    """Texts beside the queries whose rarest piece they hold.
+
+    Only ids go through the index; a piece that no text holds makes its query empty.
+    """
     asked = _queries(queries)
+    pieces = asked.select("anfrage", F.explode("grams").alias("gram"))
     # only pieces some query asks for leave the tasks that index the texts
-    index = texts.select("*", F.explode(_grams(indexed)).alias("gram")).join(
-        asked.select("gram").distinct(), "gram", "left_semi")
-    return index.join(asked, "gram")
+    index = texts.select("id", F.explode(_grams(indexed)).alias("gram")).join(
+        pieces.select("gram").distinct(), "gram", "left_semi")
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        pieces.join(counts, "gram", "left")
+        .groupBy("anfrage").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+        .where("r.n > 0").select("anfrage", F.col("r.gram").alias("gram"))
+    )
+    met = index.join(rarest, "gram").select("anfrage", "id")
+    return met.join(asked, "anfrage").join(texts, "id")
 
 
 def _begins_a_part(w: Column, name: Column, marks: tuple[str, ...]) -> Column:
@@ -82,7 +96,7 @@ def search_stations(queries: DataFrame, st: DataFrame, n: int | None = None) ->
         F.contains(name, w) | F.contains(F.col("_l"), w) | F.contains(F.col("_nr"), w))))
     digits = F.col("q").rlike(r"^\d+$")
     tier = (
-        F.when(digits & (F.try_to_number(F.col("q"), F.lit("9" * 18)) == F.col("id")), 0)
+        F.when(digits & (F.regexp_replace("q", "^0+(?=.)", "") == F.col("id").cast("string")), 0)
         .when(F.startswith(name, F.col("q")), 1)
         .when(F.forall("woerter", lambda w: _begins_a_part(w, name, (" ", "-", "("))), 2)
         .when(F.forall("woerter", lambda w: F.contains(name, w)), 3).otherwise(4))

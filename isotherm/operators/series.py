@@ -17,12 +17,9 @@ def coverage(obs: DataFrame) -> DataFrame:
 
 
 def years(c: DataFrame) -> DataFrame:
-    """Years with any temperature, newest first."""
+    """Years with any temperature."""
     measured = F.coalesce("tmk", "txk", "tnk").isNotNull()
-    return (
-        c.where(measured).select("station", F.year("datum").alias("jahr")).distinct()
-        .orderBy("station", F.desc("jahr"))
-    )
+    return c.where(measured).select("station", F.year("datum").alias("jahr")).distinct()
 
 
 def station_overview(st: DataFrame, obs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isotherm.functions.calendar import month_length
 from isotherm.functions.numbers import displayed, quantile_of_sorted
 from isotherm.operators.common import (
-    earliest, in_period, in_years, of_year, with_value, year_curves,
+    in_period, in_years, of_period, of_year, with_first_dates, with_value, year_curves,
 )
 from isotherm.operators.waves import dry_spells
 from isotherm.schema import COVERAGE, FULL_YEAR, WET
@@ -19,12 +19,13 @@ def yearly_totals(c: DataFrame, column: str = "rsk") -> DataFrame:
     v = F.col(column)
     rows = c.groupBy("station", F.year("datum").alias("jahr")).agg(
         F.coalesce(F.sum(v), F.lit(0.0)).alias("summe"), F.count(v).alias("tage"),
-        F.count_if(v >= WET).alias("nass"),
-        earliest(v, F.col("datum"), True).alias("_max"))
+        F.count_if(v >= WET).alias("nass"), F.max(v).alias("max"))
+    rows = with_first_dates(rows, c, {"station": F.col("station"), "jahr": F.year("datum")},
+                            {"max_datum": (column, "max")})
     rows = rows.select(
         "station", "jahr", "summe", "tage",
         ("nass" if column == "rsk" else F.lit(None).cast("bigint").alias("nass")),
-        (-F.col("_max.key")).alias("max"), F.col("_max.datum").alias("max_datum"))
+        "max", "max_datum")
     if column != "rsk":
         return rows.withColumns({"trocken": F.lit(None).cast("int"),
                                  "trocken_von": F.lit(None).cast("date")})
@@ -57,7 +58,7 @@ def cumulative(c: DataFrame, column: str = "rsk", jahr: int | None = None) -> Da
 def cumulative_band(c: DataFrame, column: str = "rsk", nv: int = 1991,
                     min_days: int = FULL_YEAR) -> DataFrame:
     """10, 50 and 90 % over the curves of the period's full years (at most thirty a station)."""
-    full = year_curves(in_years(c, nv, nv + 29), column).where(F.col("tage") >= min_days)
+    full = year_curves(of_period(c, nv), column).where(F.col("tage") >= min_days)
     bundles = full.groupBy("station").agg(F.collect_list("kurve").alias("_k"))
 
     def at(k):
@@ -78,7 +79,7 @@ def monthly_totals(c: DataFrame, column: str = "rsk", jahr: int | None = None, n
     own = with_value(of_year(c, jahr, column), column).groupBy("station", "jahr", month).agg(
         F.sum(column).alias("summe"), F.count(F.lit(1)).alias("tage"))
     usual = (
-        with_value(in_years(c, nv, nv + 29), column)
+        with_value(of_period(c, nv), column)
         .groupBy("station", F.year("datum").alias("_j"), month)
         .agg(F.sum(column).alias("_s"), F.count(F.lit(1)).alias("_n"),
              F.max(month_length(F.col("datum"))).alias("_l"))

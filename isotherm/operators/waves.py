@@ -32,13 +32,13 @@ def waves(c: DataFrame, kind: str = "normal", hot: float = 30.0, cold: float = 0
             hot, cold, min_days = 30.0, 0.0, 3
         rows, value, shortest = with_value(c, "txk"), "txk", max(1, int(min_days))
         is_hot, is_cold = F.col("txk") >= float(hot), F.col("txk") < float(cold)
-    out = None
-    for name, condition, extreme in (("hitze", is_hot, "hoch"), ("kaelte", is_cold, "tief")):
-        found = runs(rows.where(condition), value).where(F.col("tage") >= shortest).select(
-            "station", F.lit(name).alias("typ"), "von", "bis", "tage",
-            F.col(extreme).alias("extrem"), (F.col("summe") / F.col("tage")).alias("mittel"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    # a day once per sort that holds (own thresholds may overlap); both are formed in one pass
+    sorts = F.array_compact(F.array(F.when(is_hot, F.lit("hitze")), F.when(is_cold, F.lit("kaelte"))))
+    found = runs(rows.withColumn("typ", F.explode(sorts)), value, ["typ"])
+    return found.where(F.col("tage") >= shortest).select(
+        "station", "typ", "von", "bis", "tage",
+        F.when(F.col("typ") == "hitze", F.col("hoch")).otherwise(F.col("tief")).alias("extrem"),
+        (F.col("summe") / F.col("tage")).alias("mittel"))
 
 
 def wave_years(found: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import day_index, month_day, new_year, year_end
-from isotherm.operators.common import in_period, in_years, last_days, of_year, with_value
+from isotherm.operators.common import in_period, last_days, of_period, of_year, sums_around, with_value
 from isotherm.schema import COVERAGE, FULL_YEAR
 
 
 def year_days(c: DataFrame, jahr: int | None = None) -> DataFrame:
     return of_year(c, jahr).select(
         "station", "jahr", "datum", day_index(F.col("datum")).alias("k"), "tmk", "txk", "tnk"
-    ).orderBy("station", "datum")
+    )
 
 
 def months_vs_normal(c: DataFrame, jahr: int | None = None, nv: int = 1991) -> DataFrame:
@@ -21,7 +21,7 @@ def months_vs_normal(c: DataFrame, jahr: int | None = None, nv: int = 1991) -> D
     month = F.month("datum").alias("monat")
     own = of_year(c, jahr).groupBy("station", "jahr", month).agg(
         F.avg("tmk").alias("m"), F.count("tmk").alias("tage"))
-    usual = in_years(c, nv, nv + 29).groupBy("station", month).agg(F.avg("tmk").alias("normal"))
+    usual = of_period(c, nv).groupBy("station", month).agg(F.avg("tmk").alias("normal"))
     return own.join(usual, ["station", "monat"], "left")
 
 
@@ -39,13 +39,8 @@ def _targets(c: DataFrame, jahr: int | None) -> DataFrame:
 def ytd_rank(c: DataFrame, jahr: int | None = None, share: float = COVERAGE) -> DataFrame:
     """Place of the year among all years over the same span from 1 January."""
     targets = _targets(c, jahr)
-    spans = (
-        with_value(c, "tmk").select("station", "datum", "tmk")
-        .join(targets.select("station", "ende"), "station")
-        .where(month_day(F.col("datum")) <= month_day(F.col("ende")))
-        .groupBy("station", F.year("datum").alias("jahr"))
-        .agg(F.avg("tmk").alias("m"), F.count(F.lit(1)).alias("tage"))
-    )
+    spans = sums_around(c, targets).where("n_bis > 0").select(
+        "station", "jahr", (F.col("s_bis") / F.col("n_bis")).alias("m"), F.col("n_bis").alias("tage"))
     # one row per station and year from here on
     enough = F.col("tage") >= F.col("spanne") * share
     w = Window.partitionBy("station", enough)
@@ -93,12 +88,10 @@ def ranking(c: DataFrame, mode: str = "heute", nv: int = 1991, forecast: DataFra
     if mode == "heute":
         span = F.datediff("letzter", new_year(F.col("jahr_letzter"))) + 1
         years = (
-            rows.join(last, "station")
-            .where(month_day(F.col("datum")) <= month_day(F.col("letzter")))
-            .groupBy("station", F.year("datum").alias("jahr"))
-            .agg(F.avg("tmk").alias("m"), F.count("tmk").alias("tage"),
-                 F.first(span).alias("spanne"))
-            .where(F.col("tage") >= F.col("spanne") * share).drop("spanne")
+            sums_around(c, last.withColumn("ende", F.col("letzter"))).where("n_bis > 0")
+            .join(last.select("station", span.alias("spanne")), "station")
+            .where(F.col("n_bis") >= F.col("spanne") * share)
+            .select("station", "jahr", (F.col("s_bis") / F.col("n_bis")).alias("m"), F.col("n_bis").alias("tage"))
         )
         return _placed(years, nv)
     years = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import winter_year
-from isotherm.operators.common import earliest, in_period
+from isotherm.operators.common import in_period, with_first_dates
 from isotherm.operators.series import yearly_means
 from isotherm.schema import COVERAGE, FULL_YEAR, HURRICANE, KMH, SNOW, STORM, THRESHOLDS
 
@@ -52,17 +52,16 @@ def stripes(c: DataFrame, nv: int = 1991, min_days: int = FULL_YEAR) -> DataFram
 def snow_winters(c: DataFrame, nv: int = 1991, share: float = COVERAGE) -> DataFrame:
     """October to April, named by January."""
     snow = F.col("shk") >= SNOW
-    rows = (
-        c.where(~F.month("datum").between(5, 9))
-        .groupBy("station", winter_year(F.col("datum")).alias("winter"))
-        .agg(F.count("shk").alias("tage"), F.count_if(snow).alias("schneetage"),
-             earliest(F.col("shk"), F.col("datum"), True).alias("_max"),
+    cold = c.where(~F.month("datum").between(5, 9))
+    keys = {"station": F.col("station"), "winter": winter_year(F.col("datum"))}
+    rows = with_first_dates(
+        cold.groupBy(*[e.alias(k) for k, e in keys.items()])
+        .agg(F.count("shk").alias("tage"), F.count_if(snow).alias("schneetage"), F.max("shk").alias("max"),
              F.min(F.when(snow, F.col("datum"))).alias("erster"),
-             F.max(F.when(snow, F.col("datum"))).alias("letzter"))
-    )
+             F.max(F.when(snow, F.col("datum"))).alias("letzter")),
+        cold, keys, {"max_datum": ("shk", "max")})
     counted = in_period(nv, "winter") & (F.col("tage") >= 212 * share)
-    return rows.select("station", "winter", "tage", "schneetage", (-F.col("_max.key")).alias("max"),
-                       F.col("_max.datum").alias("max_datum"), "erster", "letzter",
+    return rows.select("station", "winter", "tage", "schneetage", "max", "max_datum", "erster", "letzter",
                        _usual("schneetage", counted).alias("normal"))
 
 
@@ -70,12 +69,12 @@ def wind_years(c: DataFrame, nv: int = 1991, min_days: int = FULL_YEAR) -> DataF
     """Storm days and strongest gust (km/h); years with few days are marked."""
     rows = c.groupBy("station", F.year("datum").alias("jahr")).agg(
         F.count("fx").alias("tage"), F.count_if(F.col("fx") >= STORM).alias("sturm"),
-        F.count_if(F.col("fx") >= HURRICANE).alias("orkan"),
-        earliest(F.col("fx"), F.col("datum"), True).alias("_max"))
+        F.count_if(F.col("fx") >= HURRICANE).alias("orkan"), F.max("fx").alias("max"))
+    rows = with_first_dates(rows, c, {"station": F.col("station"), "jahr": F.year("datum")},
+                            {"max_datum": ("fx", "max")})
     counted = in_period(nv) & (F.col("tage") >= min_days)
     return rows.select("station", "jahr", "tage", "sturm", "orkan",
-                       (-F.col("_max.key") * KMH).alias("max"),
-                       F.col("_max.datum").alias("max_datum"),
+                       (F.col("max") * KMH).alias("max"), "max_datum",
                        (F.col("tage") < min_days).alias("unvollstaendig"),
                        _usual("sturm", counted).alias("normal"))
 

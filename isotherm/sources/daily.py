@@ -23,21 +23,36 @@ FIELD_NAME = r"^[A-Za-z0-9_]+$"
 DATE_FORMAT = "yyyyMMdd"
 ERROR_LENGTH = 200
 # --------------------------------------------------------------------------------
-LINES = "path string, ord bigint, value string, fehler string"
+# kopf: the file's first line, beside every line; anfang: this line is the first one
+LINES = "path string, kopf string, anfang boolean, value string, fehler string"
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, ord, value. ``ord`` only has to find the first line of a file."""
-    return (
-        spark.read.text(path)
-        .select(F.col("_metadata.file_path").alias("path"),
-                F.col("_metadata.file_block_start").alias("_b"),
-                F.monotonically_increasing_id().alias("_i"), "value")
-        .select("path", F.struct("_b", "_i").alias("ord"), "value")
-    )
+    """path, block, value and number inside the task of every line."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_i"), "value")
+
+
+def with_heads(lines: DataFrame) -> DataFrame:
+    """Lines (path, _b, _i, value) with the first line of their file.
+
+    The first line of a file is the first one of its block 0. Its number is a hash aggregate of
+    fixed width over block 0; the line itself is one row per file.
+    """
+    first = lines.where(F.col("_b") == 0).groupBy("path").agg(F.min("_i").alias("_i0"))
+    heads = lines.where(F.col("_b") == 0).join(first, "path").where(F.col("_i") == F.col("_i0")).select(
+        "path", "_i0", F.col("value").alias("kopf"))
+    # a line that repeats the head is no data either
+    return lines.select("path", "_b", "value").join(heads.select("path", "kopf"), "path").select(
+        "path", "kopf", ((F.col("_b") == 0) & (F.col("value") == F.col("kopf"))).alias("anfang"), "value",
+        F.lit(None).cast("string").alias("fehler"))
 
 
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def failed(path: str, error: str) -> pd.DataFrame:
+        return pd.DataFrame({"path": [path], "kopf": [None], "anfang": [False], "value": [None], "fehler": [error]})
+
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             try:
@@ -45,47 +60,45 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     name = next((n for n in archive.namelist() if n.startswith(PRODUCT_NAME)), None)
                     text = archive.read(name).decode("latin-1") if name else None
             except (zipfile.BadZipFile, EOFError, OSError, ValueError) as error:
-                yield pd.DataFrame({"path": [path], "ord": [None], "value": [None],
-                                    "fehler": [f"archive unreadable: {error}"[:ERROR_LENGTH]]})
+                yield failed(path, f"archive unreadable: {error}")
                 continue
             if text is None:
-                yield pd.DataFrame({"path": [path], "ord": [None], "value": [None],
-                                    "fehler": [f"no file {PRODUCT_NAME} in the archive"]})
+                yield failed(path, f"no file {PRODUCT_NAME} in the archive")
                 continue
             lines = text.split("\n")
-            yield pd.DataFrame({"path": path, "ord": range(len(lines)), "value": lines,
-                                "fehler": None})
+            yield pd.DataFrame({"path": path, "kopf": lines[0], "anfang": [i == 0 for i in range(len(lines))],
+                                "value": lines, "fehler": None})
 
 
 def unpack_archives(archives: DataFrame) -> DataFrame:
-    """Archives (path, content) -> lines (path, ord, value) and, in ``fehler``, what failed."""
+    """Archives (path, content) -> lines with their head and, in ``fehler``, what failed."""
     return archives.select("path", "content").mapInPandas(_unzip, LINES)
 
 
-def _headers(lines: DataFrame) -> DataFrame:
-    """Per file its first line, the positions of the known fields, and what is wrong with it."""
-    names = F.transform(F.split(F.col("_kopf"), ";"), lambda n: F.trim(n))
-    first = lines.groupBy("path").agg(F.min(F.struct("ord", "value")).alias("r")).select(
-        "path", F.col("r.ord").alias("_ord"), F.trim(F.rtrim(F.col("r.value"), F.lit("\r"))).alias("_kopf"))
+def _with_positions(lines: DataFrame, required: list[str]) -> DataFrame:
+    """Where the known fields stand in each line's file, and what is wrong with its head."""
+    head = F.trim(F.rtrim(F.col("kopf"), F.lit("\r")))
     ok = F.forall("_namen", lambda n: n.rlike(FIELD_NAME)) & (
-        F.size(F.array_except(F.array(*[F.lit(n) for n in PRODUCT_REQUIRED]), F.col("_namen"))) == 0)
+        F.size(F.array_except(F.array(*[F.lit(n) for n in required]), F.col("_namen"))) == 0)
     at = [F.array_position("_namen", f).cast("int").alias(f"_at_{f}")
           for f in ["STATIONS_ID", "MESS_DATUM", *PRODUCT_FIELDS]]
-    return first.withColumn("_namen", names).select(
-        "path", "_ord", *at,
-        F.when(~F.coalesce(ok, F.lit(False)), F.substring(
-            F.concat(F.lit("unexpected header: "), F.col("_kopf")), 1, ERROR_LENGTH))
-        .alias("kopf_fehler"))
+    named = lines.withColumn("_namen", F.transform(F.split(head, ";"), lambda n: F.trim(n)))
+    return named.select(*lines.columns, *at, F.when(
+        F.col("fehler").isNull() & ~F.coalesce(ok, F.lit(False)),
+        F.concat(F.lit("unexpected header: "), head)).alias("kopf_fehler"))
 
 
 def _field(name: str) -> Column:
     return F.trim(F.when(F.col(f"_at_{name}") > 0, F.get("_f", F.col(f"_at_{name}") - 1)))
 
 
-def parse_products(lines: DataFrame, quelle: int | Column = 0,
-                   station: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Lines of product files -> (observations with ``path``, failed files with ``fehler``)."""
-    headers = _headers(lines)
+def parse_lines(lines: DataFrame, quelle: int | Column = 0, station: Column | None = None) -> DataFrame:
+    """Lines with heads -> observations with ``path`` and, in ``fehler``, what is wrong with a row.
+
+    One projection over the lines: good and failed files are two filters on its result. Without
+    ``station`` every row must bring a readable STATIONS_ID.
+    """
+    required = [*PRODUCT_REQUIRED, *(["STATIONS_ID"] if station is None else [])]
     types = {f.name: f.dataType for f in OBSERVATION.fields}
     columns, wrong = {}, []
     for name, column in PRODUCT_FIELDS.items():
@@ -95,27 +108,35 @@ def parse_products(lines: DataFrame, quelle: int | Column = 0,
         wrong.append((text != "") & number.isNull())
     date_text = _field("MESS_DATUM")
     date = F.to_date(F.try_to_timestamp(date_text, F.lit(DATE_FORMAT)))
-    bad = F.coalesce(date.isNull(), F.lit(False))
+    sid = station if station is not None else _field("STATIONS_ID").try_cast("int")
+    bad = F.coalesce(date.isNull(), F.lit(False)) | sid.isNull()
     for w in wrong:
         bad = bad | F.coalesce(w, F.lit(False))
-    sid = station if station is not None else _field("STATIONS_ID").try_cast("int")
     source = quelle if isinstance(quelle, Column) else F.lit(quelle)
-    rows = (
-        lines.join(headers.where(F.col("kopf_fehler").isNull()), "path")
-        .where(F.col("ord") != F.col("_ord"))
+    headless = F.col("fehler").isNotNull() | F.col("kopf_fehler").isNotNull()
+    unreadable = F.when(bad, F.concat(F.lit("unreadable line: "), F.col("value")))
+    return (
+        _with_positions(lines, required)
+        # of a file without a usable head one line tells the error, of the others all but the head
+        .where(F.when(headless, F.col("anfang") | F.col("fehler").isNotNull()).otherwise(~F.col("anfang")))
         .withColumn("_f", F.split(F.rtrim(F.col("value"), F.lit("\r")), ";"))
-        .where(date_text != "")
-        .select("path", sid.alias("station"), date.alias("datum"),
-                *[v.alias(k) for k, v in columns.items()], source.alias("quelle"),
-                bad.alias("_bad"), F.col("value").alias("_zeile"))
-    )
-    failed = (
-        headers.where(F.col("kopf_fehler").isNotNull())
-        .select("path", F.col("kopf_fehler").alias("fehler"))
-        .unionByName(rows.where("_bad").groupBy("path").agg(F.min("_zeile").alias("z")).select(
-            "path", F.substring(F.concat(F.lit("unreadable line: "), F.col("z")), 1, ERROR_LENGTH)
-            .alias("fehler")))
+        .where(headless | (date_text != ""))
+        .select("path", sid.alias("station"), date.alias("datum"), *[v.alias(k) for k, v in columns.items()],
+                source.alias("quelle"), F.coalesce("fehler", "kopf_fehler", unreadable).alias("fehler"))
     )
+
+
+def failed_files(rows: DataFrame, error_length: int = ERROR_LENGTH) -> DataFrame:
+    """(path, fehler): the files with anything wrong, each with one of its errors."""
+    return rows.where(F.col("fehler").isNotNull()).groupBy("path").agg(
+        F.substring(F.min("fehler"), 1, error_length).alias("fehler"))
+
+
+def parse_products(lines: DataFrame, quelle: int | Column = 0, station: Column | None = None,
+                   error_length: int = ERROR_LENGTH) -> tuple[DataFrame, DataFrame]:
+    """Lines of product files -> (observations with ``path``, failed files with ``fehler``)."""
+    rows = parse_lines(lines, quelle, station)
+    failed = failed_files(rows, error_length)
     # the failed files are few; where they are not, this is an ordinary shuffled anti join
     good = rows.join(failed.select("path"), "path", "left_anti").select(
         *[f.name for f in OBSERVATION.fields], "path")
@@ -125,7 +146,7 @@ def parse_products(lines: DataFrame, quelle: int | Column = 0,
 def read_daily(spark: SparkSession, path: str, quelle: int | Column = 0
                ) -> tuple[DataFrame, DataFrame]:
     """Product text files -> (observations, failed files)."""
-    return parse_products(text_lines(spark, path), quelle)
+    return parse_products(with_heads(text_lines(spark, path)), quelle)
 
 
 def archive_provenance(path: Column) -> Column:
@@ -135,11 +156,7 @@ def archive_provenance(path: Column) -> Column:
 
 def parse_archives(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Zip archives (path, content) -> (observations, failed archives)."""
-    lines = unpack_archives(archives)
-    good, failed = parse_products(lines.where(F.col("fehler").isNull()).drop("fehler"),
-                                  archive_provenance(F.col("path")))
-    unreadable = lines.where(F.col("fehler").isNotNull()).select("path", "fehler")
-    return good, failed.unionByName(unreadable)
+    return parse_products(unpack_archives(archives), archive_provenance(F.col("path")))
 
 
 def read_archives(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:

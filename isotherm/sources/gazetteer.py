@@ -38,15 +38,22 @@ def parse_places(rows: DataFrame) -> DataFrame:
             field(0).alias("id"), field(NAME).alias("name"),
             F.bround(field(LAT).cast("double") * 1000, 0).cast("int").alias("lat_m"),
             F.bround(field(LON).cast("double") * 1000, 0).cast("int").alias("lon_m"),
+            # the same in degrees, as the search around points takes them
+            (F.bround(field(LAT).cast("double") * 1000, 0) / 1000).alias("lat"),
+            (F.bround(field(LON).cast("double") * 1000, 0) / 1000).alias("lon"),
             F.when(height >= -100, height).alias("hoehe"),
             F.try_element_at(state, field(STATE)).alias("land"),
             F.coalesce(field(POPULATION).try_cast("bigint"), F.lit(0)).alias("einwohner"),
             summit.alias("gipfel"))
-        .orderBy(F.desc("einwohner"),
-                 F.when(F.col("gipfel"), -F.coalesce("hoehe", F.lit(0))).otherwise(0), "name")
     )
 
 
+def in_reading_order(places: DataFrame) -> DataFrame:
+    """Larger places first, higher summits first, then by name."""
+    return places.orderBy(F.desc("einwohner"), F.when(
+        F.col("gipfel"), -F.coalesce("hoehe", F.lit(0))).otherwise(0), "name")
+
+
 def read_places(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"_c{i} string" for i in range(COLUMNS))
     return parse_places(spark.read.schema(schema).csv(path, sep="\t", quote="", escape=""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.operators.forecast import HEAVY_RAIN, STORM_KMH, local_day
+from isotherm.operators.forecast import HEAVY_RAIN, STORM_KMH, alert_kinds, local_day
 
 
 def stream_alerts(hours: DataFrame, delay: str = "36 hours", storm: float = STORM_KMH,
@@ -15,10 +15,8 @@ def stream_alerts(hours: DataFrame, delay: str = "36 hours", storm: float = STOR
     The delay is longer than a day, so that the key of a local day stays in the state for the
     whole day. Emits the first hour that arrives over a threshold, not the strongest.
     """
-    kinds = F.array(
-        F.struct(F.lit("sturm").alias("art"), (F.col("boe") >= storm).alias("da")),
-        F.struct(F.lit("regen").alias("art"), (F.col("regen") >= heavy).alias("da")),
-        F.struct(F.lit("gewitter").alias("art"), (F.col("symbol") == "gewitter").alias("da")))
+    kinds = F.array(*[F.struct(F.lit(art).alias("art"), condition.alias("da"))
+                      for art, condition, _ in alert_kinds(hours, storm, heavy)])
     return (
         hours.withWatermark("zeit", delay)
         .select("ort", "zeit", F.explode(F.filter(kinds, lambda k: k["da"])).alias("_k"))

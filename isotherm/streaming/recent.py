@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from isotherm.plans.store import BUCKETS, refresh_recent
-from isotherm.sources.daily import parse_products
+from isotherm.sources.daily import parse_products, with_heads
 
 
 def newest_per_station(rows: DataFrame, arrived: DataFrame) -> DataFrame:
@@ -18,20 +18,24 @@ def newest_per_station(rows: DataFrame, arrived: DataFrame) -> DataFrame:
                       ["station", "path"], "left_semi").drop("path", "zeit")
 
 
-def stream_recent(spark: SparkSession, in_dir: str, table: str, checkpoint: str,
+def stream_recent(spark: SparkSession, in_dir: str, table: str, checkpoint: str, failed_dir: str,
                   buckets: int = BUCKETS) -> StreamingQuery:
-    """Take what lies in ``in_dir`` and stop; the same file twice leaves the same store."""
+    """Take what lies in ``in_dir`` and stop; the same file twice leaves the same store.
+
+    Files that could not be read are written below ``failed_dir`` (path, fehler, zeit), one folder
+    per batch: a batch that runs again writes the same folder again.
+    """
     lines = spark.readStream.format("text").load(in_dir).select(
         "value", F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_b"),
         F.col("_metadata.file_modification_time").alias("zeit"))
 
-    def load(batch: DataFrame, _: int) -> None:
-        numbered = batch.withColumn("ord", F.struct("_b", F.monotonically_increasing_id().alias("_i")))
-        numbered = numbered.select("path", "ord", "value", "zeit").persist()
+    def load(batch: DataFrame, number: int) -> None:
+        numbered = batch.withColumn("_i", F.monotonically_increasing_id()).persist()
         try:
-            good, _failed = parse_products(numbered.select("path", "ord", "value"), 1)
+            good, failed = parse_products(with_heads(numbered.select("path", "_b", "_i", "value")), 1)
             arrived = numbered.groupBy("path").agg(F.max("zeit").alias("zeit"))
+            failed.join(arrived, "path").write.mode("overwrite").parquet(f"{failed_dir}/charge={number}")
             refresh_recent(batch.sparkSession, newest_per_station(good, arrived), table, buckets)
         finally:
             numbered.unpersist()
@@ -40,3 +44,8 @@ def stream_recent(spark: SparkSession, in_dir: str, table: str, checkpoint: str,
         lines.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def failed_arrivals(spark: SparkSession, failed_dir: str) -> DataFrame:
+    """Files of all batches that could not be read: path, fehler, zeit, charge."""
+    return spark.read.schema("path string, fehler string, zeit timestamp, charge int").parquet(failed_dir)

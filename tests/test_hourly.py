@@ -171,7 +171,7 @@ def test_answers(spark):
     entry = {"time": "2026-10-20T00:00:00Z", "data": {"instant": {"details": {"air_temperature": 4.0, "wind_speed": 10}},
              "next_6_hours": {"summary": {"symbol_code": "rain"}, "details": {"precipitation_amount": 20.0}}}}
     df = spark.createDataFrame([(1, "metno", json.dumps({"properties": {"timeseries": [entry] * 80}})), (2, "metno", "{}")], "ort int, modell string, antwort string")
-    rows, errors = J.read_timeseries(df)
+    rows, errors = J.read_timeseries(df, 72)
     r = rows.collect()
     assert len(r) == 72 and (r[0].wind, r[0].symbol, r[0].regen, r[0].sechs_stunden) == (36.0, "regen", 20.0, True)
     assert [(e.ort, e.fehler) for e in errors.collect()] == [(2, "keine Werte")]
@@ -180,3 +180,16 @@ def test_answers(spark):
     a, b = J.read_current(df).orderBy("ort").collect()
     assert (a.temp, a.symbol, a.ist_tag, a.station, a.abstand, a.fehler) == (3.1, "klar", True, "B", 1.2, None)
     assert b.fehler is not None
+
+
+def test_rounding_takes_the_exact_binary_value(spark):
+    import random
+
+    from isotherm.functions.numbers import rounded
+
+    rng = random.Random(4)
+    values = [0.15, 0.25, 0.35, -0.15, -0.25, -0.05, 2.675, 1e6 + 0.05, 0.0, 12.0, -7.5] + [rng.randint(-4000, 4000) / 20 for _ in range(400)]
+    values += [rng.uniform(-50, 50) for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", rounded(F.col("v"), 1).alias("a"), rounded(F.col("v"), 0).alias("b"))
+    for r in df.collect():
+        assert (r.a, r.b) == (round(r.v, 1), round(r.v, 0)), r.v

@@ -11,7 +11,7 @@ from isotherm.plans import views
 from isotherm.schema import CATEGORIES, CATEGORY_ORDER, SNAPSHOT, THRESHOLDS
 from isotherm.sources import derived
 from verification.base import (
-    K, LAST, STATIONS, cleaned, normal_cte, over_c, r, rounded, rs,
+    K, LAST, OBS, STATIONS, clean_cte, cleaned, normal_cte, over_c, r, rounded, rs,
 )
 
 Q: dict = {}
@@ -147,8 +147,10 @@ Q["waves_fixed"] = lambda s, d: rounded(W.waves(cleaned(s, d), "fest"))
 SQL["waves_fixed"] = over_c(_LIST, *_fixed(30, 0, 3))
 Q["waves_own"] = lambda s, d: rounded(W.waves(cleaned(s, d), "eigen", 20, 25, 2))
 SQL["waves_own"] = over_c(_LIST, *_fixed(20, 25, 2))
-Q["waves_normal"] = lambda s, d: rounded(W.waves(cleaned(s, d), "normal"))
-SQL["waves_normal"] = over_c(_LIST, *_NORMAL)
+# eight days far off in two years: runs beyond the normals, which the plain series has none of
+_SHIFT = "CASE WHEN month(datum) IN (3, 8) AND day(datum) BETWEEN 5 AND 12 THEN CASE year(datum) WHEN 1996 THEN 30 WHEN 1997 THEN -30 ELSE 0 END ELSE 0 END"
+Q["waves_normal"] = lambda s, d: rounded(W.waves(cleaned(s, d).withColumn("tmk", F.expr(f"tmk + {_SHIFT}")), "normal"))
+SQL["waves_normal"] = "WITH " + ",\n".join([OBS, clean_cte(0, "roh"), f"c AS (SELECT * REPLACE (tmk + {_SHIFT} AS tmk) FROM roh)", *_NORMAL]) + "\n" + _LIST
 Q["wave_years"] = lambda s, d: rounded(W.wave_years(W.waves(cleaned(s, d), "fest")))
 SQL["wave_years"] = over_c(_WYEARS, *_fixed(30, 0, 3))
 Q["wave_years_own"] = lambda s, d: W.wave_years(W.waves(cleaned(s, d), "eigen", 10, 35, 1))

@@ -68,26 +68,27 @@ FROM (SELECT CASE l_returnflag WHEN 'A' THEN 10 WHEN 'N' THEN 20 ELSE 30 END
       FROM lineitem GROUP BY ALL) g)"""
 
 
+# cleaning as tables of rules over a long form: limits per measure, and pairs of which the upper
+# one must not lie below the lower one, with what such a day loses
+_MEASURED = ["tmk", "txk", "tnk", "fx", "fm", "rsk", "sdk", "shk", "nm", "vpm", "pm", "upm", "tgk"]
+_LIMIT_ROWS = """('tmk', -45, 50), ('txk', -45, 50), ('tnk', -45, 50), ('fx', 0, 250 / 3.6::DOUBLE), ('fm', 0, 250 / 3.6::DOUBLE),
+ ('rsk', 0, 300), ('sdk', 0, 16.5), ('shk', 0, 800), ('nm', 0, 8), ('vpm', 0, 125), ('pm', 500, 1100), ('upm', 0, 100), ('tgk', -50, 50)"""
+_ORDER_ROWS = """('txk', 'tnk', ['tmk', 'txk', 'tnk']), ('tmk', 'tnk', ['tmk']), ('txk', 'tmk', ['tmk']), ('fx', 'fm', ['fm'])"""
+
+
 def clean_cte(level: int = 0, name: str = "c") -> str:
-    def ok(column, lo, hi, q="qn"):
-        return (f"CASE WHEN coalesce({q}, 0) >= {level} AND {column} BETWEEN {lo}::DOUBLE AND {hi}::DOUBLE "
-                f"THEN {column} END AS {column}")
-    return f"""{name} AS (
-SELECT station, datum, qn, quelle,
-       CASE WHEN coalesce(txk < tnk, false) OR coalesce(tmk < tnk OR tmk > txk, false)
-            THEN NULL ELSE tmk END AS tmk,
-       CASE WHEN coalesce(txk < tnk, false) THEN NULL ELSE txk END AS txk,
-       CASE WHEN coalesce(txk < tnk, false) THEN NULL ELSE tnk END AS tnk,
-       fx, CASE WHEN fm > fx THEN NULL ELSE fm END AS fm,
-       rsk, rskf, sdk, shk, nm, vpm, pm, upm, tgk
-FROM (SELECT station, datum, qn, quelle, {ok('tmk', -45, 50)}, {ok('txk', -45, 50)},
-             {ok('tnk', -45, 50)}, {ok('fx', 0, '250/3.6', 'qn3').replace('250/3.6::DOUBLE', '(250/3.6::DOUBLE)')},
-             {ok('fm', 0, '250/3.6', 'qn3').replace('250/3.6::DOUBLE', '(250/3.6::DOUBLE)')},
-             {ok('rsk', 0, 300)},
-             CASE WHEN coalesce(qn, 0) >= {level} AND rskf IN (0,1,4,6,7,8,9) THEN rskf END AS rskf,
-             {ok('sdk', 0, 16.5)}, {ok('shk', 0, 800)}, {ok('nm', 0, 8)}, {ok('vpm', 0, 125)},
-             {ok('pm', 500, 1100)}, {ok('upm', 0, 100)}, {ok('tgk', -50, 50)}
-      FROM obs))"""
+    entries = ", ".join(f"{{'s': '{m}', 'w': {m}::DOUBLE, 'q': {'qn3' if m in ('fx', 'fm') else 'qn'}}}" for m in _MEASURED)
+    back = ", ".join(f"max(g.w) FILTER (g.s = '{m}') AS {m}" for m in _MEASURED)
+    return f"""{name}_lang AS (SELECT station, datum, u.s AS s, u.w AS w FROM (SELECT station, datum, unnest([{entries}]) AS u FROM obs)
+WHERE u.w IS NOT NULL AND coalesce(u.q, 0) >= {level}),
+{name}_gut AS (SELECT l.station, l.datum, l.s, l.w FROM {name}_lang l JOIN (VALUES {_LIMIT_ROWS}) r(s, lo, hi)
+ON r.s = l.s AND l.w BETWEEN r.lo::DOUBLE AND r.hi::DOUBLE),
+{name}_weg AS (SELECT DISTINCT o.station, o.datum, unnest(r.opfer) AS s FROM {name}_gut o JOIN {name}_gut u USING (station, datum)
+JOIN (VALUES {_ORDER_ROWS}) r(oben, unten, opfer) ON o.s = r.oben AND u.s = r.unten AND o.w < u.w),
+{name} AS (SELECT o.station, o.datum, o.qn, o.quelle, {back},
+max(CASE WHEN list_contains([0, 1, 4, 6, 7, 8, 9], o.rskf) AND coalesce(o.qn, 0) >= {level} THEN o.rskf END) AS rskf
+FROM obs o LEFT JOIN (SELECT * FROM {name}_gut ANTI JOIN {name}_weg USING (station, datum, s)) g USING (station, datum)
+GROUP BY o.station, o.datum, o.qn, o.quelle)"""
 
 
 def K(d: str = "datum") -> str:
@@ -112,12 +113,11 @@ FROM c WHERE tmk IS NOT NULL GROUP BY station)"""
 
 
 def normal_cte(column: str, name: str, lo: int = 1991) -> str:
-    """Calendar-day normal of one measure."""
-    return f"""{name} AS (SELECT station, (k + o + 366) % 366 AS k, avg(v) AS mittel,
-quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.9) AS p90
-FROM (SELECT station, {K()} AS k, {column} AS v FROM c
-      WHERE {column} IS NOT NULL AND year(datum) BETWEEN {lo} AND {lo + 29}),
-     range(-7, 8) t(o) GROUP BY ALL)"""
+    """Calendar-day normal of one measure: every target day takes the days at most a week away."""
+    return f"""{name} AS (SELECT w.station, z.k, avg(w.v) AS mittel, quantile_cont(w.v, 0.1) AS p10, quantile_cont(w.v, 0.9) AS p90
+FROM (SELECT range AS k FROM range(366)) z JOIN (SELECT station, {K()} AS k, {column} AS v FROM c
+WHERE {column} IS NOT NULL AND datum BETWEEN DATE '{lo}-01-01' AND DATE '{lo + 29}-12-31') w
+ON abs(w.k - z.k) <= 7 OR abs(w.k - z.k) >= 359 GROUP BY w.station, z.k)"""
 
 
 STATIONS = """st AS (SELECT CASE l_returnflag WHEN 'A' THEN 10 WHEN 'N' THEN 20 ELSE 30 END

@@ -11,7 +11,7 @@ from isotherm.plans import store
 from isotherm.schema import MEASURES, PRODUCT_FIELDS
 from isotherm.session import new_folder
 from isotherm.sources import daily as S, derived, listings as L
-from isotherm.streaming.recent import stream_recent
+from isotherm.streaming.recent import failed_arrivals, stream_recent
 from verification.analyses import _SNAP
 from verification.base import STATIONS, cleaned, obs, over_c, over_obs, r, rounded, rs
 
@@ -33,29 +33,38 @@ def _lines(s, d):
         value = F.when(F.lit(field == "TMK") & (F.col("station") == 32) & (F.col("j") == 1996) & (F.day("datum") == 1), F.lit("x")).otherwise(value)
         return F.lpad(value, 24, " ")
 
+    sid = F.when((F.col("station") == 12) & (F.col("j") == 1995) & (F.day("datum") == 1), F.lit("?")).otherwise(F.col("station").cast("string"))
+
     def row(skip):
         fields = [(f, c) for f, c in PRODUCT_FIELDS.items() if f not in skip]
         return (";".join(["STATIONS_ID", "MESS_DATUM"] + [f"  {f}" for f, _ in fields] + ["eor"]) + "\r",
-                F.concat_ws(";", F.col("station").cast("string"), F.date_format("datum", "yyyyMMdd"), *[text(f, c) for f, c in fields], F.lit("eor\r")))
+                F.concat_ws(";", sid, F.date_format("datum", "yyyyMMdd"), *[text(f, c) for f, c in fields], F.lit("eor\r")))
 
     (head, body), (head_odd, body_odd) = row(()), row(("NM", "QN_3"))
     odd = F.col("j") % 2 == 1
     rows = o.select(path.alias("path"), F.unix_date("datum").cast("bigint").alias("ord"), F.when(odd, body_odd).otherwise(body).alias("value"))
     heads = o.select("station", "j").distinct().select(path.alias("path"), F.lit(-10**6).cast("bigint").alias("ord"), F.when(
-        (F.col("station") == 31) & (F.col("j") == 1997), F.lit("A;B;C\r")).when(odd, head_odd).otherwise(head).alias("value"))
+        (F.col("station") == 31) & (F.col("j") == 1997), F.lit("A;B;C\r")).when(
+        (F.col("station") == 11) & (F.col("j") == 1994), F.replace(F.lit(head), F.lit("STATIONS_ID;"), F.lit("X;"))).when(odd, head_odd).otherwise(head).alias("value"))
     blank = o.select("station", "j").distinct().select(path.alias("path"), F.lit(10**6).cast("bigint").alias("ord"), F.lit("1;        ;;;;;;;\r").alias("value"))
     return rows.unionByName(heads).unionByName(blank)
 
 
-_KEPT = "NOT (station = 31 AND year(datum) = 1997) AND NOT (station = 32 AND year(datum) = 1996 AND EXISTS (SELECT 1 FROM obs x WHERE x.station = 32 AND year(x.datum) = 1996 AND day(x.datum) = 1))"
+_KEPT = "NOT (station = 31 AND year(datum) = 1997) AND NOT (station = 32 AND year(datum) = 1996 AND EXISTS (SELECT 1 FROM obs x WHERE x.station = 32 AND year(x.datum) = 1996 AND day(x.datum) = 1)) AND NOT (station = 11 AND year(datum) = 1994) AND NOT (station = 12 AND year(datum) = 1995 AND EXISTS (SELECT 1 FROM obs x WHERE x.station = 12 AND year(x.datum) = 1995 AND day(x.datum) = 1))"
 _READ = f"""SELECT station, datum, qn, CASE WHEN year(datum) % 2 = 0 THEN qn3 END AS qn3, 0 AS quelle, rskf,
 {', '.join(r({'rsk': 'CASE WHEN day(datum) <> 13 THEN rsk END', 'nm': 'CASE WHEN year(datum) % 2 = 0 THEN nm END'}.get(m, m), m) for m in MEASURES)}
 FROM obs WHERE {_KEPT}"""
-Q["read_daily"] = lambda s, d: rounded(S.parse_products(_lines(s, d))[0].drop("path"))
+
+def _headed(s, d):
+    return S.with_heads(_lines(s, d).select("path", F.lit(0).cast("bigint").alias("_b"), F.col("ord").alias("_i"), "value"))
+
+
+Q["read_daily"] = lambda s, d: rounded(S.parse_products(_headed(s, d))[0].drop("path"))
 SQL["read_daily"] = over_obs(_READ)
-Q["failed_files"] = lambda s, d: S.parse_products(_lines(s, d))[1].select("path", F.substring("fehler", 1, 10).alias("fehler"))
-SQL["failed_files"] = over_obs("""SELECT DISTINCT 'mem:/' || station || '/' || year(datum) || '.txt' AS path, CASE station WHEN 31 THEN 'unexpected' ELSE 'unreadable' END AS fehler
-FROM obs WHERE (station = 31 AND year(datum) = 1997) OR (station = 32 AND year(datum) = 1996 AND day(datum) = 1)""")
+Q["failed_files"] = lambda s, d: S.parse_products(_headed(s, d))[1].select("path", F.substring("fehler", 1, 10).alias("fehler"))
+SQL["failed_files"] = over_obs("""SELECT DISTINCT 'mem:/' || station || '/' || year(datum) || '.txt' AS path, CASE WHEN station IN (11, 31) THEN 'unexpected' ELSE 'unreadable' END AS fehler
+FROM obs WHERE (station = 31 AND year(datum) = 1997) OR (station = 32 AND year(datum) = 1996 AND day(datum) = 1)
+ OR (station = 11 AND year(datum) = 1994) OR (station = 12 AND year(datum) = 1995 AND day(datum) = 1)""")
 
 
 def _archives(s, d):
@@ -66,7 +75,7 @@ def _archives(s, d):
     import pandas as pd
 
     # a year of one station: at most 368 lines
-    texts = _lines(s, d).where("path NOT LIKE '%31/1997%' AND path NOT LIKE '%32/1996%'").groupBy("path").agg(
+    texts = _lines(s, d).groupBy("path").agg(
         F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("l")).select("path", F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("text"))
 
     def pack(batches):
@@ -84,12 +93,13 @@ def _archives(s, d):
     return texts.mapInPandas(pack, "path string, content binary")
 
 
-_ZIPS = "NOT (station = 31 AND year(datum) = 1997) AND NOT (station = 32 AND year(datum) = 1996)"
 Q["read_archives"] = lambda s, d: rounded(S.parse_archives(_archives(s, d))[0].drop("path"))
-SQL["read_archives"] = over_obs(_READ.replace(_KEPT, f"{_ZIPS} AND NOT (station = 11 AND year(datum) = 1998) AND NOT (station = 12 AND year(datum) = 1999)").replace("0 AS quelle", "1 AS quelle"))
+SQL["read_archives"] = over_obs(_READ.replace(_KEPT, f"{_KEPT} AND NOT (station = 11 AND year(datum) = 1998) AND NOT (station = 12 AND year(datum) = 1999)").replace("0 AS quelle", "1 AS quelle"))
 Q["failed_archives"] = lambda s, d: S.parse_archives(_archives(s, d))[1].select("path", F.substring("fehler", 1, 7).alias("fehler"))
-SQL["failed_archives"] = over_obs("""SELECT DISTINCT 'mem:/' || station || '/' || year(datum) || '_akt.zip' AS path, CASE station WHEN 11 THEN 'no file' ELSE 'archive' END AS fehler
-FROM obs WHERE (station = 11 AND year(datum) = 1998) OR (station = 12 AND year(datum) = 1999)""")
+SQL["failed_archives"] = over_obs("""SELECT DISTINCT 'mem:/' || station || '/' || year(datum) || '_akt.zip' AS path, CASE WHEN station = 11 AND year(datum) = 1998 THEN 'no file' WHEN station = 12 AND year(datum) = 1999 THEN 'archive'
+ WHEN station IN (11, 31) THEN 'unexpec' ELSE 'unreada' END AS fehler
+FROM obs WHERE (station = 11 AND year(datum) IN (1994, 1998)) OR (station = 12 AND (year(datum) = 1999 OR year(datum) = 1995 AND day(datum) = 1))
+ OR (station = 31 AND year(datum) = 1997) OR (station = 32 AND year(datum) = 1996 AND day(datum) = 1)""")
 
 
 def _station_lines(s, d):
@@ -210,8 +220,10 @@ def _folder(s, name):
 
 
 def _snapshot_written(s, d):
-    path = _folder(s, "snapshot")
-    I.write_snapshot(national_snapshot(cleaned(s, d), derived.stations(s, d)), path, F.lit("2001-11-05").cast("date"))
+    path, snapshot = _folder(s, "snapshot"), national_snapshot(cleaned(s, d), derived.stations(s, d))
+    I.write_snapshot(snapshot.where("station = 11"), path, F.lit("2001-11-04").cast("date"))
+    I.write_snapshot(snapshot, path, F.lit("2001-11-05").cast("date"))
+    path = I.newest_snapshot(s, path)
     back = s.read.schema("stand date, station int, name string, spalte string, werte array<double>, tage array<date>").json(path)
     return back.select("station", "name", "spalte", "stand", F.posexplode("werte").alias("tag", "wert"))
 
@@ -238,20 +250,29 @@ Q["store_refresh"] = _store_refreshed
 SQL["store_refresh"] = SQL["replace_recent"]
 
 
-def _streamed(s, d):
-    """Recent product files arrive in a folder; the stream brings them into the store."""
+def _streamed(s, d, broken=False):
+    """Recent product files arrive in a folder; the stream brings them into the store.
+
+    With ``broken`` the file of every station of the second kind has no usable head.
+    """
     path, base = _stored(s, d), _folder(s, "eingang")
-    new = _second(s, d)
+    new = _recent(s, d).withColumn("tmk", F.col("tmk") + 0.5) if broken else _second(s, d)
     fields = list(PRODUCT_FIELDS.items())
     body = F.concat_ws(";", F.col("station").cast("string"), F.date_format("datum", "yyyyMMdd"), *[F.coalesce(F.col(c).cast("string"), F.lit("-999")) for _, c in fields], F.lit("eor"))
     head = ";".join(["STATIONS_ID", "MESS_DATUM", *[f for f, _ in fields], "eor"])
+    first = F.when((F.col("station") % 10 == 2) & F.lit(broken), F.lit("kein Kopf")).otherwise(F.lit(head))
     lines = new.select("station", F.unix_date("datum").alias("ord"), body.alias("value")).unionByName(
-        new.select("station").distinct().select("station", F.lit(-10**6).alias("ord"), F.lit(head).alias("value")))
+        new.select("station").distinct().select("station", F.lit(-10**6).alias("ord"), first.alias("value")))
     # one file per station, the header first
     lines.repartition("station").sortWithinPartitions("station", "ord").select("station", "value").write.partitionBy("station").text(f"{base}/in")
-    stream_recent(s, f"{base}/in/*", path, f"{base}/state", 8).awaitTermination()
+    stream_recent(s, f"{base}/in/*", path, f"{base}/state", f"{base}/failed", 8).awaitTermination()
+    if broken:
+        return failed_arrivals(s, f"{base}/failed").select(
+            F.regexp_extract("path", "station=([0-9]+)", 1).cast("int").alias("station"), F.substring("fehler", 1, 17).alias("fehler"))
     return rounded(store.read_store(s, path))
 
 
+Q["stream_failed"] = lambda s, d: _streamed(s, d, True)
+SQL["stream_failed"] = over_obs(f"SELECT DISTINCT station, 'unexpected header' AS fehler FROM rec WHERE station % 10 = 2", _RECENT)
 Q["stream_recent"] = _streamed
 SQL["stream_recent"] = SQL["replace_recent"]

@@ -34,14 +34,16 @@ def sql(select: str, *ctes: str) -> str:
 
 # ---- distance and nearest ---------------------------------------------------------
 def _pairs(s, d):
-    n = 17
-    pairs = derived.table(s, d, "orders").select(F.col("o_custkey").alias("punkt"), (F.col("o_orderkey") % n).cast("int").alias("station"))
+    orders = derived.table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("punkt"))
+    pairs = derived.table(s, d, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("int").alias("station")).join(orders, "l_orderkey").select(
+        "punkt", "station").distinct()
     return rounded(G.pair_distances(pairs, pl(s, d), st(s, d)))
 
 
 Q["pair_distances"] = _pairs
-SQL["pair_distances"] = sql(f"""SELECT o_custkey AS punkt, o_orderkey % 17 AS station, {r(hav('pl.lat', 'pl.lon', 'sst.lat', 'sst.lon'), 'km')}
-FROM orders JOIN pl ON pl.id = o_custkey JOIN sst ON sst.id = o_orderkey % 17""", PLACES, SUPPLIERS)
+SQL["pair_distances"] = sql(f"""SELECT punkt, station, {r(hav('pl.lat', 'pl.lon', 'sst.lat', 'sst.lon'), 'km')}
+FROM (SELECT DISTINCT o_custkey AS punkt, l_suppkey AS station FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+JOIN pl ON pl.id = punkt JOIN sst ON sst.id = station""", PLACES, SUPPLIERS)
 _NEAR = f"""SELECT punkt, station, {r('km', 'km')} FROM (SELECT pl.id AS punkt, sst.id AS station, {hav('pl.lat', 'pl.lon', 'sst.lat', 'sst.lon')} AS km
 FROM pl, sst WHERE sst.lat IS NOT NULL AND {{where}}) QUALIFY row_number() OVER (PARTITION BY punkt ORDER BY km, station) = 1"""
 Q["nearest_station"] = lambda s, d: rounded(G.nearest_station(pl(s, d), st(s, d), True, YEAR))
