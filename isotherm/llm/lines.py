@@ -13,9 +13,9 @@ key is found by an aggregate, and no pairs are formed. Two steps before that los
 
 The partner found is verified by its edit distance.
 
-Rule: lines are compared in lower case with runs of white space as one space; lines of fewer than
-MIN_WORDS words are left alone (headings, list marks). "Earlier" is by document id, then line
-number. A line goes if any earlier line lies within the bound, whether that one stays or not.
+Rule: lines are compared in lower case with runs of (Unicode) white space as one space; lines of
+fewer than MIN_WORDS words are left alone (headings, list marks). "Earlier" is by document id, then
+line number. A line goes if any earlier line lies within the bound, whether that one stays or not.
 
 Defined results: NULL text stays NULL and has no lines; documents whose id is NULL stay as they
 are, as their order is unknown. Rows that share an id are one document: of equal lines at the
@@ -25,56 +25,61 @@ same place all stay. A text of which every line went is empty. Other columns sta
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import WHITE, small_or_shuffled, table, written
+from isotherm.llm.common import small_or_shuffled, table, written
 from isotherm.llm.words import map_rows
 
 MIN_WORDS = 5
+MAX_EDITS = 1
 SMALL = 500_000                 # rows of two or three numbers that a join may send to every task
+BATCH = 100_000                 # variants of an output batch
 
 
-def normal(line: Column) -> Column:
-    """Lower case, trimmed, white space runs as one space."""
-    low = F.lower(line)
-    odd = F.lit(False)
-    for c in ("  ", "\t", "\x0b", "\f", "\r"):
-        odd = odd | F.contains(low, F.lit(c))
-    return F.trim(F.when(odd, F.regexp_replace(low, WHITE, " ")).otherwise(low))
+def normal(line: str) -> str:
+    return " ".join(line.lower().split())
 
 
-def _thirds(line: Column, nominal: Column) -> list[Column]:
-    """Hashes of a line without each of its thirds, as cut for a line of the nominal length."""
-    n, a, b = F.length(line), F.floor(nominal / 3).cast("int"), F.floor(2 * nominal / 3).cast("int")
+def long_enough(line: str) -> bool:
+    return line.count(" ") >= MIN_WORDS - 1
 
-    def end(size: Column) -> Column:
-        return F.substring(line, n - size + 1, size)
 
-    head = lambda size: F.substring(line, F.lit(1), size)
-    return [F.xxhash64(F.lit(0), nominal, end(nominal - a)),
-            F.xxhash64(F.lit(1), nominal, head(a), end(nominal - b)),
-            F.xxhash64(F.lit(2), nominal, head(b))]
+def _signed(h: int) -> int:
+    return h - (1 << 63)
 
 
-def numbered_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, no, line): normalised lines long enough to be compared."""
-    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
-        F.col(f"`{id_col}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`").cast("string"), "\n", -1)).alias("no", "raw"))
-    made = rows.select("doc", "no", normal(F.col("raw")).alias("line"))
-    return made.where(F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) >= MIN_WORDS - 1)
+def _thirds(line: str, nominal: int) -> list[int]:
+    """Hashes of a line without each of its thirds, as cut for a line of the nominal length."""
+    n, a, b = len(line), nominal // 3, 2 * nominal // 3
+    first, last = line[:a], line[n - (nominal - b):] if nominal > b else ""
+    parts = (line[n - (nominal - a):] if nominal > a else "", first + "\n" + last, line[:b])
+    return [_signed(xxhash.xxh3_64_intdigest(p, seed=(nominal << 2) + i)) for i, p in enumerate(parts)]
 
 
 def hashed_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, no, h1, h2, keys): 128 bits stand for a line; keys are what a near line shares.
+    """(doc, no, h1, h2, keys) of the lines long enough to be compared.
 
-    A line and one that is a character longer are cut at the same places if the longer one also
-    counts as a line of one character less.
+    128 bits stand for a line; keys are what a near line shares. A line and one that is a
+    character longer are cut at the same places if the longer one also counts as a line of one
+    character less.
     """
-    line, n = F.col("line"), F.length("line")
-    return numbered_lines(docs, id_col, text).select(
-        "doc", "no", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"),
-        F.array(*_thirds(line, n), *_thirds(line, n - 1)).alias("keys"))
+    def make():
+        def run(columns):
+            for doc, t in zip(*columns):
+                for no, raw in enumerate(t.split("\n") if t else ()):
+                    line = normal(raw)
+                    if long_enough(line):
+                        h = xxhash.xxh3_128_intdigest(line)
+                        n = len(line)
+                        yield doc, no, _signed(h >> 64), _signed(h & (1 << 64) - 1), _thirds(line, n) + _thirds(line, n - 1)
+        return run
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string"))
+    return map_rows(rows, make, f"doc {kind}, no int, h1 bigint, h2 bigint, keys array<bigint>")
 
 
 def first_places(lines: DataFrame) -> DataFrame:
@@ -92,12 +97,37 @@ def suspects(lines: DataFrame) -> DataFrame:
     return keys.join(shared, "k", "left_semi").select("h1").distinct()
 
 
+def suspect_lines(docs: DataFrame, places: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(place, doc, no, line) of the given (doc, no): place numbers them in order, earliest first."""
+    wanted = small_or_shuffled(written(places.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("no").alias("_nos")), "line-suspects"),
+                               SMALL // 5)
+
+    def make():
+        def run(columns):
+            for doc, t, nos in zip(*columns):
+                split = (t or "").split("\n")
+                for no in nos:
+                    # rows that share an id may hold other texts
+                    if no < len(split):
+                        yield doc, no, normal(split[no])
+        return run
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.join(wanted, docs[id_col] == F.col("_doc")).select(F.col("_doc"), F.col(f"`{text}`").cast("string"), "_nos")
+    lines = map_rows(rows, make, f"doc {kind}, no int, line string").dropDuplicates(["doc", "no"])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.repartitionByRange(parts, "doc", "no").sortWithinPartitions("doc", "no")
+    # ids grow within a partition and from partition to partition
+    return written(ordered.withColumn("place", F.monotonically_increasing_id()), "line-texts")
+
+
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, role, doc, no) of every line of (doc, no, line).
+    """(key, own, less): hashed variants of the lines of (place, line).
 
-    Roles: "=" the line itself, "-" the line without a character (these two meet), "p" the line
-    without its p-th character. The hash is a polynomial over the characters, so that a variant's
-    follows from those of the parts before and after the gap: n steps for n characters.
+    own holds the place where the key is that of the line itself or of the line without its p-th
+    character together with p; less where it is that of the line without a character. The hash is
+    a polynomial over the characters, so that a variant's follows from those of the parts before
+    and after the gap: n steps for n characters.
     """
     base, odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -105,60 +135,89 @@ def variants(lines: DataFrame) -> DataFrame:
         h = (h ^ np.uint64(n)) * np.uint64(0xFF51AFD7ED558CCD)
         return h ^ (h >> np.uint64(33))
 
-    def make():
-        def run(columns):
-            for doc, no, line in zip(*columns):
-                c = (np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)) * odd
-                c ^= c >> np.uint64(31)
-                n = len(c)
-                power = np.cumprod(np.full(n + 1, base, dtype=np.uint64))
-                before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * power[:n], dtype=np.uint64)])
-                # what follows the gap moves up by one place
-                lower = np.concatenate([np.ones(1, np.uint64), power[:n - 1]])
-                after = np.concatenate([np.cumsum((c * lower)[::-1], dtype=np.uint64)[::-1], np.zeros(1, np.uint64)])
-                cut = mix(before[:n] + after[1:], n - 1)
-                place = mix(cut ^ (np.arange(1, n + 1, dtype=np.uint64) * odd), n)
-                yield int(mix(before[n:], n).astype(np.int64)[0]), "=", doc, no
-                for v in np.unique(cut).astype(np.int64).tolist():
-                    yield v, "-", doc, no
-                for v in place.astype(np.int64).tolist():
-                    yield v, "p", doc, no
-        return run
-
-    kind = lines.schema["doc"].dataType.simpleString()
-    return map_rows(lines.select("doc", "no", "line"), make, f"key bigint, role string, doc {kind}, no int")
+    def keys(line: str) -> tuple[np.ndarray, np.ndarray]:
+        c = (np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)) * odd
+        c ^= c >> np.uint64(31)
+        n = len(c)
+        power = np.cumprod(np.full(n + 1, base, dtype=np.uint64))
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * power[:n], dtype=np.uint64)])
+        # what follows the gap moves up by one place
+        lower = np.concatenate([np.ones(1, np.uint64), power[:n - 1]])
+        after = np.concatenate([np.cumsum((c * lower)[::-1], dtype=np.uint64)[::-1], np.zeros(1, np.uint64)])
+        cut = mix(before[:n] + after[1:], n - 1)
+        place = mix(cut ^ (np.arange(1, n + 1, dtype=np.uint64) * odd), n) ^ odd
+        return np.concatenate([mix(before[n:], n), place]), np.unique(cut)
+
+    def run(batches):
+        def out():
+            key, place = np.concatenate([h for h, _, _ in held]).astype(np.int64), np.concatenate(
+                [np.full(len(h), p, dtype=np.int64) for h, p, _ in held])
+            less = np.concatenate([np.full(len(h), x, dtype=bool) for h, _, x in held])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(place, mask=less), pa.array(place, mask=~less)],
+                                              names=["key", "own", "less"])
+
+        held, n = [], 0
+        for batch in batches:
+            for place, line in zip(*[c.to_pylist() for c in batch.columns]):
+                own, less = keys(line)
+                held += [(own, place, False), (less, place, True)]
+                n += len(own) + len(less)
+                if n >= BATCH:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
+
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.select("place", "line").repartition(parts).mapInArrow(run, "key bigint, own bigint, less bigint")
+
+
+def within_one(a: str, b: str) -> bool:
+    """Edit distance of at most one."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    return a[i + (len(a) == len(b)):] == b[i + 1:]
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
-    """(doc, no) of lines of (doc, no, line), all different texts, that lie within one edit of an earlier one."""
+    """(doc, no) of lines of (place, doc, no, line), all different texts, that lie within one edit of an earlier one.
+
+    Keys of places only meet keys of the same place: their lines are all within one edit. A line
+    and the lines it is a variant of meet at the line's own key.
+    """
     keys = variants(lines)
-    place = F.struct("doc", "no")
-    # two sorts of meeting: equal place of the gap, or one line is the other without a character
-    meet = F.when(F.col("role") == "p", "p").otherwise("v")
-    best = (keys.groupBy("key", meet.alias("meet")).agg(
-        F.count("*").alias("n"), F.min(F.when(F.col("role") != "-", place)).alias("first"),
-        F.min(F.when(F.col("role") == "-", place)).alias("longer"))
-        .where((F.col("n") > 1) & ((F.col("meet") == "p") | (F.col("first").isNotNull() & F.col("longer").isNotNull()))))
-    best = small_or_shuffled(written(best, "line-variants"), SMALL // 5)
-    met = keys.withColumn("meet", meet).join(best, ["key", "meet"]).select(
-        "doc", "no", F.when(F.col("role") == "=", F.col("longer")).otherwise(F.col("first")).alias("to"))
-    found = (met.where(F.col("to") < place).groupBy("doc", "no").agg(F.min("to").alias("to"))
-             .select("doc", "no", F.col("to.doc").alias("d2"), F.col("to.no").alias("n2")))
+    best = keys.groupBy("key").agg(F.min("own").alias("own_min"), F.max("own").alias("own_max"), F.min("less").alias("less_min"))
+    best = best.where((F.col("own_min") < F.col("own_max")) | (F.col("own_min").isNotNull() & F.col("less_min").isNotNull()))
+    best = small_or_shuffled(written(best, "line-variants"), SMALL // 2)
+    # a line's own key meets shorter variants of longer lines; both directions count
+    met = keys.join(best, "key").select(F.coalesce("own", "less").alias("place"), F.when(
+        F.col("less").isNotNull(), F.col("own_min")).otherwise(F.least("own_min", "less_min")).alias("to"))
+    found = met.where(F.col("to") < F.col("place")).groupBy("place").agg(F.min("to").alias("to"))
     # verify: a hash may lie, the edit distance does not
-    other = lines.select(F.col("doc").alias("d2"), F.col("no").alias("n2"), F.col("line").alias("l2"))
-    checked = found.join(lines, ["doc", "no"]).join(other, ["d2", "n2"])
-    return checked.where(F.levenshtein("line", "l2", 1).between(0, 1)).select("doc", "no")
+    other = lines.select(F.col("place").alias("to"), F.col("line").alias("other"))
+    pairs = found.join(lines, "place").join(other, "to").select("doc", "no", "line", "other")
+
+    def make():
+        def run(columns):
+            for doc, no, a, b in zip(*columns):
+                if within_one(a, b):
+                    yield doc, no
+        return run
+
+    return map_rows(pairs, make, f"doc {lines.schema['doc'].dataType.simpleString()}, no int")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, gone): per document that loses lines their numbers, from 0."""
     lines = written(hashed_lines(docs, id_col, text), "lines")
     first = written(first_places(lines), "line-first")
-    near = first.join(suspects(lines), "h1", "left_semi")
-    places = small_or_shuffled(written(near.select("doc", "no"), "line-suspects"), SMALL)
-    texts = written(numbered_lines(docs, id_col, text).join(places, ["doc", "no"], "left_semi")
-                    .dropDuplicates(["doc", "no"]), "line-texts")
-    late = near_earlier(texts).withColumn("late", F.lit(True))
+    near = first.join(suspects(lines), "h1", "left_semi").select("doc", "no")
+    late = near_earlier(suspect_lines(docs, near, id_col, text)).withColumn("late", F.lit(True))
     judged = first.join(late, ["doc", "no"], "left").where((F.col("n") > 1) | F.col("late")).select(
         "h1", "h2", F.col("doc").alias("d1"), F.col("no").alias("n1"), F.coalesce("late", F.lit(False)).alias("late"))
     judged = small_or_shuffled(written(judged, "line-judged"), SMALL)

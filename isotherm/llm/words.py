@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql.types import StructType
 # after lower-casing A-Z: digits, a-z and everything beyond ASCII
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+PIECE = 20_000                  # rows of an output batch
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,9 +37,10 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            rows = list(fn([c.to_pylist() for c in batch.columns]))
-            columns = list(zip(*rows)) if rows else [[] for _ in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), type=f.type) for c, f in zip(columns, out)], schema=out)
+            rows = iter(fn([c.to_pylist() for c in batch.columns]))
+            # an input row may give many output rows: they leave in pieces
+            while part := list(islice(rows, PIECE)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), type=f.type) for c, f in zip(zip(*part), out)], schema=out)
 
     return df.mapInArrow(run, schema)

@@ -47,12 +47,11 @@ def near_classes(docs):
 
 def kept_lines(docs):
     """doc id -> numbers of the lines that go; docs: [(id, text)]."""
-    seen, gone = [], {}
-    lines = []
+    gone, lines = {}, []
     for d, t in sorted(docs, key=lambda r: r[0]):
         for no, raw in enumerate((t or "").split("\n") if t is not None else []):
-            line = " ".join(x for x in re.split(r"[\x20\x09-\x0D]+", raw.lower()) if x)
-            if len(line.split(" ")) >= 5 and line:
+            line = " ".join(raw.lower().split())
+            if len(line.split()) >= 5:
                 lines.append((d, no, line))
     by_len = {}
     for d, no, line in lines:
@@ -61,7 +60,6 @@ def kept_lines(docs):
         if near:
             gone.setdefault(d, set()).add(no)
         by_len.setdefault(len(line), set()).add(line)
-    del seen
     return gone
 
 
