@@ -167,7 +167,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, re
     if remove not in ("documents", "spans"):
         raise ValueError(remove)
     rest = [c for c in docs.columns if c != text]
-    packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_rest"),
+    # fields by number: a column may have any name
+    packed = docs.select(F.struct(F.lit(0).alias("f"), *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(rest)]).alias("_rest"),
                          F.col(f"`{text}`").alias("_text"), F.array().cast("array<bigint>").alias("_runs"))
     pairs = benchmark_windows(benchmark, size)
     blocks = max(1, -(-pairs.count() // block_windows))
@@ -194,7 +195,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, re
         packed = packed.mapInArrow(run, packed.schema)
         if k + 1 < blocks:
             packed = cut(packed)
-    out = packed.select(*[(F.col("_text") if c == text else F.col("_rest")[c]).alias(c) for c in docs.columns])
+    out = packed.select(*[(F.col("_text") if c == text else F.col(f"_rest.f{rest.index(c)}")).alias(c) for c in docs.columns])
     if remove == "spans" and "n_chars" in rest:
         out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -143,8 +143,8 @@ def test_decontamination(spark, docs, block):
 
 @pytest.mark.parametrize("block", [200_000, 2])
 def test_removal(spark, odd, none, block):
-    bench = spark.createDataFrame([(1, "Ten words make one window of the benchmark here, really yes no")], "item_id long, text string")
-    df = spark.createDataFrame([(1, "Before - ten words make one window of the benchmark here. After", "s", 5), (2, "clean", "s", 5)],
+    bench = spark.createDataFrame([(1, "Ten words make one window of the benchmark right here, really yes no")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "Before - ten words make one window of the benchmark right here. After", "s", 5), (2, "clean", "s", 5)],
                                "doc_id long, text string, _ string, n_chars long")
     kw = {"block_windows": block}
     assert [r.doc_id for r in decontaminate.decontaminate(spark, df, bench, **kw).collect()] == [2]
@@ -242,8 +242,8 @@ def test_secret_formats(spark, odd, none):
 
 
 def test_automaton_prefers_its_language():
-    a = secrets.infer(["ab" * 10] * 30 + ["ab" * 12] * 30)
-    assert a.log_likelihood("ab" * 11) > a.log_likelihood("aabb" * 5) > a.log_likelihood("zz" * 10)
+    a = secrets.infer(["a7" * 10] * 30 + ["a7" * 12] * 30)
+    assert a.log_likelihood("a7" * 11) > a.log_likelihood("aa77" * 5) > a.log_likelihood("zz" * 10)
 
 
 # ---- pseudonyms ----------------------------------------------------------------------------------

@@ -34,7 +34,7 @@ def test_articles_of_the_tables(spark):
 
 
 PAGE = """<html><body><header><h2>Site name</h2></header><div id="cookie-banner">We use cookies here</div><div class="content">
-<h1>Title</h1><div>First paragraph of a text that is long enough to be main &amp; good.<p>Second with <b>bo</b>ld&nbsp;text, a
+<h1>A title of some words</h1><div>First paragraph of a text that is long enough to be main &amp; good.<p>Second with <b>bo</b>ld&nbsp;text, a
 <a href="x">link in a sentence</a> and more words to come<ul><li>an item<li>another item</ul><div class="related-posts">see also these things</div>
 <p>Third paragraph of the text with some words in it</div><aside>side things</aside><div id="comments"><p>A reader says hello, this is nice</p></div>
 <form>mail <input name="q"><select><option>one</select></form><script>var x = "<p>not text</p>";</script><footer>c 2020</footer></div></body></html>"""
@@ -46,7 +46,7 @@ def test_other_layouts(spark, learned):
     if learned:
         w = html_text.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     assert html_text.extract(PAGE, w) == (
-        "Title First paragraph of a text that is long enough to be main & good. Second with bold text, a link in a sentence and more "
+        "A title of some words First paragraph of a text that is long enough to be main & good. Second with bold text, a link in a sentence and more "
         "words to come an item another item Third paragraph of the text with some words in it")
 
 
