@@ -2,7 +2,7 @@
 
 Two parts. ``queries``: the operators on the series derived from $BENCH_SF_DIR. ``scaled``:
 the same series copied to $BENCH_STATION_DAYS station-days (default 21.6 million, the size the
-published numbers refer to), written once as a store in a new temporary folder.
+published numbers refer to), written once as a bucketed table, as the library stores them.
 """
 
 from __future__ import annotations
@@ -19,17 +19,19 @@ sys.path.insert(0, ROOT)
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from isotherm.operators import (  # noqa: E402
-    clean as C, forecast as H, geo, ingest, national as D, normals as N, outlook as P, records as R,
+    clean as C, forecast as H, geo, national as D, normals as N, outlook as P, records as R,
     series as S, totals as T, waves as W, year as Y, yearly as A,
 )
 from isotherm.schema import MEASURES  # noqa: E402
-from isotherm.session import local_session, new_folder  # noqa: E402
+from isotherm.plans import store  # noqa: E402
+from isotherm.session import local_session  # noqa: E402
 from isotherm.sources import derived  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 STATION_DAYS = int(os.environ.get("BENCH_STATION_DAYS", "21600000"))
 REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
+TABLE = "isotherm_bench"
 TODAY = dt.date(2001, 11, 5)
 
 
@@ -80,7 +82,7 @@ def other_queries(spark: SparkSession, sf: str) -> dict:
     }
 
 
-def scaled_store(spark: SparkSession, obs: DataFrame, path: str) -> int:
+def scaled_store(spark: SparkSession, obs: DataFrame) -> int:
     """Copies of the series as further stations, values moved by tenths of a degree."""
     copies = max(1, STATION_DAYS // obs.count())
     moved = {m: F.round(F.col(m) + (F.col("_copy") % 7) / 10, 1) if m in ("tmk", "txk", "tnk", "tgk")
@@ -90,8 +92,8 @@ def scaled_store(spark: SparkSession, obs: DataFrame, path: str) -> int:
         .withColumns(moved).withColumn("station", (F.col("_copy") * 100 + F.col("station")).cast("int"))
         .drop("_copy")
     )
-    ingest.write_observations(many, path, buckets=16)
-    return spark.read.parquet(path).count()
+    store.write_table(many, TABLE, buckets=16)
+    return spark.table(TABLE).count()
 
 
 def main() -> None:
@@ -101,9 +103,8 @@ def main() -> None:
     queries = {name: timed(q, REPEATS) for name, q in small.items()}
     scaled, rows = {}, 0
     if STATION_DAYS:
-        folder = new_folder(spark, "bench")
-        rows = scaled_store(spark, obs.cache(), f"{folder}/store")
-        big = spark.read.parquet(f"{folder}/store").drop("fach")
+        rows = scaled_store(spark, obs.cache())
+        big = spark.table(TABLE)
         for name, query in daily_queries(big).items():
             # the two with published numbers are measured warm, like those
             scaled[name] = timed(query, 3 if name in ("yearly_mean", "extremes") else 1)

@@ -53,7 +53,8 @@ def with_first_dates(best: DataFrame, c: DataFrame, keys: dict[str, Column],
     measures = list(dict.fromkeys(m for m, _ in pairs.values()))
     limits = best.select(*keys, *[F.col(b).alias(f"_{b}") for _, b in pairs.values()])
     days = c.select(*[e.alias(k) for k, e in keys.items()], "datum", *measures)
-    reached = {name: F.col(m) == F.col(f"_{b}") for name, (m, b) in pairs.items()}
+    # as a difference: a plain equality would become a key of the join and shuffle days by value
+    reached = {name: F.col(m) - F.col(f"_{b}") == 0 for name, (m, b) in pairs.items()}
     hits = days.join(limits, list(keys)).where(F.greatest(*reached.values()) if len(reached) > 1
                                                else next(iter(reached.values())))
     dates = hits.groupBy(*keys).agg(*[
@@ -217,7 +218,8 @@ def sums_around(c: DataFrame, targets: DataFrame, column: str = "tmk") -> DataFr
     within = (
         # at most twelve rows
         rows.join(F.broadcast(ends.select(F.col("_em").alias("_m")).distinct()), "_m", "left_semi")
-        .join(ends, "station").where(F.col("_m") == F.col("_em"))
+        # a difference: an equality would become a key of the join and shuffle a bucketed table
+        .join(ends, "station").where(F.col("_m") - F.col("_em") == 0)
         .groupBy("station", F.year("datum").alias("jahr"))
         .agg(*parts(F.dayofmonth("datum") <= F.col("_ed"), F.dayofmonth("datum") > F.col("_ed"), F.col("_v"), F.lit(1)))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isotherm.operators.ingest import (
     behind_history, merge_sources, with_bucket, write_observations,
 )
+from isotherm.session import new_folder
 from isotherm.sources.daily import read_archives
 from isotherm.sources.listings import archive_manifest, read_stations
 
@@ -67,3 +68,39 @@ def build_dataset(spark: SparkSession, station_list: str, listing: DataFrame, hi
     manifest.write.mode("overwrite").parquet(f"{out}/manifest")
     return {"stations": stations, "manifest": manifest,
             "failed": failed_hist.unionByName(failed_recent)}
+
+
+def _resolved(obs: DataFrame) -> DataFrame:
+    hist = obs.where("quelle = 0")
+    return hist.unionByName(behind_history(obs.where("quelle = 1"), hist.groupBy("station").agg(F.max("datum").alias("_ende"))))
+
+
+def write_table(obs: DataFrame, name: str, buckets: int = BUCKETS) -> None:
+    """The store as one table, bucketed by station and sorted by day; the overlap is resolved here.
+
+    Spark knows how a bucketed table is distributed: aggregates, windows and joins by station need
+    no shuffle of the days. ``buckets`` follows the data: some hundred MB each. Provenance is a
+    partition of the table, so that a refresh rewrites the recent days only.
+    """
+    (
+        _resolved(obs).repartition(buckets, "station")
+        .write.mode("overwrite").partitionBy("quelle").bucketBy(buckets, "station")
+        .sortBy("station", "datum").saveAsTable(name)
+    )
+
+
+def refresh_table(spark: SparkSession, new_recent: DataFrame, name: str) -> None:
+    """Replace the recent part of the stations that come new; history is read but not written."""
+    fresh = new_recent.withColumn("quelle", F.lit(1))
+    stored = spark.table(name)
+    kept = stored.where("quelle = 1").join(fresh.select("station").distinct(), "station", "left_anti")
+    both = _resolved(stored.where("quelle = 0").unionByName(kept).unionByName(fresh.select(*stored.columns)))
+    # written aside first: a table is not overwritten from itself
+    aside = new_folder(spark, "recent")
+    both.where("quelle = 1").write.parquet(aside)
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        spark.read.schema(stored.schema).parquet(aside).select(*stored.columns).write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)

@@ -279,7 +279,7 @@ Q["read_forecast"] = lambda s, d: J.read_forecast(_answers(s, d))[0]
 SQL["read_forecast"] = f"""SELECT event_id AS ort, event_type AS modell, date_trunc('hour', ts) AS zeit, round_even(floor(value) / 8, 1) AS temp,
 round_even(floor(value) / 2, 0) AS wolken, round_even(floor(value) / 10, 1) AS regen, floor(value) AS wind, floor(value) + 1 AS boe,
 ['klar','heiter','wolkig','bedeckt'][user_id % 4 + 1] AS symbol, true AS ist_tag, (user_id % 100)::DOUBLE AS wkt FROM events WHERE {_E5}
-UNION ALL SELECT event_id, event_type, date_trunc('hour', ts) + INTERVAL 2 HOUR, round_even(floor(value) / 4, 1), NULL, round_even(value, 1), NULL, NULL, 'regen', false, NULL
+UNION ALL SELECT event_id, event_type, date_trunc('hour', ts) + INTERVAL 2 HOUR, round_even(floor(value) / 4, 1), NULL, printf('%.1f', value)::DOUBLE, NULL, NULL, 'regen', false, NULL
 FROM events WHERE {_E5}"""
 Q["forecast_errors"] = lambda s, d: J.read_forecast(_answers(s, d))[1]
 SQL["forecast_errors"] = f"""SELECT event_id AS ort, event_type AS modell, CASE WHEN event_id % 5 = 0 THEN '{J.OUTSIDE_TEXT}'

@@ -232,7 +232,8 @@ def _gazetteer_rows(s, d):
 
 Q["read_places"] = lambda s, d: Z.parse_places(_gazetteer_rows(s, d))
 SQL["read_places"] = f"""SELECT k::VARCHAR AS id, c_name AS name, round_even(((k * 37 % 700) / 100.0::DOUBLE + 47.5::DOUBLE) * 1000, 0)::INTEGER AS lat_m,
-round_even(((k * 53 % 800) / 100.0::DOUBLE + 6.5::DOUBLE) * 1000, 0)::INTEGER AS lon_m, CASE WHEN k % 4 = 0 THEN k % 900 WHEN k % 6 <> 0 THEN k % 1700 END AS hoehe,
+round_even(((k * 53 % 800) / 100.0::DOUBLE + 6.5::DOUBLE) * 1000, 0)::INTEGER AS lon_m,
+round_even(((k * 37 % 700) / 100.0::DOUBLE + 47.5::DOUBLE) * 1000, 0) / 1000 AS lat, round_even(((k * 53 % 800) / 100.0::DOUBLE + 6.5::DOUBLE) * 1000, 0) / 1000 AS lon, CASE WHEN k % 4 = 0 THEN k % 900 WHEN k % 6 <> 0 THEN k % 1700 END AS hoehe,
 CASE c_nationkey % 20 {' '.join(f"WHEN {int(c)} THEN '{n}'" for c, n in Z.STATES.items())} END AS land,
 CASE WHEN k % 3 = 0 THEN floor(abs(c_acctbal))::BIGINT ELSE 0 END AS einwohner, k % 5 = 0 AS gipfel FROM (SELECT *, c_custkey AS k FROM customer)
 WHERE c_nationkey % 20 BETWEEN 1 AND 16 AND ((k % 5 = 0 AND (k % 10 = 0 OR k % 15 = 0)) OR (k % 5 <> 0 AND k % 7 <> 0 AND k % 11 <> 0))"""
