@@ -104,7 +104,7 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
     return (
         table(spark, sf_dir, "events")
-        .groupBy(F.lit(1).alias("ort"), F.col("event_type").alias("modell"), hour.alias("zeit"))
+        .groupBy((F.col("user_id") % 3 + 1).cast("int").alias("ort"), F.col("event_type").alias("modell"), hour.alias("zeit"))
         .agg(F.avg("value").alias("v_avg"), F.max("value").alias("v_max"),
              F.min("value").alias("v_min"), F.max(F.col("user_id") % 15).alias("u_max"),
              F.count(F.lit(1)).alias("n"))

@@ -144,14 +144,14 @@ PLACES = """pl AS (SELECT c_custkey AS id, c_name AS name,
        c_custkey % 9 = 0 AS gipfel
 FROM customer)"""
 
-FORECAST = """fc AS (SELECT 1 AS ort, event_type AS modell, zeit, avg(value) / 10 AS temp,
+FORECAST = """fc AS (SELECT CAST(user_id % 3 + 1 AS INTEGER) AS ort, event_type AS modell, zeit, avg(value) / 10 AS temp,
        CASE WHEN count(*) % 7 <> 0 THEN avg(value) % 100 END AS wolken,
        min(value) / 10 AS regen, avg(value) / 5 AS wind, max(value) / 4 AS boe,
        ['klar','heiter','wolkig','bedeckt','nebel','niesel','regen','starkregen','schauer',
         'schneeregen','schnee','schneeschauer','gewitter','glatteis','wind'][max(user_id % 15) + 1] AS symbol,
        CASE max(user_id % 15) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS ist_tag,
        CASE WHEN count(*) % 4 <> 0 THEN max(value) % 101 END AS wkt
-FROM (SELECT *, date_trunc('hour', ts) AS zeit FROM events) GROUP BY event_type, zeit)"""
+FROM (SELECT *, date_trunc('hour', ts) AS zeit FROM events) GROUP BY user_id % 3, event_type, zeit)"""
 
 # Berlin time of a UTC timestamp in the winter half the forecast rows lie in
 LOCAL = "(zeit + INTERVAL 1 HOUR)"
