@@ -28,14 +28,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import small_or_shuffled, table, written
+from isotherm.llm.common import table, written
 from isotherm.llm.words import map_rows
 
 MIN_WORDS = 5
 MAX_EDITS = 1
-SMALL = 500_000                 # rows of two or three numbers that a join may send to every task
 BATCH = 100_000                 # variants of an output batch
 
 
@@ -64,17 +64,21 @@ def hashed_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
     128 bits stand for a line; keys are what a near line shares. A line and one that is a
     character longer are cut at the same places if the longer one also counts as a line of one
-    character less.
+    character less. A line that an Arrow batch has had already brings no keys again, so a line of
+    very many documents is no hot key.
     """
     def make():
         def run(columns):
+            had = set()
             for doc, t in zip(*columns):
                 for no, raw in enumerate(t.split("\n") if t else ()):
                     line = normal(raw)
                     if long_enough(line):
                         h = xxhash.xxh3_128_intdigest(line)
                         n = len(line)
-                        yield doc, no, _signed(h >> 64), _signed(h & (1 << 64) - 1), _thirds(line, n) + _thirds(line, n - 1)
+                        keys = None if h in had else _thirds(line, n) + _thirds(line, n - 1)
+                        had.add(h)
+                        yield doc, no, _signed(h >> 64), _signed(h & (1 << 64) - 1), keys
         return run
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -91,16 +95,15 @@ def first_places(lines: DataFrame) -> DataFrame:
 
 def suspects(lines: DataFrame) -> DataFrame:
     """(h1): texts that share two thirds with a different text."""
-    keys = lines.select("h1", F.explode("keys").alias("k"))
-    shared = keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k")
-    shared = small_or_shuffled(written(shared, "line-keys"), SMALL)
-    return keys.join(shared, "k", "left_semi").select("h1").distinct()
+    same = W.partitionBy("k")
+    keys = lines.select("h1", F.explode("keys").alias("k")).select(
+        "h1", F.min("h1").over(same).alias("a"), F.max("h1").over(same).alias("b"))
+    return keys.where("a <> b").select("h1").distinct()
 
 
 def suspect_lines(docs: DataFrame, places: DataFrame, id_col: str, text: str) -> DataFrame:
     """(place, doc, no, line) of the given (doc, no): place numbers them in order, earliest first."""
-    wanted = small_or_shuffled(written(places.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("no").alias("_nos")), "line-suspects"),
-                               SMALL // 5)
+    wanted = places.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("no").alias("_nos"))
 
     def make():
         def run(columns):
@@ -113,7 +116,8 @@ def suspect_lines(docs: DataFrame, places: DataFrame, id_col: str, text: str) ->
         return run
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.join(wanted, docs[id_col] == F.col("_doc")).select(F.col("_doc"), F.col(f"`{text}`").cast("string"), "_nos")
+    # the ids grow with the corpus: a merge join at every size
+    rows = docs.join(wanted.hint("merge"), docs[id_col] == F.col("_doc")).select(F.col("_doc"), F.col(f"`{text}`").cast("string"), "_nos")
     lines = map_rows(rows, make, f"doc {kind}, no int, line string").dropDuplicates(["doc", "no"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = lines.repartitionByRange(parts, "doc", "no").sortWithinPartitions("doc", "no")
@@ -190,12 +194,10 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     Keys of places only meet keys of the same place: their lines are all within one edit. A line
     and the lines it is a variant of meet at the line's own key.
     """
-    keys = variants(lines)
-    best = keys.groupBy("key").agg(F.min("own").alias("own_min"), F.max("own").alias("own_max"), F.min("less").alias("less_min"))
-    best = best.where((F.col("own_min") < F.col("own_max")) | (F.col("own_min").isNotNull() & F.col("less_min").isNotNull()))
-    best = small_or_shuffled(written(best, "line-variants"), SMALL // 2)
+    same = W.partitionBy("key")
+    keys = variants(lines).select("own", "less", F.min("own").over(same).alias("own_min"), F.min("less").over(same).alias("less_min"))
     # a line's own key meets shorter variants of longer lines; both directions count
-    met = keys.join(best, "key").select(F.coalesce("own", "less").alias("place"), F.when(
+    met = keys.select(F.coalesce("own", "less").alias("place"), F.when(
         F.col("less").isNotNull(), F.col("own_min")).otherwise(F.least("own_min", "less_min")).alias("to"))
     found = met.where(F.col("to") < F.col("place")).groupBy("place").agg(F.min("to").alias("to"))
     # verify: a hash may lie, the edit distance does not
@@ -220,7 +222,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     late = near_earlier(suspect_lines(docs, near, id_col, text)).withColumn("late", F.lit(True))
     judged = first.join(late, ["doc", "no"], "left").where((F.col("n") > 1) | F.col("late")).select(
         "h1", "h2", F.col("doc").alias("d1"), F.col("no").alias("n1"), F.coalesce("late", F.lit(False)).alias("late"))
-    judged = small_or_shuffled(written(judged, "line-judged"), SMALL)
     gone = lines.select("doc", "no", "h1", "h2").join(judged, ["h1", "h2"]).where(
         F.col("late") | (F.col("doc") != F.col("d1")) | (F.col("no") != F.col("n1")))
     return gone.groupBy("doc").agg(F.collect_set("no").alias("gone"))
@@ -228,8 +229,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs with the text that stays, and struct _lines (n_lines, n_removed)."""
-    gone = small_or_shuffled(written(removed_lines(docs, id_col, text).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")),
-                                     "line-gone"), SMALL // 5)
+    gone = written(removed_lines(docs, id_col, text).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), "line-gone")
     joined = docs.join(gone, docs[id_col] == F.col("_doc"), "left")
     split, body = F.split(F.col(f"`{text}`"), "\n", -1), F.col(f"`{text}`")
     stays = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")

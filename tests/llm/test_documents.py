@@ -105,12 +105,6 @@ def test_lines_odd(spark, odd, none):
     assert lines.stage(spark, odd, SF).columns == odd.columns
 
 
-def test_lines_large_sides_are_shuffled(spark, docs, monkeypatch):
-    data, df = with_copies(spark, docs)
-    monkeypatch.setattr(lines, "SMALL", 1)
-    assert {r.doc: set(r.gone) for r in lines.removed_lines(df).collect()} == brute.kept_lines(data)
-
-
 # ---- decontamination -----------------------------------------------------------------------------
 
 
