@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import day_index
-from isotherm.operators import national, outlook, totals, year
+from isotherm.operators import national, totals, year
 from isotherm.operators.clean import clean, rule_audit
 from isotherm.operators.normals import day_normals, normal_years
 from isotherm.operators.series import years
-from isotherm.schema import FORECAST_YEARS, FULL_YEAR
+from isotherm.schema import FULL_YEAR
 
 
 def year_summary(obs: DataFrame, level="alle", jahr: int | None = None, nv: int = 1991) -> DataFrame:
@@ -35,56 +33,43 @@ def year_summary(obs: DataFrame, level="alle", jahr: int | None = None, nv: int
     )
 
 
-def year_view(obs: DataFrame, today: dt.date, level="alle", jahr: int | None = None,
-              nv: int = 1991, compare_years: int = FORECAST_YEARS, min_days: int = FULL_YEAR
-              ) -> dict[str, DataFrame]:
-    """All parts of the year view. Persist ``obs`` first where several parts are read."""
-    c = clean(obs, level)
-    return {
-        "kopf": year_summary(obs, level, jahr, nv),
-        "tage": year.year_days(c, jahr),
-        "normal": day_normals(c, nv),
-        "monate": year.months_vs_normal(c, jahr, nv),
-        "prognose": outlook.year_forecast(c, today, compare_years, min_days),
-    }
-
-
-def totals_view(c: DataFrame, column: str = "rsk", jahr: int | None = None, nv: int = 1991,
-                min_days: int = FULL_YEAR) -> dict[str, DataFrame]:
-    """Rain or sun: all parts."""
-    return {
-        "jahre": totals.yearly_totals(c, column),
-        "rang": totals.totals_rank(c, column, nv, min_days),
-        "kumuliert": totals.cumulative(c, column, jahr),
-        "band": totals.cumulative_band(c, column, nv, min_days),
-        "monate": totals.monthly_totals(c, column, jahr, nv),
-    }
-
-
 def totals_summary(c: DataFrame, column: str = "rsk", jahr: int | None = None, nv: int = 1991,
                    min_days: int = FULL_YEAR) -> DataFrame:
     """Per station and year: totals with place and normal, and the curve's end beside the band."""
     all_years = totals.yearly_totals(c, column)
-    rank = totals.totals_rank(c, column, nv, min_days).select("station", "jahr", "platz")
-    usual = totals.totals_rank(c, column, nv, min_days).select(
-        "station", "normal", "normal_jahre").distinct()
+    rank = totals.totals_rank(c, column, nv, min_days).select("station", "jahr", "platz", "normal", "normal_jahre")
     end = totals.cumulative(c, column, jahr).groupBy("station", "jahr").agg(
         F.max(F.struct("k", "kumuliert")).alias("_e")).select(
         "station", "jahr", F.col("_e.k").alias("k"), F.col("_e.kumuliert").alias("stand"))
     band = totals.cumulative_band(c, column, nv, min_days).select("station", "k", "p10", "p50", "p90")
     return (
-        all_years.join(rank, ["station", "jahr"], "left").join(usual, "station", "left")
+        all_years.join(rank, ["station", "jahr"], "left")
+        # the same for every full year of a station; one row per year here
+        .withColumns({n: F.max(n).over(Window.partitionBy("station")) for n in ("normal", "normal_jahre")})
         .join(end, ["station", "jahr"], "left").join(band, ["station", "k"], "left")
     )
 
 
+def failed_stations(failed: DataFrame, pattern: str = r"_(\d{5})_") -> DataFrame:
+    """(station, fehler) of the files that failed; the station is read from the file's name."""
+    number = F.regexp_extract("path", pattern, 1)
+    return failed.select(F.when(number != "", number.try_cast("int")).alias("station"), "fehler")
+
+
+def snapshot_job(c: DataFrame, st: DataFrame, failed: DataFrame, days: int = 7) -> dict[str, DataFrame]:
+    """The national snapshot and the stations that could not be loaded for it."""
+    return {"werte": national.national_snapshot(c, st, days), "fehler": failed_stations(failed)}
+
+
 def records_job(c: DataFrame, st: DataFrame, days: int = 365, calendar_days: int = 14,
-                min_years: int = 20) -> dict[str, DataFrame]:
-    """New records and calendar-day records of all stations, with the station's data."""
+                min_years: int = 20, failed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """New records and calendar-day records of all stations, with the station's data; and the
+    stations that failed, where the failed files are given."""
     names = st.select(F.col("id").alias("station"), "name", "land", "hoehe")
     placed = national.new_records(c, days).join(names, "station")
     by_day = national.calendar_day_records(c, calendar_days, min_years).join(names, "station")
-    return {
+    out = {
         "eintraege": placed.orderBy("datum", "kategorie", "platz", "name"),
         "kalendertag": by_day.orderBy("datum", "kategorie", "name"),
     }
+    return out if failed is None else out | {"fehler": failed_stations(failed)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isotherm.operators import ingest as I
 from isotherm.operators.national import national_snapshot
 from isotherm.plans import store
+from isotherm.plans.views import failed_stations
 from isotherm.schema import MEASURES, PRODUCT_FIELDS
 from isotherm.session import new_folder
 from isotherm.sources import daily as S, derived, listings as L
@@ -102,6 +103,10 @@ FROM obs WHERE (station = 11 AND year(datum) IN (1994, 1998)) OR (station = 12 A
  OR (station = 31 AND year(datum) = 1997) OR (station = 32 AND year(datum) = 1996 AND day(datum) = 1)""")
 
 
+Q["failed_stations"] = lambda s, d: failed_stations(S.parse_archives(_archives(s, d))[1], r"mem:/([0-9]+)/").select("station", F.substring("fehler", 1, 7).alias("fehler"))
+SQL["failed_stations"] = f"SELECT split_part(path, '/', 2)::INTEGER AS station, fehler FROM ({SQL['failed_archives']})"
+
+
 def _station_lines(s, d):
     k = F.col("s_suppkey")
     line = F.concat_ws(" ", F.lpad(k.cast("string"), 5, "0"), F.lit("19370101"), F.when(k % 9 == 0, "offen").otherwise("20060630"), F.lpad((k % 3000).cast("string"), 12, " "),
@@ -130,6 +135,20 @@ unnest(regexp_extract_all(html, '{_LINK}', 2)) AS k, unnest(range(len(regexp_ext
 Q["active_stations"] = lambda s, d: L.active_stations(_pages(s, d), r'href="/([^"]+)"', numeric=False)
 SQL["active_stations"] = """SELECT DISTINCT unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS station FROM pages"""
 
+# the same with the patterns of the library, on listings written from suppliers
+def _listings(s, d):
+    k = F.col("s_suppkey")
+    return derived.table(s, d, "supplier").select((k % 7).alias("seite"), F.concat(
+        F.format_string('<a href="tageswerte_KL_%05d_19370101_2000%02d31_hist.zip">x</a> ', k % 40, k % 12 + 1),
+        F.when(k % 3 == 0, F.format_string('<a href="tageswerte_KL_%05d_akt.zip">y</a>', k)).otherwise(F.lit("<p>"))).alias("html"), k)
+
+
+Q["archive_manifest_links"] = lambda s, d: L.archive_manifest(_listings(s, d).select(F.col("s_suppkey").alias("seite"), "html"))
+SQL["archive_manifest_links"] = """SELECT s_suppkey % 40 AS station, arg_max(printf('tageswerte_KL_%05d_19370101_2000%02d31_hist.zip', s_suppkey % 40, s_suppkey % 12 + 1), s_suppkey) AS datei
+FROM supplier GROUP BY s_suppkey % 40"""
+Q["active_station_links"] = lambda s, d: L.active_stations(_listings(s, d))
+SQL["active_station_links"] = "SELECT s_suppkey AS station FROM supplier WHERE s_suppkey % 3 = 0"
+
 # ---- merge and refresh ---------------------------------------------------------------------------
 _CUT = "DATE '2000-06-30'"
 
@@ -250,6 +269,36 @@ Q["store_refresh"] = _store_refreshed
 SQL["store_refresh"] = SQL["replace_recent"]
 
 
+def _built(s, d):
+    """List, listing and archives as files, put together as one store; years from 1999 on are recent."""
+    base = _folder(s, "bau")
+
+    def save(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        # "file:/x", as the session writes a local folder, is no address for Arrow
+        target, root = fs.FileSystem.from_uri(base.removeprefix("file:") if base.startswith("file:/") else base)
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                station, year = path.removeprefix("mem:/").removesuffix("_akt.zip").split("/")
+                kind = "akt" if int(year) >= 1999 else "hist"
+                target.create_dir(f"{root}/{kind}", recursive=True)
+                with target.open_output_stream(f"{root}/{kind}/tageswerte_{station}_{year}_{kind}.zip") as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    _archives(s, d).mapInPandas(save, "n bigint").count()
+    _station_lines(s, d).write.text(f"{base}/liste")
+    listing = derived.table(s, d, "supplier").select(F.col("s_suppkey").alias("seite"), F.format_string(
+        '<a href="tageswerte_KL_%05d_19370101_20001231_hist.zip">', F.col("s_suppkey")).alias("html"))
+    made = store.build_dataset(s, f"{base}/liste", listing, f"{base}/hist", f"{base}/akt", f"{base}/out")
+    stations, manifest = made["stations"].count(), made["manifest"].count()
+    return rounded(store.read_store(s, f"{base}/out/observations")).withColumns({"stationen": F.lit(stations), "dateien": F.lit(manifest)})
+
+
+Q["build_dataset"] = _built
+SQL["build_dataset"] = SQL["read_archives"].replace("1 AS quelle", "CASE WHEN year(datum) >= 1999 THEN 1 ELSE 0 END AS quelle, (SELECT count(*) FROM supplier WHERE s_suppkey % 9 <> 0) AS stationen, (SELECT count(*) FROM supplier) AS dateien")
 def _streamed(s, d, broken=False):
     """Recent product files arrive in a folder; the stream brings them into the store.
 
