@@ -230,7 +230,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs with the text that stays, and struct _lines (n_lines, n_removed)."""
     gone = written(removed_lines(docs, id_col, text).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), "line-gone")
-    joined = docs.join(gone, docs[id_col] == F.col("_doc"), "left")
+    joined = docs.join(gone.hint("merge"), docs[id_col] == F.col("_doc"), "left")
     split, body = F.split(F.col(f"`{text}`"), "\n", -1), F.col(f"`{text}`")
     stays = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     return joined.select(*[F.when(F.col("_gone").isNull(), body).otherwise(stays).alias(c) if c == text else F.col(f"`{c}`")
