@@ -35,7 +35,6 @@ from isotherm.llm.common import table, written
 from isotherm.llm.words import map_rows
 
 MIN_WORDS = 5
-MAX_EDITS = 1
 BATCH = 100_000                 # variants of an output batch
 
 

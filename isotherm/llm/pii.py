@@ -211,7 +211,7 @@ def _date(value: Column, key: Column) -> Column:
     def fresh(x: Column) -> Column:
         day = F.datediff(x["d"], F.lit(DAY_ZERO).cast("date")).cast("long")
         mark = F.when(F.contains(value, F.lit("/")), "/").otherwise(".")
-        # dates that only read as month first are a domain of their own: their day is above 12
+        # a date read as month first comes back month first
         return F.when(x["d"].isNull() | ~day.between(0, DAYS[0] * DAYS[1] - 1), value).otherwise(
             let(F.date_add(F.lit(DAY_ZERO).cast("date"), feistel(day, *DAYS, key, "date").cast("int")), lambda n: F.when(
                 iso, F.date_format(n, "yyyy-MM-dd")).when(x["us"], F.concat_ws("/", F.date_format(n, "MM"), F.date_format(n, "dd"), F.date_format(n, "yyyy")))
