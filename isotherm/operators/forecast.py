@@ -5,7 +5,6 @@ Rows: ort, modell, zeit (UTC timestamp), temp, wolken, regen, wind, boe, symbol,
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window

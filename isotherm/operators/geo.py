@@ -13,8 +13,6 @@ Cell tables are bounded by the number of cells, candidates by the density around
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isotherm.functions.calendar import month_length
 from isotherm.functions.numbers import displayed, quantile_of_sorted
 from isotherm.operators.common import (
-    in_period, in_years, of_period, of_year, with_first_dates, with_value, year_curves,
+    in_period, of_period, of_year, with_first_dates, with_value, year_curves,
 )
 from isotherm.operators.waves import dry_spells
 from isotherm.schema import COVERAGE, FULL_YEAR, WET

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isotherm.functions.calendar import day_index, month_day, new_year, year_end
+from isotherm.functions.calendar import day_index, new_year, year_end
 from isotherm.operators.common import in_period, last_days, of_period, of_year, sums_around, with_value
 from isotherm.schema import COVERAGE, FULL_YEAR
 

@@ -2,8 +2,6 @@ import datetime as dt
 import io
 import zipfile
 
-import pytest
-from pyspark.sql import functions as F
 
 from isotherm.operators import ingest as I
 from isotherm.plans import store

@@ -14,7 +14,7 @@ from isotherm.session import new_folder
 from isotherm.sources import daily as S, derived, listings as L
 from isotherm.streaming.recent import failed_arrivals, stream_recent
 from verification.analyses import _SNAP
-from verification.base import STATIONS, cleaned, obs, over_c, over_obs, r, rounded, rs
+from verification.base import cleaned, obs, over_c, over_obs, r, rounded, rs
 
 Q: dict = {}
 SQL: dict = {}
