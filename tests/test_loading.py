@@ -2,7 +2,6 @@ import datetime as dt
 import io
 import zipfile
 
-
 from isotherm.operators import ingest as I
 from isotherm.plans import store
 from isotherm.schema import PRODUCT_FIELDS
