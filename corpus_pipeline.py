@@ -14,7 +14,7 @@ from isotherm.session import new_folder
 
 STAGES = [
     ("quality_rules", quality.stage),
-    ("line_dedup", lines.stage),
+    ("line_dedup", lines.stage_all_lines),
     ("ngram_jaccard_join", neardup.stage),
     ("benchmark_decontamination", decontaminate.stage),
     ("mixing", mixing.stage),

@@ -13,9 +13,11 @@ key is found by an aggregate, and no pairs are formed. Two steps before that los
 
 The partner found is verified by its edit distance.
 
-Rule: lines are compared in lower case with runs of (Unicode) white space as one space; lines of
-fewer than MIN_WORDS words are left alone (headings, list marks). "Earlier" is by document id, then
+Rule: lines are compared in lower case with runs of (Unicode) white space as one space. Every line
+that is not blank goes if an earlier one is equal; within one edit only lines of NEAR_CHARS characters
+or more are compared, as one edit turns one list mark into another. "Earlier" is by document id, then
 line number. A line goes if any earlier line lies within the bound, whether that one stays or not.
+A caller may have lines of few words left alone (min_words); op5 and the pipeline do not.
 
 Defined results: NULL text stays NULL and has no lines; documents whose id is NULL stay as they
 are, as their order is unknown. Rows that share an id are one document: of equal lines at the
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 from isotherm.llm.common import table, written
 from isotherm.llm.words import map_rows
 
-MIN_WORDS = 5
+MIN_WORDS = 5                   # default of min_words
+NEAR_CHARS = 9                  # the shortest line of MIN_WORDS words; shorter ones are compared for equality only
 BATCH = 100_000                 # variants of an output batch
 
 
@@ -42,8 +45,8 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def long_enough(line: str) -> bool:
-    return line.count(" ") >= MIN_WORDS - 1
+def long_enough(line: str, min_words: int = MIN_WORDS) -> bool:
+    return line != "" and line.count(" ") >= min_words - 1
 
 
 def _signed(h: int) -> int:
@@ -58,10 +61,10 @@ def _thirds(line: str, nominal: int) -> list[int]:
     return [_signed(xxhash.xxh3_64_intdigest(p, seed=(nominal << 2) + i)) for i, p in enumerate(parts)]
 
 
-def hashed_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def hashed_lines(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, no, h1, h2, keys) of the lines long enough to be compared.
 
-    128 bits stand for a line; keys are what a near line shares. A line and one that is a
+    128 bits stand for a line; keys are what a near line shares, NULL below NEAR_CHARS. A line and one that is a
     character longer are cut at the same places if the longer one also counts as a line of one
     character less. A line that an Arrow batch has had already brings no keys again, so a line of
     very many documents is no hot key.
@@ -72,10 +75,10 @@ def hashed_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             for doc, t in zip(*columns):
                 for no, raw in enumerate(t.split("\n") if t else ()):
                     line = normal(raw)
-                    if long_enough(line):
+                    if long_enough(line, min_words):
                         h = xxhash.xxh3_128_intdigest(line)
                         n = len(line)
-                        keys = None if h in had else _thirds(line, n) + _thirds(line, n - 1)
+                        keys = None if n < NEAR_CHARS or h in had else _thirds(line, n) + _thirds(line, n - 1)
                         had.add(h)
                         yield doc, no, _signed(h >> 64), _signed(h & (1 << 64) - 1), keys
         return run
@@ -213,9 +216,9 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     return map_rows(pairs, make, f"doc {lines.schema['doc'].dataType.simpleString()}, no int")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, gone): per document that loses lines their numbers, from 0."""
-    lines = written(hashed_lines(docs, id_col, text), "lines")
+    lines = written(hashed_lines(docs, id_col, text, min_words), "lines")
     first = written(first_places(lines), "line-first")
     near = first.join(suspects(lines), "h1", "left_semi").select("doc", "no")
     late = near_earlier(suspect_lines(docs, near, id_col, text)).withColumn("late", F.lit(True))
@@ -226,9 +229,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     return gone.groupBy("doc").agg(F.collect_set("no").alias("gone"))
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs with the text that stays, and struct _lines (n_lines, n_removed)."""
-    gone = written(removed_lines(docs, id_col, text).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), "line-gone")
+    gone = written(removed_lines(docs, id_col, text, min_words).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), "line-gone")
     joined = docs.join(gone.hint("merge"), docs[id_col] == F.col("_doc"), "left")
     split, body = F.split(F.col(f"`{text}`"), "\n", -1), F.col(f"`{text}`")
     stays = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
@@ -240,14 +243,19 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return drop_lines(docs).select("doc_id", "_lines.n_lines", "_lines.n_removed", "text")
+    return drop_lines(docs, min_words=1).select("doc_id", "_lines.n_lines", "_lines.n_removed", "text")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_words: int = MIN_WORDS) -> DataFrame:
     """Texts without repeated lines; a document that consisted of repeated lines only goes."""
-    made = drop_lines(docs)
+    made = drop_lines(docs, min_words=min_words)
     left = made.where((F.col("_lines.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("_lines.n_removed") == 0, F.col("n_chars"))
                                .otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def stage_all_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stage with lines of any number of words compared."""
+    return stage(spark, docs, sf_dir, min_words=1)

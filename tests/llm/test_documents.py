@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from isotherm.llm import decontaminate, langid, lines, mixing, neardup, pii, quality, secrets
 from tests.llm import brute
 
@@ -95,6 +96,34 @@ def test_lines_one_edit(spark):
     assert [got[i] for i in range(1, 9)] == [line, "", "", "", "", "", "a b c\na b c", "new words on a line"]
 
 
+def test_lines_of_few_words(spark):
+    """Without a minimum: short lines by equality, lines of a script without spaces within one edit too, list marks stay."""
+    passage = "这是一个没有空格的重复段落测试"
+    data = [(1, f"All rights reserved.\n{passage}\n1.\n\na b c"), (2, f"all  rights reserved.\n{passage}\n2.\n\na b d"),
+            (3, f"own\n{passage[:-1]}\n1.\n\nA B C")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc: set(r.gone) for r in lines.removed_lines(df, min_words=1).collect()} == {2: {0, 1}, 3: {1, 2, 4}}
+    want = {1: data[0][1], 2: "2.\n\na b d", 3: "own\n"}
+    assert {r.doc_id: r.text for r in lines.drop_lines(df, min_words=1).collect()} == want
+    made = dict(corpus_pipeline.STAGES)["line_dedup"](spark, df, SF)
+    assert {r.doc_id: r.text for r in made.collect()} == want
+
+
+def test_lines_of_the_tables_without_minimum(spark):
+    """Against comparing all pairs of lines of one table."""
+    data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    seen, gone = [], {}
+    for d, t in sorted(data, key=lambda r: r[0]):
+        for no, line in enumerate(lines.normal(x) for x in (t or "").split("\n")):
+            if line:
+                if any(p == line or min(len(p), len(line)) >= lines.NEAR_CHARS and lines.within_one(p, line) for p in seen):
+                    gone.setdefault(d, set()).add(no)
+                seen.append(line)
+    got = {r.doc_id: (r.n_removed, r.text) for r in lines.op5_line_dedup(spark, SF).collect()}
+    assert got == {d: (len(gone.get(d, ())), t if d not in gone else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]))
+                   for d, t in data}
+
+
 def test_lines_odd(spark, odd, none):
     got = lines.drop_lines(odd).collect()
     assert len(got) == len(ODD)
