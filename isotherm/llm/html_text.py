@@ -3,8 +3,9 @@
 A page becomes a sequence of words and tags. Words score positive, tags negative; words inside
 containers that hold no article text (menus, notices, forms, comments) score negative as well.
 The weights are learned from a bounded sample of labelled pages: pages whose own markup names the
-main text (<article> or <main>) label their words and tags as inside or outside. What the sample
-has not shown falls back to the fixed list of container words below.
+main text (<article> or <main>) label their words and tags as inside or outside. Only for containers
+that the sample has not shown does the fixed list of container words below decide, by whole names.
+Containers around an <article> or <main> say nothing about what it holds, elements such as <nav> do.
 
 Defined results: NULL or empty html gives an empty text, as does a page without words. Repeated
 rows each get their row; other columns are not read. Unclosed and crossing tags are closed at the
@@ -19,6 +20,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +37,17 @@ BLOCK = frozenset("""address article aside blockquote body br caption center dd
 figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot
 th thead title tr ul script style""".split())
 INLINE_ENDS = frozenset("p li dt dd tr td th option".split())
-# containers that never hold article text, and words in class, id or role that name such containers
+# containers that never hold article text, and words that make up a class, id or role of such containers
 APART = frozenset("nav aside footer form head dialog menu".split())
 APART_WORDS = frozenset("""ad ads adbox adslot advert advertisement advertising advertorial affix banner breadcrumb breadcrumbs byline-share comment
 comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus dropdown footer form gdpr header
 hidden login masthead menu modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination popup
 privacy promo promoted promotion recommended related reply replies responses rss search share sharing shop sidebar signup skip skyscraper
 social sponsor sponsored sponsors subscribe subscription taboola tags teaser toc toolbar tooltip topbar widget widgets""".split())
+# words that may stand beside them in such a name; any other word (no-sidebar, with-sidebar) makes it another name
+BESIDE = frozenset("""site page global main top bottom left right primary secondary inner outer box block bar wrapper wrap container
+section area panel list item items link links button buttons icon icons text message post posts article articles entry""".split())
+OF_ARTICLE = frozenset("article entry page post section".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']|"[^"<]*+"|'[^'<]*+'|["'])*+)>?""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
@@ -53,27 +59,40 @@ def names_of(attributes: str) -> list[str]:
     return [n.lower() for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split()]
 
 
+@lru_cache(100_000)
+def names_apart(name: str, inside_article: bool) -> bool:
+    """Whether a whole class, id or role names a container without article text; a header of the article holds its heading."""
+    if name in APART_WORDS and name != "header":
+        return True
+    parts = {p for p in _SPLIT.split(name) if p}
+    found = parts & APART_WORDS
+    if inside_article or parts & OF_ARTICLE:
+        found -= {"header"}
+    return bool(found) and all(p in APART_WORDS or p in BESIDE or p.isdigit() for p in parts)
+
+
 @dataclass
 class Piece:
-    """A text (words > 0) or a tag (tag is its name), with the containers it lies in."""
+    """A text (words > 0) or a tag (tag is its name), with the containers it lies in; named: those the list names."""
     tag: str = ""
     text: str = ""
     words: int = 0
     keys: tuple[str, ...] = ()
     apart: bool = False
     block: bool = False
+    named: tuple[str, ...] = ()
 
 
 def pieces(page: str) -> list[Piece]:
     """The page in order. Elements that hold no text to read (scripts, styles) are left out."""
     out: list[Piece] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = [("", (), False)]
+    stack: list[tuple[str, tuple[str, ...], bool, tuple[str, ...]]] = [("", (), False, ())]
     at, end = 0, len(page)
 
     def text(raw: str) -> None:
         plain = entities.unescape(raw)
-        _, keys, apart = stack[-1]
-        out.append(Piece(text=plain, words=len(plain.split()), keys=keys, apart=apart))
+        _, keys, apart, named = stack[-1]
+        out.append(Piece(text=plain, words=len(plain.split()), keys=keys, apart=apart, named=named))
 
     while at < end:
         start = page.find("<", at)
@@ -115,14 +134,17 @@ def pieces(page: str) -> list[Piece]:
                                       or _open_inline(stack[-1][0], stack, name)):
                 stack.pop()
         got = names_of(m[3])
-        parts = {p for n in got for p in [n, *_SPLIT.split(n)] if p}
-        _, keys, apart = stack[-1]
+        _, keys, apart, named = stack[-1]
         inside_article = any(s[0] in ("article", "main") for s in stack)
-        named = bool(parts & APART_WORDS) and name not in ("html", "body", "main", "article")
-        apart = apart or name in APART or (name == "header" and not inside_article) or named
+        if name not in ("html", "body", "main", "article"):
+            named += tuple(f"{name}.{n}" for n in got if names_apart(n, inside_article))
+        elif apart and name in ("article", "main") and not inside_article:
+            # a form may be wrapped around the whole page
+            apart = any(s[0] in APART and s[0] != "form" or s[0] == "header" for s in stack)
+        apart = apart or name in APART or (name == "header" and not inside_article)
         if name not in VOID and not m[3].endswith("/"):
             own = tuple(f"{name}.{n}" for n in got) if got else ((name,) if name not in ("html", "body") else ())
-            stack.append((name, keys + tuple(k for k in own if k not in keys), apart))
+            stack.append((name, keys + tuple(k for k in own if k not in keys), apart, named))
         out.append(Piece(tag=name, keys=keys, apart=apart, block=name in BLOCK))
     return out
 
@@ -145,10 +167,15 @@ class Weights:
         """Negative where the page's own naming or the labelled pages place the words apart.
 
         A learned container counts only with a class or id of its own: that all links or lists of
-        the labelled pages were menus says nothing about a link in a sentence.
+        the labelled pages were menus says nothing about a link in a sentence. A container that the
+        list names is apart unless the labelled pages show more words inside than outside.
         """
-        if p.apart or any("." in k and self.inside.get(k, 0.0) < -1.0 for k in p.keys):
+        if p.apart:
             return -self.word
+        start = next((i for i, k in enumerate(p.keys) if k.split(".")[0] in ("article", "main")), 0)
+        for k in p.keys[start:]:
+            if "." in k and (self.inside.get(k, -math.inf) <= 0.0 if k in p.named else self.inside.get(k, 0.0) < -1.0):
+                return -self.word
         return self.word
 
     def of_tag(self, p: Piece) -> float:

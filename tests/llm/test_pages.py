@@ -50,6 +50,32 @@ def test_other_layouts(spark, learned):
         "words to come an item another item Third paragraph of the text with some words in it")
 
 
+TEXT = "These are the words of an article that is long enough to be found on the page"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<div class="layout no-sidebar"><article><p>{TEXT}</p></article></div>', TEXT),
+    (f'<div class="with-sidebar"><p>{TEXT}</p></div>', TEXT),
+    (f'<div class="sidebar"><main><p>{TEXT}</p></main></div>', TEXT),
+    (f'<form id="aspnet"><article><p>{TEXT}</p></article></form>', TEXT),
+    (f'<article><header class="entry-header"><h1>A heading</h1></header><p>{TEXT}</p></article>', f"A heading {TEXT}"),
+    (f'<article><header class="header"><h1>A heading</h1></header><p>{TEXT}</p></article>', f"A heading {TEXT}"),
+    (f'<div class="main-sidebar"><p>{TEXT}</p></div>', ""),
+    (f'<aside><article><p>{TEXT}</p></article></aside>', ""),
+    (f'<main><p>{TEXT}</p><div id="comments"><article><p>A reader says hello</p></article></div></main>', TEXT)])
+def test_names_of_containers(page, want):
+    assert html_text.extract(f"<html><body>{page}</body></html>", html_text.Weights()) == want
+
+
+def test_labels_overrule_the_list(spark):
+    """A class of the list that the labelled pages have inside holds text; one they have outside does not."""
+    page = f'<html><body><div class="promo"><p>{TEXT}</p></div><article><div class="widget"><p>{TEXT}</p></div><p>{TEXT}</p></article></body></html>'
+    w = html_text.learn(spark.createDataFrame([(i, "u", page) for i in range(10)], SCHEMA))
+    bare = f'<html><body><div class="promo"><p>{TEXT}</p></div><div class="widget"><p>One more {TEXT}</p></div></body></html>'
+    assert html_text.extract(bare, w) == f"One more {TEXT}" and html_text.extract(bare, html_text.Weights()) == ""
+    assert html_text.extract(page, w) == f"{TEXT} {TEXT}"
+
+
 def test_region_is_the_best_one():
     import itertools
     import random
