@@ -264,6 +264,28 @@ def test_secret_formats(spark, odd, none):
     assert secrets.scan(spark, none, secrets.learn(none)).count() == 0
 
 
+@pytest.mark.parametrize("short", [6, 8, 12, 15])
+def test_secret_formats_of_few_characters(spark, short):
+    """A bare credential of the length of the labelled ones is found; ordinary words of that length are not."""
+    rng = random.Random(short)
+    key = lambda: "".join(rng.choice("0123456789" if i % 2 else "GHJKLMNPQRSTVWXZ") for i in range(short))
+    word = lambda: "".join(rng.choice(["ti", "on", "in", "ge", "er", "th", "an", "de"]) for _ in range(8))[:short]
+    data = [(i, f"{word()} password: {key()} {word()} {word()} {word()}") for i in range(100)] + [(500, f"it is {key()} she said")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(spark, df, secrets.learn(df)).collect()}
+    assert got[500].spans == f"format:6:{6 + short}"
+    assert all(got[i].n_assign == 1 and got[i].n_format == 0 for i in range(100))
+
+
+def test_secret_tokens_beside_spans():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdefgh1234 ") for _ in range(80))
+        taken = [("hex", a, a + rng.randint(1, 12)) for a in rng.sample(range(70), 4)]
+        want = [m.span() for m in secrets.TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in taken)]
+        assert [m.span() for m in secrets.free_tokens(text, taken)] == want
+
+
 def test_automaton_prefers_its_language():
     a = secrets.infer(["a7" * 10] * 30 + ["a7" * 12] * 30)
     assert a.log_likelihood("a7" * 11) > a.log_likelihood("aa77" * 5) > a.log_likelihood("zz" * 10)
