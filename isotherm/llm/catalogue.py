@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from isotherm.llm import decontaminate, html_text, langid, lines, mixing, neardup, pii, quality, secrets, warc
+from isotherm.llm import decontaminate, html_text, langid, lines, mixing, neardup, periods, pii, quality, secrets, warc
 
 Q = {
     "op1_secrets": secrets.op1_secrets,
@@ -16,6 +16,7 @@ Q = {
     "op8_warc_index": warc.op8_warc_index,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_periodic_runs": periods.op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
