@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from isotherm.llm import decontaminate, html_text, langid, lines, mixing, neardup, periods, pii, quality, secrets, warc
+from isotherm.llm import decontaminate, html_text, langid, lines, mixing, neardup, periods, pii, quality, secrets, setsketch, warc
 
 Q = {
     "op1_secrets": secrets.op1_secrets,
@@ -17,6 +17,7 @@ Q = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_periodic_runs": periods.op11_periodic_runs,
+    "op12_setsketch_near_dedup": setsketch.op12_setsketch_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
