@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from isotherm.llm import decontaminate, html_text, langid, lines, mixing, neardup, periods, pii, quality, secrets, setsketch, warc
+from isotherm.llm import (
+    collocations, decontaminate, html_text, langid, lines, mixing, neardup, periods, pii, quality, secrets, setsketch, warc,
+)
 
 Q = {
     "op1_secrets": secrets.op1_secrets,
@@ -18,12 +20,14 @@ Q = {
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_periodic_runs": periods.op11_periodic_runs,
     "op12_setsketch_near_dedup": setsketch.op12_setsketch_near_dedup,
+    "op13_collocations": collocations.op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op6_mixing": mixing.SQL,
     "op8_warc_index": warc.SQL,
     "op9_decontamination": decontaminate.SQL,
+    "op13_collocations": collocations.SQL,
 }
 
 
