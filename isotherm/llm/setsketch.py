@@ -11,12 +11,13 @@
 4. Verify. What stays is decided on the full sets of shingles.
 
 Links are looked for until every candidate pair lies within one component or has been decided:
-first every node against the smallest node of its buckets; then, in buckets that still hold several
-components, every node against its likeliest partner of another component (this merges a group
-of near copies without looking at its pairs); at last all remaining pairs of different
-components. Buckets of more than BLOCK nodes are compared in pairs of blocks of registers, each a task
-input of bounded size; a pair belongs to the first band it shares. Only pairs that pass the
-estimate leave a task, and only their sets are read.
+first every node against the smallest node of its buckets, by joins. Buckets that still hold several
+components are then compared by registers in blocks of BLOCK nodes, each a task input of bounded
+size; a pair belongs to the first band it shares. What leaves a task is a forest of likely pairs, not
+the pairs. Its trees are groups of texts that are all close to others (0.7 or more); the sets of a
+group are compared in blocks again, likeliest pairs first, pairs within one component never. What leaves
+such a task is a forest of verified links. So rows grow with nodes (times blocks of their
+group), not with pairs, also where many texts lie just below the threshold.
 
 A pair at the threshold shares no band with probability (1 - 0.808^6)^42 = 1e-6.
 
@@ -46,8 +47,8 @@ BAND_ROWS, BANDS = 6, 42
 REGISTERS = BAND_ROWS * BANDS
 BASE, RATE, LARGEST = 1.1, 20.0, 255
 SLACK = 12.0                    # natural logarithm of the likelihood ratio
-BLOCK = 2048                    # nodes of a bucket that one task compares with as many others
-MERGES = 3                      # rounds of likeliest partners before all remaining pairs are looked at
+BLOCK = 1024                    # nodes of a bucket or group that one task compares with as many others
+CHUNK = 100_000                 # pairs whose likelihoods are computed at a time
 
 _ODD = np.random.default_rng(1971).integers(1, 2**63, REGISTERS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = (BASE - 1) / BASE
@@ -247,65 +248,124 @@ def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return written(named.join(still, "band"), "open-buckets")
 
 
-def candidates(open_: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
-    """(a, b): pairs of different components in open buckets that may reach the threshold.
-
-    best: for every node only the likeliest partner of each pair of blocks, as (a, b, j); else all.
-    """
+def dealt(rows: DataFrame, key: str, extra: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (key, node, label, blocks) into pairs of blocks (key, i, j, side, node, label, columns), one after the other."""
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
         F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"), (x < F.col("block")).cast("int").alias("side")))
-    rows = open_.withColumn("block", block).select("band", "node", "label", F.explode(pair).alias("p")).select(
-        "band", "p.i", "p.j", "p.side", "node", "label")
-    rows = rows.join(nodes.select("node", "n", "regs", "bands"), "node")
-    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("band", "i", "j", "side", "node", "label", "n", "regs", "bands").repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    each = rows.withColumn("block", block).select(key, "node", "label", F.explode(pair).alias("p")).select(
+        key, "p.i", "p.j", "p.side", "node", "label").join(extra, "node").select(key, "i", "j", "side", "node", "label", *columns)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return each.repartition(parts, key, "i", "j").sortWithinPartitions(key, "i", "j")
+
 
+def _by_blocks(rows: DataFrame, compare) -> DataFrame:
+    """(a, b) that compare(key, rows of one pair of blocks) yields."""
     def run(batches):
         held, key = [], None
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if row[:3] != key:
                     if held:
-                        yield from compare_blocks(key, held, best)
+                        yield from out(compare(key, held))
                     held, key = [], row[:3]
                 held.append(row[3:])
         if held:
-            yield from compare_blocks(key, held, best)
+            yield from out(compare(key, held))
+
+    def out(pairs):
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*pairs)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+class Forest:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (p := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(p, p)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """False if both were in one tree already."""
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
 
-    return rows.mapInArrow(run, "a bigint, b bigint, j double")
+
+def likely_pairs(key: tuple, side: np.ndarray, label: np.ndarray, n: np.ndarray, regs: np.ndarray, allowed):
+    """Arrays (x, y, similarity) of places of one pair of blocks: different labels, allowed, and the threshold possible."""
+    held, size = [], 0
+
+    def judged():
+        x, y, more, less = (np.concatenate(c) for c in zip(*held))
+        j, stay = estimate(more, less, REGISTERS - more - less, n[x], n[y])
+        return x[stay], y[stay], j[stay]
+
+    for x in np.flatnonzero(side == 0).tolist():
+        y = np.arange(x + 1, len(side)) if key[1] == key[2] else np.flatnonzero(side == 1)
+        y = y[(label[y] != label[x]) & fits(n[y], n[x])]
+        y = allowed(x, y)
+        if not len(y):
+            continue
+        held.append((np.full(len(y), x), y, (regs[y] < regs[x]).sum(axis=1), (regs[y] > regs[x]).sum(axis=1)))
+        size += len(y)
+        if size >= CHUNK:
+            yield judged()
+            held, size = [], 0
+    if held:
+        yield judged()
 
 
-def compare_blocks(key: tuple, held: list[tuple], best: bool):
-    """Candidates of one pair of blocks; held: (side, node, label, n, regs, bands)."""
+def _columns(held: list[tuple]) -> tuple[np.ndarray, ...]:
     held.sort(key=lambda r: r[:2])
     side, node, label = (np.array([r[i] for r in held], dtype=np.int64) for i in range(3))
     n = np.array([r[3] for r in held], dtype=np.float64)
-    regs = np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint8).reshape(-1, REGISTERS)
+    return side, node, label, n, np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint8).reshape(-1, REGISTERS)
+
+
+def _close(key: tuple, held: list[tuple]) -> list[tuple]:
+    """A forest of likely pairs of one pair of blocks of a bucket; held: (side, node, label, n, regs, bands)."""
+    side, node, label, n, regs = _columns(held)
     bands = np.array([r[5] for r in held], dtype=np.int64)
     mine = (bands == key[0]).argmax(axis=1)         # the place of this bucket's band
-    top: dict[int, tuple[float, int]] = {}
-    for x in np.flatnonzero(side == 0).tolist():
-        y = np.arange(x + 1, len(held)) if key[1] == key[2] else np.flatnonzero(side == 1)
-        y = y[(label[y] != label[x]) & fits(n[y], n[x])]
-        # a pair belongs to the first band that it shares
-        y = y[~(bands[y, :mine[x]] == bands[x, :mine[x]]).any(axis=1)]
-        if not len(y):
-            continue
-        more, less = (regs[y] < regs[x]).sum(axis=1), (regs[y] > regs[x]).sum(axis=1)
-        j, stay = estimate(more, less, REGISTERS - more - less, np.full(len(y), n[x]), n[y])
-        y, j = y[stay], j[stay]
-        if not len(y):
-            continue
-        if not best:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), node[x])), pa.array(node[y]), pa.array(j)], names=["a", "b", "j"])
-            continue
-        for p, q, s in ((x, int(y[j.argmax()]), float(j.max())), *((q, x, s) for q, s in zip(y.tolist(), j.tolist()))):
-            if p not in top or (s, -q) > (top[p][0], -top[p][1]):
-                top[p] = (s, q)
-    if top:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(node[list(top)]), pa.array(node[[q for _, q in top.values()]]), pa.array([s for s, _ in top.values()])], names=["a", "b", "j"])
+
+    def first_band(x, y):
+        return y[~(bands[y, :mine[x]] == bands[x, :mine[x]]).any(axis=1)]
+
+    trees, out = Forest(), []
+    for x, y, _ in likely_pairs(key, side, label, n, regs, first_band):
+        out += [(a, b) for a, b in zip(node[x].tolist(), node[y].tolist()) if trees.join(a, b)]
+    return out
+
+
+def _links(key: tuple, held: list[tuple]) -> list[tuple]:
+    """A forest of verified links of one pair of blocks of a group; held: (side, node, label, n, regs, items)."""
+    side, node, label, n, regs = _columns(held)
+    items = [np.frombuffer(r[5], dtype=np.uint64) for r in held]
+    trees, out = Forest(), []                       # over labels: what is in one component needs no more links
+    for x, y, j in likely_pairs(key, side, label, n, regs, lambda _, y: y):
+        for i in np.argsort(-j, kind="stable").tolist():
+            a, b = int(x[i]), int(y[i])
+            p, q = int(label[a]), int(label[b])
+            if trees.find(p) != trees.find(q) and linked(items[a], items[b]):
+                trees.join(p, q)
+                out.append((int(node[a]), int(node[b])))
+    return out
+
+
+def remaining_links(open_: DataFrame, nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """(a, b): links that tie the components of open buckets as far as any links do."""
+    close = written(_by_blocks(dealt(open_, "band", nodes.select("node", "n", "regs", "bands"), ["n", "regs", "bands"]), _close), "close")
+    groups = written(components(close).withColumnRenamed("root", "group"), "close-groups")
+    sized = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    named = groups.join(sized, "group").join(open_.select("node", "label").distinct(), "node").select("group", "node", "label", "blocks")
+    extra = nodes.select("node", "n", "regs").join(items, "node")
+    return written(_by_blocks(dealt(named, "group", extra, ["n", "regs", "items"]), _links), "links")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,18 +384,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     labels = written(components(links), "labels")
     links = links.unionByName(verified(likely(other_hubs(buckets, hub, labels), nodes), items))
     labels = written(components(links), "labels")
-    merges = MERGES
-    while not (still := open_buckets(buckets, labels)).isEmpty():
-        found = candidates(still, nodes, best=merges > 0)
-        if merges:
-            found = found.groupBy("a").agg(F.max_by("b", "j").alias("b"))
-        more = verified(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), items)
-        # where the likeliest partners are none, all pairs are looked at; that settles every bucket
-        last, merges = not merges, 0 if more.isEmpty() else max(0, merges - 1)
-        links = links.unionByName(more)
+    still = open_buckets(buckets, labels)
+    if not still.isEmpty():
+        links = links.unionByName(remaining_links(still, nodes, items))
         labels = written(components(links), "labels")
-        if last:
-            break
 
     tied = labels.join(sets.select("node", "first"), "node")
     low = tied.groupBy("root").agg(F.min("first").alias("low"))

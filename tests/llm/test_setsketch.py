@@ -91,7 +91,7 @@ def group(rng, n, m, share):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 16])
+@pytest.mark.parametrize("block", [1024, 16])
 def test_groups_without_a_common_hub(spark, monkeypatch, block):
     monkeypatch.setattr(ss, "BLOCK", block)
     rng = random.Random(8)
