@@ -1,152 +1,171 @@
-"""Daily product files and their archives.
+"""Daily product files and their archives, each parsed in one pass.
 
-Every file brings its own header, so positions are looked up once per file and the lines are
-then split by them. A file with a wrong header or an unreadable value is set aside with its
-reason; the others go on.
+Every file brings its own header. A file is one series, at most some megabytes, so it is read whole
+in one task: unzipped where it is an archive, split, and turned into typed columns at once. It gives
+either its observations or one row that says why it failed; so good and failed files are two filters
+on the same rows, and no join, window or second reading is needed to tell them apart.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from itertools import zip_longest
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from isotherm.schema import MISSING, OBSERVATION, PRODUCT_FIELDS, PRODUCT_REQUIRED
+from isotherm.session import stored
 
 # ---- fixed values --------------------------------------------------------------
 PRODUCT_NAME = "produkt_klima_tag"
 FIELD_NAME = r"^[A-Za-z0-9_]+$"
-DATE_FORMAT = "yyyyMMdd"
+DATE_FORMAT = "%Y%m%d"
 ERROR_LENGTH = 200
 # --------------------------------------------------------------------------------
-# kopf: the file's first line, beside every line; anfang: this line is the first one
-LINES = "path string, kopf string, anfang boolean, value string, fehler string"
+FILES = "path string, content binary, quelle int, station int"
+ROWS = StructType([StructField("path", StringType()), *OBSERVATION.fields, StructField("fehler", StringType())])
+
+
+class Failed(Exception):
+    """Why a file cannot be used."""
+
+
+def product_of(content: bytes) -> bytes:
+    """The product file in an archive."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            name = next((n for n in archive.namelist() if n.startswith(PRODUCT_NAME)), None)
+            if name is None:
+                raise Failed(f"no file {PRODUCT_NAME} in the archive")
+            return archive.read(name)
+    except (zipfile.BadZipFile, EOFError, OSError, ValueError, NotImplementedError, RuntimeError) as error:
+        raise Failed(f"archive unreadable: {error}") from error
+
+
+def _table(text: str, required: list[str]) -> tuple[list[str], dict[str, pa.Array]]:
+    """Lines that have a date, and the trimmed text of each field by name; short lines are padded with NULL."""
+    lines = [line.rstrip("\r") for line in text.split("\n")]
+    head, names = lines[0].strip(), [n.strip() for n in lines[0].strip().split(";")]
+    if not all(re.match(FIELD_NAME, n) for n in names) or not set(required) <= set(names):
+        raise Failed(f"unexpected header: {head}")
+    at = names.index("MESS_DATUM")
+    split = []
+    for line in lines[1:]:
+        fields = line.split(";")
+        # a line that repeats the head is no data either
+        if len(fields) > at and fields[at].strip() and line.strip() != head:
+            split.append((line, fields))
+    columns = list(zip_longest(*(f for _, f in split))) if split else []
+    fields = {}
+    for i, name in enumerate(names):
+        # of a name that comes twice the first one counts
+        if name not in fields:
+            values = list(columns[i]) if i < len(columns) else [None] * len(split)
+            fields[name] = pc.utf8_trim_whitespace(pa.array(values, pa.string()))
+    return [line for line, _ in split], fields
+
+
+def _numbers(texts: pa.Array, lines: list[str]) -> pa.Array:
+    blank = pc.equal(texts, "")
+    try:
+        return pc.if_else(blank, None, texts).cast(pa.float64())
+    except pa.ArrowInvalid:
+        for line, t in zip(lines, texts.to_pylist()):
+            try:
+                pa.array([t or None], pa.string()).cast(pa.float64())
+            except pa.ArrowInvalid:
+                raise Failed(f"unreadable line: {line}") from None
+        raise
+
+
+def _dates(texts: pa.Array, lines: list[str]) -> pa.Array:
+    dates = pc.strptime(texts, format=DATE_FORMAT, unit="s", error_is_null=True)
+    # a day that the month does not have, or other digits, does not come back as it was
+    same = pc.fill_null(pc.equal(pc.strftime(dates, format=DATE_FORMAT), texts), False)
+    if not pc.all(same, min_count=0).as_py():
+        raise Failed(f"unreadable line: {lines[same.index(False).as_py()]}")
+    return dates.cast(pa.date32())
+
+
+def parse_product(text: str, quelle: int, station: int | None = None) -> pa.RecordBatch:
+    """The observations of a product file, or Failed. Without station every line must bring a readable STATIONS_ID."""
+    lines, fields = _table(text, [*PRODUCT_REQUIRED, *(["STATIONS_ID"] if station is None else [])])
+    n = len(lines)
+    arrow = {f.name: f.type for f in to_arrow_schema(OBSERVATION)}
+    out = {"datum": _dates(fields["MESS_DATUM"], lines), "quelle": pa.array([quelle] * n, arrow["quelle"])}
+    if station is not None:
+        out["station"] = pa.array([station] * n, arrow["station"])
+    else:
+        ids = _numbers(fields["STATIONS_ID"], lines)
+        if ids.null_count:
+            raise Failed(f"unreadable line: {lines[ids.is_null().index(True).as_py()]}")
+        out["station"] = ids.cast(arrow["station"], safe=False)
+    for name, column in PRODUCT_FIELDS.items():
+        values = _numbers(fields[name], lines) if name in fields else pa.nulls(n, pa.float64())
+        missing = pc.fill_null(pc.equal(values, float(MISSING)), False)
+        out[column] = pc.if_else(missing, None, values).cast(arrow[column], safe=False)
+    return pa.RecordBatch.from_arrays([out[f.name] for f in OBSERVATION.fields], names=[f.name for f in OBSERVATION.fields])
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, block, value and number inside the task of every line."""
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_i"), "value")
+def _parser(archives: bool, error_length: int):
+    schema = to_arrow_schema(ROWS)
 
+    def one(path: str, content: bytes, quelle: int, station: int | None) -> pa.RecordBatch:
+        try:
+            raw = product_of(content) if archives else content
+            made = parse_product(raw.decode("latin-1"), quelle, station)
+        except Failed as why:
+            empty = [None] * len(OBSERVATION.fields)
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, [path, *empty, str(why)[:error_length]]))], schema=schema)
+        n = made.num_rows
+        return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), *made.columns, pa.nulls(n, pa.string())], schema=schema)
 
-def with_heads(lines: DataFrame) -> DataFrame:
-    """Lines (path, _b, _i, value) with the first line of their file.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(4))):
+                yield one(*(x.as_py() for x in row))
 
-    The first line of a file is the first one of its block 0. Its number is a hash aggregate of
-    fixed width over block 0; the line itself is one row per file.
-    """
-    first = lines.where(F.col("_b") == 0).groupBy("path").agg(F.min("_i").alias("_i0"))
-    heads = lines.where(F.col("_b") == 0).join(first, "path").where(F.col("_i") == F.col("_i0")).select(
-        "path", "_i0", F.col("value").alias("kopf"))
-    # a line that repeats the head is no data either
-    return lines.select("path", "_b", "value").join(heads.select("path", "kopf"), "path").select(
-        "path", "kopf", ((F.col("_b") == 0) & (F.col("value") == F.col("kopf"))).alias("anfang"), "value",
-        F.lit(None).cast("string").alias("fehler"))
+    return run
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def failed(path: str, error: str) -> pd.DataFrame:
-        return pd.DataFrame({"path": [path], "kopf": [None], "anfang": [False], "value": [None], "fehler": [error]})
+def parse_files(files: DataFrame, quelle: int | Column = 0, station: Column | None = None, archives: bool = False,
+                error_length: int = ERROR_LENGTH) -> DataFrame:
+    """Files (path, content) -> path, observation columns, fehler: a file gives observations or one row with its error.
 
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    name = next((n for n in archive.namelist() if n.startswith(PRODUCT_NAME)), None)
-                    text = archive.read(name).decode("latin-1") if name else None
-            except (zipfile.BadZipFile, EOFError, OSError, ValueError) as error:
-                yield failed(path, f"archive unreadable: {error}")
-                continue
-            if text is None:
-                yield failed(path, f"no file {PRODUCT_NAME} in the archive")
-                continue
-            lines = text.split("\n")
-            yield pd.DataFrame({"path": path, "kopf": lines[0], "anfang": [i == 0 for i in range(len(lines))],
-                                "value": lines, "fehler": None})
-
-
-def unpack_archives(archives: DataFrame) -> DataFrame:
-    """Archives (path, content) -> lines with their head and, in ``fehler``, what failed."""
-    return archives.select("path", "content").mapInPandas(_unzip, LINES)
-
-
-def _with_positions(lines: DataFrame, required: list[str]) -> DataFrame:
-    """Where the known fields stand in each line's file, and what is wrong with its head."""
-    head = F.trim(F.rtrim(F.col("kopf"), F.lit("\r")))
-    ok = F.forall("_namen", lambda n: n.rlike(FIELD_NAME)) & (
-        F.size(F.array_except(F.array(*[F.lit(n) for n in required]), F.col("_namen"))) == 0)
-    at = [F.array_position("_namen", f).cast("int").alias(f"_at_{f}")
-          for f in ["STATIONS_ID", "MESS_DATUM", *PRODUCT_FIELDS]]
-    named = lines.withColumn("_namen", F.transform(F.split(head, ";"), lambda n: F.trim(n)))
-    return named.select(*lines.columns, *at, F.when(
-        F.col("fehler").isNull() & ~F.coalesce(ok, F.lit(False)),
-        F.concat(F.lit("unexpected header: "), head)).alias("kopf_fehler"))
-
-
-def _field(name: str) -> Column:
-    return F.trim(F.when(F.col(f"_at_{name}") > 0, F.get("_f", F.col(f"_at_{name}") - 1)))
-
-
-def parse_lines(lines: DataFrame, quelle: int | Column = 0, station: Column | None = None) -> DataFrame:
-    """Lines with heads -> observations with ``path`` and, in ``fehler``, what is wrong with a row.
-
-    One projection over the lines: good and failed files are two filters on its result. Without
-    ``station`` every row must bring a readable STATIONS_ID.
+    Rows of one file leave its task together. A file without a single day gives no row.
     """
-    required = [*PRODUCT_REQUIRED, *(["STATIONS_ID"] if station is None else [])]
-    types = {f.name: f.dataType for f in OBSERVATION.fields}
-    columns, wrong = {}, []
-    for name, column in PRODUCT_FIELDS.items():
-        text = _field(name)
-        number = text.try_cast("double")
-        columns[column] = F.nullif(number, F.lit(float(MISSING))).cast(types[column])
-        wrong.append((text != "") & number.isNull())
-    date_text = _field("MESS_DATUM")
-    date = F.to_date(F.try_to_timestamp(date_text, F.lit(DATE_FORMAT)))
-    sid = station if station is not None else _field("STATIONS_ID").try_cast("int")
-    bad = F.coalesce(date.isNull(), F.lit(False)) | sid.isNull()
-    for w in wrong:
-        bad = bad | F.coalesce(w, F.lit(False))
     source = quelle if isinstance(quelle, Column) else F.lit(quelle)
-    headless = F.col("fehler").isNotNull() | F.col("kopf_fehler").isNotNull()
-    unreadable = F.when(bad, F.concat(F.lit("unreadable line: "), F.col("value")))
-    return (
-        _with_positions(lines, required)
-        # of a file without a usable head one line tells the error, of the others all but the head
-        .where(F.when(headless, F.col("anfang") | F.col("fehler").isNotNull()).otherwise(~F.col("anfang")))
-        .withColumn("_f", F.split(F.rtrim(F.col("value"), F.lit("\r")), ";"))
-        .where(headless | (date_text != ""))
-        .select("path", sid.alias("station"), date.alias("datum"), *[v.alias(k) for k, v in columns.items()],
-                source.alias("quelle"), F.coalesce("fehler", "kopf_fehler", unreadable).alias("fehler"))
-    )
-
-
-def failed_files(rows: DataFrame, error_length: int = ERROR_LENGTH) -> DataFrame:
-    """(path, fehler): the files with anything wrong, each with one of its errors."""
-    return rows.where(F.col("fehler").isNotNull()).groupBy("path").agg(
-        F.substring(F.min("fehler"), 1, error_length).alias("fehler"))
-
-
-def parse_products(lines: DataFrame, quelle: int | Column = 0, station: Column | None = None,
-                   error_length: int = ERROR_LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Lines of product files -> (observations with ``path``, failed files with ``fehler``)."""
-    rows = parse_lines(lines, quelle, station)
-    failed = failed_files(rows, error_length)
-    # the failed files are few; where they are not, this is an ordinary shuffled anti join
-    good = rows.join(failed.select("path"), "path", "left_anti").select(
-        *[f.name for f in OBSERVATION.fields], "path")
-    return good, failed
-
-
-def read_daily(spark: SparkSession, path: str, quelle: int | Column = 0
-               ) -> tuple[DataFrame, DataFrame]:
-    """Product text files -> (observations, failed files)."""
-    return parse_products(with_heads(text_lines(spark, path)), quelle)
+    sid = F.lit(None) if station is None else station
+    rows = files.select("path", "content", source.cast("int").alias("quelle"), sid.cast("int").alias("station"))
+    return rows.mapInArrow(_parser(archives, error_length), ROWS)
+
+
+def observations_of(rows: DataFrame) -> DataFrame:
+    """The observations of the files that could be read, with their path."""
+    return rows.where(F.col("fehler").isNull()).select(*[f.name for f in OBSERVATION.fields], "path")
+
+
+def failed_files(rows: DataFrame) -> DataFrame:
+    """(path, fehler) of the others."""
+    return rows.where(F.col("fehler").isNotNull()).select("path", "fehler")
+
+
+def load_report(rows: DataFrame) -> DataFrame:
+    """Per file: days, first and last one, and what went wrong; good and failed files from one pass."""
+    return rows.groupBy("path").agg(
+        F.count("datum").alias("tage"), F.min("datum").alias("von"), F.max("datum").alias("bis"), F.max("fehler").alias("fehler"))
+
+
+def file_contents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def archive_provenance(path: Column) -> Column:
@@ -154,11 +173,18 @@ def archive_provenance(path: Column) -> Column:
     return F.when(path.rlike(r"_akt\.zip$"), 1).otherwise(0)
 
 
-def parse_archives(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Zip archives (path, content) -> (observations, failed archives)."""
-    return parse_products(unpack_archives(archives), archive_provenance(F.col("path")))
+def parse_archives(archives: DataFrame) -> DataFrame:
+    """Zip archives (path, content) -> rows as of parse_files."""
+    return parse_files(archives, archive_provenance(F.col("path")), archives=True)
+
+
+def read_daily(spark: SparkSession, path: str, quelle: int | Column = 0) -> tuple[DataFrame, DataFrame]:
+    """Product text files -> (observations, failed files); every file is read once, into a table that both come from."""
+    rows = stored(parse_files(file_contents(spark, path), quelle), "products")
+    return observations_of(rows), failed_files(rows)
 
 
 def read_archives(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return parse_archives(files)
+    """Archives -> (observations, failed archives); every archive is unzipped once."""
+    rows = stored(parse_archives(file_contents(spark, glob)), "archives")
+    return observations_of(rows), failed_files(rows)

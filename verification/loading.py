@@ -56,13 +56,20 @@ _READ = f"""SELECT station, datum, qn, CASE WHEN year(datum) % 2 = 0 THEN qn3 EN
 {', '.join(r({'rsk': 'CASE WHEN day(datum) <> 13 THEN rsk END', 'nm': 'CASE WHEN year(datum) % 2 = 0 THEN nm END'}.get(m, m), m) for m in MEASURES)}
 FROM obs WHERE {_KEPT}"""
 
-def _headed(s, d):
-    return S.with_heads(_lines(s, d).select("path", F.lit(0).cast("bigint").alias("_b"), F.col("ord").alias("_i"), "value"))
+
+def _texts(s, d):
+    # a year of one station: at most 368 lines
+    return _lines(s, d).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("l")).select(
+        "path", F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("text"))
+
+
+def _files(s, d):
+    return S.parse_files(_texts(s, d).select("path", F.encode("text", "ISO-8859-1").alias("content")))
 
 
-Q["read_daily"] = lambda s, d: rounded(S.parse_products(_headed(s, d))[0].drop("path"))
+Q["read_daily"] = lambda s, d: rounded(S.observations_of(_files(s, d)).drop("path"))
 SQL["read_daily"] = over_obs(_READ)
-Q["failed_files"] = lambda s, d: S.parse_products(_headed(s, d))[1].select("path", F.substring("fehler", 1, 10).alias("fehler"))
+Q["failed_files"] = lambda s, d: S.failed_files(_files(s, d)).select("path", F.substring("fehler", 1, 10).alias("fehler"))
 SQL["failed_files"] = over_obs("""SELECT DISTINCT 'mem:/' || station || '/' || year(datum) || '.txt' AS path, CASE WHEN station IN (11, 31) THEN 'unexpected' ELSE 'unreadable' END AS fehler
 FROM obs WHERE (station = 31 AND year(datum) = 1997) OR (station = 32 AND year(datum) = 1996 AND day(datum) = 1)
  OR (station = 11 AND year(datum) = 1994) OR (station = 12 AND year(datum) = 1995 AND day(datum) = 1)""")
@@ -75,10 +82,6 @@ def _archives(s, d):
 
     import pandas as pd
 
-    # a year of one station: at most 368 lines
-    texts = _lines(s, d).groupBy("path").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("l")).select("path", F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("text"))
-
     def pack(batches):
         for b in batches:
             out = []
@@ -91,22 +94,29 @@ def _archives(s, d):
                 data = buffer.getvalue()
                 out.append(data[:20] if "12/1999" in path else data)
             yield pd.DataFrame({"path": [p.replace(".txt", "_akt.zip") for p in b["path"]], "content": out})
-    return texts.mapInPandas(pack, "path string, content binary")
+    return _texts(s, d).mapInPandas(pack, "path string, content binary")
 
 
-Q["read_archives"] = lambda s, d: rounded(S.parse_archives(_archives(s, d))[0].drop("path"))
+Q["read_archives"] = lambda s, d: rounded(S.observations_of(S.parse_archives(_archives(s, d))).drop("path"))
 SQL["read_archives"] = over_obs(_READ.replace(_KEPT, f"{_KEPT} AND NOT (station = 11 AND year(datum) = 1998) AND NOT (station = 12 AND year(datum) = 1999)").replace("0 AS quelle", "1 AS quelle"))
-Q["failed_archives"] = lambda s, d: S.parse_archives(_archives(s, d))[1].select("path", F.substring("fehler", 1, 7).alias("fehler"))
-SQL["failed_archives"] = over_obs("""SELECT DISTINCT 'mem:/' || station || '/' || year(datum) || '_akt.zip' AS path, CASE WHEN station = 11 AND year(datum) = 1998 THEN 'no file' WHEN station = 12 AND year(datum) = 1999 THEN 'archive'
+Q["failed_archives"] = lambda s, d: S.failed_files(S.parse_archives(_archives(s, d))).select("path", F.substring("fehler", 1, 7).alias("fehler"))
+_FAILED = """SELECT DISTINCT 'mem:/' || station || '/' || year(datum) || '_akt.zip' AS path, CASE WHEN station = 11 AND year(datum) = 1998 THEN 'no file' WHEN station = 12 AND year(datum) = 1999 THEN 'archive'
  WHEN station IN (11, 31) THEN 'unexpec' ELSE 'unreada' END AS fehler
 FROM obs WHERE (station = 11 AND year(datum) IN (1994, 1998)) OR (station = 12 AND (year(datum) = 1999 OR year(datum) = 1995 AND day(datum) = 1))
- OR (station = 31 AND year(datum) = 1997) OR (station = 32 AND year(datum) = 1996 AND day(datum) = 1)""")
+ OR (station = 31 AND year(datum) = 1997) OR (station = 32 AND year(datum) = 1996 AND day(datum) = 1)"""
+SQL["failed_archives"] = over_obs(_FAILED)
 
 
-Q["failed_stations"] = lambda s, d: failed_stations(S.parse_archives(_archives(s, d))[1], r"mem:/([0-9]+)/").select("station", F.substring("fehler", 1, 7).alias("fehler"))
+Q["failed_stations"] = lambda s, d: failed_stations(S.failed_files(S.parse_archives(_archives(s, d))), r"mem:/([0-9]+)/").select("station", F.substring("fehler", 1, 7).alias("fehler"))
 SQL["failed_stations"] = f"SELECT split_part(path, '/', 2)::INTEGER AS station, fehler FROM ({SQL['failed_archives']})"
 
 
+# good and failed archives from one pass
+Q["load_report"] = lambda s, d: S.load_report(S.parse_archives(_archives(s, d))).withColumn("fehler", F.substring("fehler", 1, 7))
+SQL["load_report"] = over_obs(f"""SELECT path, tage, von, bis, fehler FROM (SELECT 'mem:/' || station || '/' || year(datum) || '_akt.zip' AS path, count(*) AS n, min(datum) AS v, max(datum) AS b FROM obs GROUP BY station, year(datum)) a
+LEFT JOIN ({_FAILED}) f USING (path), LATERAL (SELECT CASE WHEN fehler IS NULL THEN n ELSE 0 END AS tage, CASE WHEN fehler IS NULL THEN v END AS von, CASE WHEN fehler IS NULL THEN b END AS bis)""")
+
+
 def _station_lines(s, d):
     k = F.col("s_suppkey")
     line = F.concat_ws(" ", F.lpad(k.cast("string"), 5, "0"), F.lit("19370101"), F.when(k % 9 == 0, "offen").otherwise("20060630"), F.lpad((k % 3000).cast("string"), 12, " "),
