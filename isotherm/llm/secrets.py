@@ -18,16 +18,19 @@ code points, end exclusive. Other columns of the input are not read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import table
+from isotherm.llm.common import table, written
 from isotherm.llm.words import map_rows
 
 KINDS = ("assign", "access", "hex", "format")
@@ -233,32 +236,57 @@ def digest_order(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
 
+class Lowest:
+    """The tokens with the lowest hashes, at most limit of them."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held, self.heap = limit, set(), []
+
+    def add(self, token: str) -> None:
+        h = xxhash.xxh3_64_intdigest(token) >> 1
+        if len(self.heap) < self.limit:
+            if token not in self.held:
+                self.held.add(token)
+                heapq.heappush(self.heap, (-h, token))
+        elif h < -self.heap[0][0] and token not in self.held:
+            self.held.add(token)
+            self.held.discard(heapq.heappushpop(self.heap, (-h, token))[1])
+
+
 def _examples(docs: DataFrame, text: str, per_kind: int, ordinary: int) -> dict[str, list[str]]:
-    """Bounded samples, lowest hash first: labelled credentials of each kind, and ordinary tokens."""
-    def make():
-        def run(columns):
-            had = set()
-            for (t,) in zip(*columns):
-                t = t or ""
-                found = base_spans(t)
-                got = {("assign", m.group(2)) for m in ASSIGN.finditer(t) if m.end(2) - m.start(2) >= LEAST}
-                got |= {(k, t[a:b]) for k, a, b in found if k != "assign"}
-                got.update((NUMBERS if not LETTER.search(m.group()) else "", m.group()) for m in free_tokens(t, found))
-                yield from sorted(got - had)
-                had |= got
-        return run
+    """Bounded samples, lowest hash first: labelled credentials of each kind, and ordinary tokens.
 
-    seen = map_rows(docs.select(F.col(f"`{text}`").cast("string")), make, "kind string, token string")
-    h = F.xxhash64("token")
-    ranked = seen.groupBy("kind", "token").agg(F.min(h).alias("h"))
-    # every task keeps its lowest hashes of a kind, then these meet
-    top = (ranked.withColumn("r", F.row_number().over(W.partitionBy("kind").orderBy("h", "token")))
-           .where(F.col("r") <= max(per_kind, ordinary))
-           .where((F.col("r") <= per_kind) | (F.col("kind").isin("", NUMBERS) & (F.col("r") <= ordinary))))
-    out = {k: [] for k in (*KINDS[:3], "", NUMBERS)}
-    for r in top.orderBy("kind", "r").collect():
-        out[r.kind].append(r.token)
-    return out
+    Every task keeps its lowest hashes of each kind while it reads all its texts; the lowest of all
+    are among them. What is sent on is bounded by the number of tasks.
+    """
+    limits = {k: per_kind for k in KINDS[:3]} | {"": ordinary, NUMBERS: ordinary}
+
+    def run(batches):
+        lowest = {k: Lowest(n) for k, n in limits.items()}
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if not t:
+                    continue
+                found = base_spans(t)
+                for k, a, b in found:
+                    if k != "assign":
+                        lowest[k].add(t[a:b])
+                    else:
+                        lowest[k].add(ASSIGN.match(t, a).group(2))
+                for w in {m.group() for m in free_tokens(t, found)}:
+                    lowest["" if LETTER.search(w) else NUMBERS].add(w)
+        rows = [(k, w, -h) for k, x in lowest.items() for h, w in x.heap]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["kind", "token", "h"])
+
+    seen = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "kind string, token string, h bigint")
+    each = written(seen, "tokens").groupBy("kind", "token").agg(F.min("h").alias("h"))
+    # a limit per kind: every task of the aggregate sends its lowest only
+    parts = [each.where(F.col("kind") == k).orderBy("h", "token").limit(n) for k, n in limits.items()]
+    out = {k: [] for k in limits}
+    for r in reduce(DataFrame.unionByName, parts).collect():
+        out[r.kind].append((r.h, r.token))
+    return {k: [t for _, t in sorted(x)] for k, x in out.items()}
 
 
 def learn(docs: DataFrame, text: str = "text", per_kind: int = MAX_LABELLED, ordinary: int = MAX_ORDINARY) -> Formats:
