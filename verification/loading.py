@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from isotherm.operators import ingest as I
 from isotherm.operators.national import national_snapshot
-from isotherm.plans import store
+from isotherm.plans import rollup, store
 from isotherm.plans.views import failed_stations
 from isotherm.schema import MEASURES, PRODUCT_FIELDS
 from isotherm.session import new_folder
 from isotherm.sources import daily as S, derived, listings as L
 from isotherm.streaming.recent import failed_arrivals, stream_recent
 from verification.analyses import _SNAP
-from verification.base import cleaned, obs, over_c, over_obs, r, rounded, rs
+from verification.base import OBS, clean_cte, cleaned, obs, over_c, over_obs, r, rounded, rs
 
 Q: dict = {}
 SQL: dict = {}
@@ -335,3 +335,32 @@ Q["stream_failed"] = lambda s, d: _streamed(s, d, True)
 SQL["stream_failed"] = over_obs(f"SELECT DISTINCT station, 'unexpected header' AS fehler FROM rec WHERE station % 10 = 2", _RECENT)
 Q["stream_recent"] = _streamed
 SQL["stream_recent"] = SQL["replace_recent"]
+
+
+# ---- versioned store with its monthly summary, after two refreshes -----------------------------------------
+def _rolled(s, d):
+    path = _folder(s, "rollup")
+    rollup.build_rollup_store(s, _hist(s, d).unionByName(_recent(s, d)), path, 4)
+    rollup.refresh_rollup_store(s, _second(s, d).where("month(datum) <> 7").withColumn("txk", F.col("txk") + 7), path, 4)
+    rollup.refresh_rollup_store(s, _second(s, d), path, 4)
+    return path
+
+
+def _over_new(select):
+    return "WITH " + ",\n".join([OBS, _RECENT, _MERGED, _SECOND, clean_cte().replace("FROM obs", "FROM neu")]) + "\n" + select
+
+
+Q["rollup_days"] = lambda s, d: rounded(rollup.read_days(s, _rolled(s, d)))
+SQL["rollup_days"] = SQL["replace_recent"]
+Q["store_rollup"] = lambda s, d: rounded(rollup.read_months(s, _rolled(s, d)))
+_SUMMED = ", ".join(f"count({m}) AS n_{m}, {r(f'sum({m})', f'sum_{m}')}, {r(f'min({m})', f'min_{m}')}, {r(f'max({m})', f'max_{m}')}" for m in MEASURES)
+_DATES = ", ".join(f"min(datum) FILTER ({m} = {x}) AS {name}" for name, (m, x) in rollup.DATED.items())
+_LIMITS = ", ".join(f"min({m}) OVER g AS min_{m}, max({m}) OVER g AS max_{m}" for m in ("tmk", "txk", "tnk"))
+SQL["store_rollup"] = _over_new(f"""SELECT * FROM (SELECT station, date_trunc('month', datum)::DATE AS monat, count(*) AS tage, {_SUMMED} FROM c GROUP BY ALL)
+JOIN (SELECT station, monat, {_DATES} FROM (SELECT station, datum, date_trunc('month', datum)::DATE AS monat, tmk, txk, tnk, {_LIMITS} FROM c
+WINDOW g AS (PARTITION BY station, date_trunc('month', datum))) GROUP BY ALL) USING (station, monat)""")
+Q["rollup_yearly_mean"] = lambda s, d: rounded(rollup.yearly_means(rollup.read_months(s, _rolled(s, d))))
+SQL["rollup_yearly_mean"] = _over_new(f"SELECT station, year(datum) AS jahr, {r('avg(tmk)', 'm')}, count(tmk) AS tage FROM c GROUP BY ALL HAVING count(tmk) >= 330")
+Q["rollup_extremes"] = lambda s, d: rounded(rollup.extremes(rollup.read_months(s, _rolled(s, d))))
+SQL["rollup_extremes"] = _over_new(f"""SELECT station, {r('heiss', 'heiss')}, min(datum) FILTER (txk = heiss) AS heiss_datum, {r('kalt', 'kalt')}, min(datum) FILTER (tnk = kalt) AS kalt_datum
+FROM (SELECT station, datum, txk, tnk, max(txk) OVER (PARTITION BY station) AS heiss, min(tnk) OVER (PARTITION BY station) AS kalt FROM c) GROUP BY station, heiss, kalt""")
