@@ -123,11 +123,15 @@ def new_records(c: DataFrame, days: int = 365) -> DataFrame:
     columns = list(dict.fromkeys(cat[1] for cat in CATEGORIES))
     firsts = c.groupBy("station").agg(
         *[F.min(F.when(F.col(x).isNotNull(), F.col("datum"))).alias(x) for x in columns])
-    firsts = firsts.select("station", F.array(*[F.col(cat[1]) for cat in CATEGORIES]).alias("_f"))
+    firsts = firsts.select("station", F.posexplode(F.array(*[F.col(cat[1]) for cat in CATEGORIES])).alias("kat", "_erster"))
+    return _placed(values.where(F.col("datum") >= since), best, firsts)
+
+
+def _placed(window: DataFrame, best: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Places of the window's values (station, datum, kat, key) behind the ten best before it (_alt) and behind one another."""
     none = F.array().cast("array<struct<key:double,datum:date>>")
     passing = (
-        values.where(F.col("datum") >= since)
-        .join(best, ["station", "kat"], "left")
+        window.join(best, ["station", "kat"], "left")
         .withColumn("_alt", F.coalesce("_alt", none))
         .withColumn("_davor", F.size(F.filter("_alt", lambda a: a["key"] <= F.col("key"))))
         .where(F.col("_davor") < RECORD_DEPTH)
@@ -149,8 +153,7 @@ def new_records(c: DataFrame, days: int = 365) -> DataFrame:
     years = (F.datediff("datum", "_erster") + 1) / 365.25
     return with_category(
         passing.select("station", "kat", F.inline(F.transform("_neu", placed)))
-        .join(firsts, "station")
-        .withColumn("_erster", F.element_at("_f", F.col("kat") + 1))
+        .join(firsts, ["station", "kat"])
         .withColumn("jahre", years).withColumn("von", _permitted(F.col("jahre")))
         .where(F.col("platz") <= F.col("von"))
     ).select(
@@ -160,6 +163,71 @@ def new_records(c: DataFrame, days: int = 365) -> DataFrame:
         F.col("_bisher.datum").alias("bisher_datum"))
 
 
+# ---- the ten best as a state that takes up new days -----------------------------
+def _arrays(values: DataFrame) -> DataFrame:
+    """(station, kat, beste, erster): at most ten (key, datum), best first, and the first day with a value."""
+    firsts = values.groupBy("station", "kat").agg(F.min("datum").alias("erster"))
+    best = best_days(values, RECORD_DEPTH).groupBy("station", "kat").agg(
+        F.sort_array(F.collect_list(F.struct("key", "datum"))).alias("beste"))
+    return best.join(firsts, ["station", "kat"])
+
+
+def best_state(c: DataFrame, until: dt.date) -> DataFrame:
+    """Per station and category the ten best days up to ``until`` and the first day: station, kat, beste, erster, bis.
+
+    The days are read once for the bounds, once for what passes them and once for the first days.
+    """
+    old = c.where(F.col("datum") <= F.lit(until))
+    best = best_days(promising(old, bounds(old, RECORD_DEPTH)), RECORD_DEPTH).groupBy("station", "kat").agg(
+        F.sort_array(F.collect_list(F.struct("key", "datum"))).alias("beste"))
+    columns = list(dict.fromkeys(cat[1] for cat in CATEGORIES))
+    firsts = old.groupBy("station").agg(*[F.min(F.when(F.col(x).isNotNull(), F.col("datum"))).alias(x) for x in columns])
+    firsts = firsts.select("station", F.posexplode(F.array(*[F.col(cat[1]) for cat in CATEGORIES])).alias("kat", "erster"))
+    return best.join(firsts, ["station", "kat"]).withColumn("bis", F.lit(until))
+
+
+def advance_state(state: DataFrame, c: DataFrame, until: dt.date) -> DataFrame:
+    """The state up to ``until``: days after the state's own end come in. A day later than the state's end counts after those it holds.
+
+    A state is merged, never recomputed; what it reads of the days is what lies behind its end.
+    """
+    since = state.agg(F.min("bis")).first()[0]
+    if since is None:
+        return best_state(c, until)
+    new = _arrays(by_category(c.where((F.col("datum") > F.lit(since)) & (F.col("datum") <= F.lit(until)))))
+    none = F.array().cast("array<struct<key:double,datum:date>>")
+    old = state.select("station", "kat", F.col("beste").alias("_b"), F.col("erster").alias("_e"))
+    return old.join(new, ["station", "kat"], "full").select(
+        "station", "kat",
+        F.slice(F.sort_array(F.concat(F.coalesce("_b", none), F.coalesce("beste", none))), 1, RECORD_DEPTH).alias("beste"),
+        F.least("_e", "erster").alias("erster"), F.lit(until).alias("bis"))
+
+
+def new_records_from_state(state: DataFrame, c: DataFrame, days: int = 365) -> DataFrame:
+    """new_records (D4) from a state that ends before the window: only days behind its end are read.
+
+    The newest day is looked up first; it and the window's first day are plain dates in the
+    plan, so that they reach the scan. Raw days of the history are neither read nor shuffled.
+    """
+    bis = state.agg(F.min("bis")).first()[0]
+    recent = c if bis is None else c.where(F.col("datum") > F.lit(bis))
+    stand = recent.agg(F.max("datum")).first()[0]
+    if stand is None:
+        stand = bis or dt.date(1900, 1, 1) + dt.timedelta(days=days)
+    since = stand - dt.timedelta(days=days - 1)
+    if bis is not None and bis >= since:
+        raise ValueError(f"the state ends on {bis}, after the window begins on {since}")
+    before = advance_state(state, c, since - dt.timedelta(days=1)).withColumn("_n", F.size("beste"))
+    values = by_category(recent.where(F.col("datum") >= F.lit(since)))
+    best = before.select("station", "kat", F.col("beste").alias("_alt"), F.when(
+        F.col("_n") >= RECORD_DEPTH, F.element_at("beste", -1)["key"]).alias("_letzter"))
+    # no better than the tenth: ten days before it are as good
+    near = values.join(best, ["station", "kat"], "left").where(F.col("_letzter").isNull() | (F.col("key") < F.col("_letzter")))
+    firsts = before.select("station", "kat", "erster").unionByName(
+        values.groupBy("station", "kat").agg(F.min("datum").alias("erster"))).groupBy("station", "kat").agg(F.min("erster").alias("_erster"))
+    return _placed(near.select("station", "datum", "kat", "key"), best.select("station", "kat", "_alt"), firsts)
+
+
 def calendar_day_records(c: DataFrame, days: int = 14, min_years: int = 20) -> DataFrame:
     """Days strictly better than every earlier value of the same month and day.
 

@@ -332,6 +332,21 @@ SQL["records_job"] = over_c(f"""SELECT station, datum, kategorie, {r('wert', 'we
 FROM neu JOIN st ON st.id = station UNION ALL
 SELECT station, datum, kategorie, {r('key * vz * faktor', 'wert')}, NULL, name, land, hoehe, 'kalendertag'
 FROM kt JOIN st ON st.id = station""", STATIONS, *_new(365), _calendar(60, 3)[3])
+# the same from a state of the ten best that ends years before the window
+Q["new_records_state"] = lambda s, d: rounded(D.new_records_from_state(D.best_state(cleaned(s, d), dt.date(1995, 12, 31)), cleaned(s, d), 1400))
+SQL["new_records_state"] = SQL["new_records_long_window"]
+
+
+def _advanced(s, d):
+    c = cleaned(s, d)
+    state = D.advance_state(D.advance_state(D.best_state(c, dt.date(1993, 5, 31)), c, dt.date(1996, 6, 30)), c, dt.date(1999, 12, 31))
+    return rounded(state.select("station", "kat", "erster", F.posexplode("beste").alias("stelle", "b")).select("station", "kat", "erster", "stelle", "b.key", "b.datum"))
+
+
+Q["best_state"] = _advanced
+SQL["best_state"] = over_c(f"""SELECT station, nr AS kat, erster, stelle, {r('key', 'key')}, datum FROM (SELECT lang.*, kat.nr, min(datum) OVER g AS erster,
+row_number() OVER (PARTITION BY station, kat.nr ORDER BY key, datum) - 1 AS stelle FROM lang JOIN kat USING (kategorie)
+WHERE datum <= DATE '1999-12-31' WINDOW g AS (PARTITION BY station, kat.nr)) WHERE stelle < 10""", _CAT, _LONG)
 Q["records_by_day"] = lambda s, d: rounded(D.records_by_day(D.new_records(cleaned(s, d), 1400)).withColumn(
     "reihe", F.array_position(F.array(*[F.lit(k) for k in CATEGORY_ORDER]), F.col("kategorie"))))
 SQL["records_by_day"] = over_c(f"""SELECT {_NEWCOLS},
