@@ -37,6 +37,30 @@ def count_matching(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many more underscores in front as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def in_row(df: DataFrame) -> Column:
+    """All columns of df as one struct named row, out of the way of helper columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def row_fields(df: DataFrame, but: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of df out of the struct row; those in but as given there."""
+    but = but or {}
+    return [(but[c] if c in but else F.col("row").getField(c)).alias(c) for c in df.columns]
+
+
+def text_hash(text: str) -> Column:
+    """64 bits of a text: with the id it names a row, so rows that share an id are told apart."""
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
+
+
 def small_or_shuffled(df: DataFrame, limit: int) -> DataFrame:
     """A side of a join: sent to every task where it has at most limit rows, else left to a shuffle.
 

@@ -28,9 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import let, table
+from isotherm.llm.common import free_name, in_row, let, row_fields, table
 
-KEY = "change-me"               # production passes its own secret
+QUERY_KEY = "key of the registered query"       # for op7 alone: callers of pseudonymise pass their own secret
+BLOCK = 64                      # characters that one SHA-512 of key stream moves
 ROUNDS = 8
 DAY_ZERO = "1900-01-01"
 DAYS = (270, 271)               # 270 * 271 days from day zero: to 2 May 2100
@@ -127,11 +128,17 @@ def _iban(value: Column, key: Column) -> Column:
 
 
 def _shift(text: Column, other: Column, key: Column, kind: str, rnd: int) -> Column:
-    """Letters and digits of text moved within their alphabet by a key stream that other determines."""
-    stream = F.concat(*[F.sha2(F.concat_ws("|", key, F.lit(kind), F.lit(f"{rnd}.{k}"), other), 512) for k in range(2)])
+    """Letters and digits of text moved within their alphabet by a key stream that other determines.
+
+    The stream has a block for every BLOCK characters, so it never ends before the text does.
+    """
+    blocks = F.greatest(F.ceil(F.length(text) / BLOCK).cast("int"), F.lit(1))
+    stream = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.sha2(
+        F.concat_ws("|", key, F.lit(kind), F.concat(F.lit(f"{rnd}."), k.cast("string")), other), 512))
 
     def move(c: Column, i: Column, ks: Column) -> Column:
-        by = F.conv(F.substring(ks, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        block = F.get(ks, F.floor(i / BLOCK).cast("int"))
+        by = F.conv(F.substring(block, i % BLOCK * 2 + 1, F.lit(2)), 16, 10).cast("int")
         code = F.ascii(c)
 
         def within(low: int, size: int) -> Column:
@@ -144,7 +151,7 @@ def _shift(text: Column, other: Column, key: Column, kind: str, rnd: int) -> Col
 
 
 def permuted_text(text: Column, key: Column, kind: str) -> Column:
-    """Keyed permutation of the strings (up to 254 characters) with the same pattern of letters and digits."""
+    """Keyed permutation of the strings (of any length) with the same pattern of letters and digits."""
     half = lambda t: F.ceil(F.length(t) / 2).cast("int")
     pair = let(text, lambda t: F.struct(F.substring(t, F.lit(1), half(t)).alias("l"), F.substring(t, half(t) + 1, F.length(t)).alias("r")))
     for i in range(ROUNDS):
@@ -245,13 +252,12 @@ def pseudonymised(text: Column, key: Column) -> Column:
     return F.when(text.rlike(r"@|\d"), full).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """All columns of docs with the text replaced, and struct _pii (n)."""
-    made = docs.withColumn("_pii", pseudonymised(F.col(f"`{text}`"), F.lit(key)))
-    return made.select(*[F.col("_pii.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-                       F.struct(F.col("_pii.n").alias("n")).alias("_pii"))
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """All columns of docs with the text replaced, and struct _pii (n); a column of docs of that name stays, the struct is then __pii."""
+    made = docs.select(in_row(docs), pseudonymised(F.col(f"`{text}`"), F.lit(key)).alias("made"))
+    return made.select(*row_fields(docs, {text: F.col("made.text")}), F.struct(F.col("made.n").alias("n")).alias(free_name(docs, "_pii")))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs).select("doc_id", "text", F.col("_pii.n").alias("n_replaced"))
+    return pseudonymise(docs, QUERY_KEY).select("doc_id", "text", F.col("_pii.n").alias("n_replaced"))
