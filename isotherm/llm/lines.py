@@ -14,14 +14,16 @@ key is found by an aggregate, and no pairs are formed. Two steps before that los
 The partner found is verified by its edit distance.
 
 Rule: lines are compared in lower case with runs of (Unicode) white space as one space. Every line
-that is not blank goes if an earlier one is equal; within one edit only lines of NEAR_CHARS characters
-or more are compared, as one edit turns one list mark into another. "Earlier" is by document id, then
+that is not blank goes if an earlier one is equal; within one edit only lines of near_chars characters
+or more are compared (by default NEAR_CHARS, as one edit turns one list mark into another; 0 compares all). "Earlier" is by document id, then
 line number. A line goes if any earlier line lies within the bound, whether that one stays or not.
 A caller may have lines of few words left alone (min_words); op5 and the pipeline do not.
 
 Defined results: NULL text stays NULL and has no lines; documents whose id is NULL stay as they
-are, as their order is unknown. Rows that share an id are one document: of equal lines at the
-same place all stay. A text of which every line went is empty. Other columns stay as they are.
+are, as their order is unknown. Repeated rows (same id and text) are one document: of equal lines at the
+same place all stay. Rows that share an id and differ in text are documents of their own; among them the
+smaller line number is earlier, then the smaller hash of the text. A text of which every line went is
+empty. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import table, written
+from isotherm.llm.common import free_name, in_row, row_fields, table, text_hash, written
 from isotherm.llm.words import map_rows
 
 MIN_WORDS = 5                   # default of min_words
-NEAR_CHARS = 9                  # the shortest line of MIN_WORDS words; shorter ones are compared for equality only
+NEAR_CHARS = 9                  # default of near_chars: shorter lines are compared for equality only; 0 compares all within one edit
 BATCH = 100_000                 # variants of an output batch
 
 
@@ -61,10 +63,11 @@ def _thirds(line: str, nominal: int) -> list[int]:
     return [_signed(xxhash.xxh3_64_intdigest(p, seed=(nominal << 2) + i)) for i, p in enumerate(parts)]
 
 
-def hashed_lines(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, no, h1, h2, keys) of the lines long enough to be compared.
+def hashed_lines(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """(doc, th, no, h1, h2, keys) of the lines long enough to be compared.
 
-    128 bits stand for a line; keys are what a near line shares, NULL below NEAR_CHARS. A line and one that is a
+    doc and th, the hash of the text, name a row. 128 bits stand for a line; keys are what a near line
+    shares, NULL below near_chars. A line and one that is a
     character longer are cut at the same places if the longer one also counts as a line of one
     character less. A line that an Arrow batch has had already brings no keys again, so a line of
     very many documents is no hot key.
@@ -72,27 +75,33 @@ def hashed_lines(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_W
     def make():
         def run(columns):
             had = set()
-            for doc, t in zip(*columns):
+            for doc, th, t in zip(*columns):
                 for no, raw in enumerate(t.split("\n") if t else ()):
                     line = normal(raw)
                     if long_enough(line, min_words):
                         h = xxhash.xxh3_128_intdigest(line)
                         n = len(line)
-                        keys = None if n < NEAR_CHARS or h in had else _thirds(line, n) + _thirds(line, n - 1)
+                        keys = None if n < near_chars or h in had else _thirds(line, n) + _thirds(line, n - 1)
                         had.add(h)
-                        yield doc, no, _signed(h >> 64), _signed(h & (1 << 64) - 1), keys
+                        yield doc, th, no, _signed(h >> 64), _signed(h & (1 << 64) - 1), keys
         return run
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string"))
-    return map_rows(rows, make, f"doc {kind}, no int, h1 bigint, h2 bigint, keys array<bigint>")
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").alias("doc"), text_hash(text).alias("th"), F.col(f"`{text}`").cast("string").alias("text"))
+    return map_rows(rows, make, f"doc {kind}, th bigint, no int, h1 bigint, h2 bigint, keys array<bigint>")
 
 
 def first_places(lines: DataFrame) -> DataFrame:
-    """(h1, h2, doc, no, n): first place and number of occurrences of every text."""
-    per_doc = lines.groupBy("h1", "h2", "doc").agg(F.min("no").alias("no"), F.count("*").alias("n"))
-    # doc is unique within a text here, so the number belongs to the smallest document
-    return per_doc.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min_by("no", "doc").alias("no"), F.sum("n").alias("n"))
+    """(h1, h2, doc, th, no, n): first place and number of occurrences of every text."""
+    # order within an id as one number: line number, then the upper half of the text's hash
+    rank = F.shiftleft(F.col("no").cast("long"), 32) + F.shiftright("th", 32) + (1 << 31)
+    per_doc = lines.withColumn("at", rank).groupBy("h1", "h2", "doc").agg(
+        F.min("at").alias("at"), F.min_by("th", "at").alias("th"), F.count("*").alias("n"))
+    # doc is unique within a text here, so the place belongs to the smallest document
+    return per_doc.groupBy("h1", "h2").agg(
+        F.min("doc").alias("doc"), F.min_by("th", "doc").alias("th"),
+        F.shiftright(F.min_by("at", "doc"), 32).cast("int").alias("no"), F.sum("n").alias("n"))
 
 
 def suspects(lines: DataFrame) -> DataFrame:
@@ -104,25 +113,24 @@ def suspects(lines: DataFrame) -> DataFrame:
 
 
 def suspect_lines(docs: DataFrame, places: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(place, doc, no, line) of the given (doc, no): place numbers them in order, earliest first."""
-    wanted = places.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("no").alias("_nos"))
+    """(place, doc, th, no, line) of the given (doc, th, no): place numbers them in order, earliest first."""
+    wanted = places.groupBy("doc", "th").agg(F.collect_set("no").alias("nos"))
 
     def make():
         def run(columns):
-            for doc, t, nos in zip(*columns):
+            for doc, th, t, nos in zip(*columns):
                 split = (t or "").split("\n")
                 for no in nos:
-                    # rows that share an id may hold other texts
-                    if no < len(split):
-                        yield doc, no, normal(split[no])
+                    yield doc, th, no, normal(split[no])
         return run
 
     kind = docs.schema[id_col].dataType.simpleString()
     # the ids grow with the corpus: a merge join at every size
-    rows = docs.join(wanted.hint("merge"), docs[id_col] == F.col("_doc")).select(F.col("_doc"), F.col(f"`{text}`").cast("string"), "_nos")
-    lines = map_rows(rows, make, f"doc {kind}, no int, line string").dropDuplicates(["doc", "no"])
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc"), text_hash(text).alias("th"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = texts.join(wanted.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "nos")
+    lines = map_rows(rows, make, f"doc {kind}, th bigint, no int, line string").dropDuplicates(["doc", "th", "no"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = lines.repartitionByRange(parts, "doc", "no").sortWithinPartitions("doc", "no")
+    ordered = lines.repartitionByRange(parts, "doc", "no", "th").sortWithinPartitions("doc", "no", "th")
     # ids grow within a partition and from partition to partition
     return written(ordered.withColumn("place", F.monotonically_increasing_id()), "line-texts")
 
@@ -191,7 +199,7 @@ def within_one(a: str, b: str) -> bool:
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
-    """(doc, no) of lines of (place, doc, no, line), all different texts, that lie within one edit of an earlier one.
+    """(doc, th, no) of lines of (place, doc, th, no, line), all different texts, that lie within one edit of an earlier one.
 
     Keys of places only meet keys of the same place: their lines are all within one edit. A line
     and the lines it is a variant of meet at the line's own key.
@@ -204,41 +212,50 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     found = met.where(F.col("to") < F.col("place")).groupBy("place").agg(F.min("to").alias("to"))
     # verify: a hash may lie, the edit distance does not
     other = lines.select(F.col("place").alias("to"), F.col("line").alias("other"))
-    pairs = found.join(lines, "place").join(other, "to").select("doc", "no", "line", "other")
+    pairs = found.join(lines, "place").join(other, "to").select("doc", "th", "no", "line", "other")
 
     def make():
         def run(columns):
-            for doc, no, a, b in zip(*columns):
+            for doc, th, no, a, b in zip(*columns):
                 if within_one(a, b):
-                    yield doc, no
+                    yield doc, th, no
         return run
 
-    return map_rows(pairs, make, f"doc {lines.schema['doc'].dataType.simpleString()}, no int")
+    return map_rows(pairs, make, f"doc {lines.schema['doc'].dataType.simpleString()}, th bigint, no int")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, gone): per document that loses lines their numbers, from 0."""
-    lines = written(hashed_lines(docs, id_col, text, min_words), "lines")
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
+                  near_chars: int = NEAR_CHARS) -> DataFrame:
+    """(doc, th, gone): per row (id and hash of the text) that loses lines their numbers, from 0."""
+    lines = written(hashed_lines(docs, id_col, text, min_words, near_chars), "lines")
     first = written(first_places(lines), "line-first")
-    near = first.join(suspects(lines), "h1", "left_semi").select("doc", "no")
+    near = first.join(suspects(lines), "h1", "left_semi").select("doc", "th", "no")
     late = near_earlier(suspect_lines(docs, near, id_col, text)).withColumn("late", F.lit(True))
-    judged = first.join(late, ["doc", "no"], "left").where((F.col("n") > 1) | F.col("late")).select(
-        "h1", "h2", F.col("doc").alias("d1"), F.col("no").alias("n1"), F.coalesce("late", F.lit(False)).alias("late"))
-    gone = lines.select("doc", "no", "h1", "h2").join(judged, ["h1", "h2"]).where(
-        F.col("late") | (F.col("doc") != F.col("d1")) | (F.col("no") != F.col("n1")))
-    return gone.groupBy("doc").agg(F.collect_set("no").alias("gone"))
+    judged = first.join(late, ["doc", "th", "no"], "left").where((F.col("n") > 1) | F.col("late")).select(
+        "h1", "h2", F.col("doc").alias("d1"), F.col("th").alias("t1"), F.col("no").alias("n1"), F.coalesce("late", F.lit(False)).alias("late"))
+    gone = lines.select("doc", "th", "no", "h1", "h2").join(judged, ["h1", "h2"]).where(
+        F.col("late") | (F.col("doc") != F.col("d1")) | (F.col("th") != F.col("t1")) | (F.col("no") != F.col("n1")))
+    return gone.groupBy("doc", "th").agg(F.collect_set("no").alias("gone"))
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of docs with the text that stays, and struct _lines (n_lines, n_removed)."""
-    gone = written(removed_lines(docs, id_col, text, min_words).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), "line-gone")
-    joined = docs.join(gone.hint("merge"), docs[id_col] == F.col("_doc"), "left")
-    split, body = F.split(F.col(f"`{text}`"), "\n", -1), F.col(f"`{text}`")
-    stays = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return joined.select(*[F.when(F.col("_gone").isNull(), body).otherwise(stays).alias(c) if c == text else F.col(f"`{c}`")
-                           for c in docs.columns],
-                         F.struct(F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-                                  F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")).alias("_lines"))
+def _judged(docs: DataFrame, id_col: str, text: str, min_words: int, near_chars: int) -> DataFrame:
+    """(row, left, n_lines, n_removed): the columns of docs as a struct and the text that stays."""
+    gone = written(removed_lines(docs, id_col, text, min_words, near_chars), "line-gone")
+    keyed = docs.select(in_row(docs), F.col(f"`{id_col}`").alias("doc"), text_hash(text).alias("th"))
+    joined = keyed.join(gone.hint("merge"), ["doc", "th"], "left")
+    body = F.col("row").getField(text)
+    split = F.split(body, "\n", -1)
+    stays = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    return joined.select("row", F.when(F.col("gone").isNull(), body).otherwise(stays).alias("left"),
+                         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+                         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
+               near_chars: int = NEAR_CHARS) -> DataFrame:
+    """All columns of docs with the text that stays, and struct _lines (n_lines, n_removed); where docs has _lines, it is __lines."""
+    made = _judged(docs, id_col, text, min_words, near_chars)
+    return made.select(*row_fields(docs, {text: F.col("left")}), F.struct("n_lines", "n_removed").alias(free_name(docs, "_lines")))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,12 +265,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_words: int = MIN_WORDS) -> DataFrame:
     """Texts without repeated lines; a document that consisted of repeated lines only goes."""
-    made = drop_lines(docs, min_words=min_words)
-    left = made.where((F.col("_lines.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    made = _judged(docs, "doc_id", "text", min_words, NEAR_CHARS)
+    kept = made.where((F.col("n_removed") == 0) | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("_lines.n_removed") == 0, F.col("n_chars"))
-                               .otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(
+            F.length("left")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*row_fields(docs, new))
 
 
 def stage_all_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
