@@ -18,8 +18,9 @@ dropped wrongly with about TOLERANCE per step.
 Result: doc_id, class_id (smallest id of the class), n_links (documents with similarity of 0.8 or
 more, copies included). Words are those of the other word-window operators. Defined results: a
 text of fewer than five words is one shingle; texts without words (NULL, empty) have no shingle,
-no links and a class each. A NULL id has a NULL class and no links. Rows that share an id count
-as one document when their text is the same.
+no links and a class each. A NULL id has a NULL class and no links. Rows that share an id and a
+text count as one document; rows that share an id and differ in text are compared as documents of
+their own, each with its own class and links. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from isotherm.llm.common import small_or_shuffled, table, written
+from isotherm.llm.common import in_row, row_fields, table, text_hash, written
 from isotherm.llm.components import components
 from isotherm.llm.words import map_rows, words
 
@@ -41,7 +41,6 @@ SIGNATURE = ROWS * BANDS
 STEP = 32                       # MinHash values compared at a time
 TOLERANCE = 1e-5
 BLOCK = 256                     # texts of a group that one task compares with as many others
-SMALL = 500_000
 
 _ODD = np.random.default_rng(20240).integers(1, 2**63, SIGNATURE // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -89,42 +88,55 @@ def least_matches(steps: int = SIGNATURE // STEP) -> list[int]:
 
 
 def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, hi, lo, bands): 128 bits for the set of shingles, one key per band. Texts with words only."""
+    """(doc, th, hi, lo, bands): 128 bits for the set of shingles, one key per band. Texts with words only.
+
+    doc and th, the hash of the text, name a row.
+    """
     def make():
         def run(columns):
-            for key, t in zip(*columns):
+            for key, th, t in zip(*columns):
                 s = shingles(t)
                 if not len(s):
                     continue
                 raw, sig = s.tobytes(), signature(s).reshape(BANDS, ROWS)
                 bands = [xxhash.xxh3_64_intdigest(sig[b].tobytes(), seed=b) - 2**63 for b in range(BANDS)]
-                yield key, xxhash.xxh3_64_intdigest(raw) - 2**63, xxhash.xxh3_64_intdigest(raw, seed=1) - 2**63, bands
+                yield key, th, xxhash.xxh3_64_intdigest(raw) - 2**63, xxhash.xxh3_64_intdigest(raw, seed=1) - 2**63, bands
         return run
 
-    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`"), F.col(f"`{text}`"))
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").alias("doc"), text_hash(text).alias("th"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(rows, make, f"doc {kind}, hi bigint, lo bigint, bands array<bigint>")
+    return map_rows(rows, make, f"doc {kind}, th bigint, hi bigint, lo bigint, bands array<bigint>")
+
+
+def distinct_sets(sketch: DataFrame) -> DataFrame:
+    """(hi, lo, doc, th, node, copies): one row per set: its first row, the number of that row, its number of documents.
+
+    First is the smallest id, then the smallest hash of the text.
+    """
+    per_doc = sketch.groupBy("hi", "lo", "doc").agg(F.min("th").alias("th"), F.min_by("node", "th").alias("node"))
+    # doc is unique within a set here, so hash and number belong to the smallest document
+    return per_doc.groupBy("hi", "lo").agg(F.min("doc").alias("doc"), F.min_by("th", "doc").alias("th"),
+                                           F.min_by("node", "doc").alias("node"), F.count("*").alias("copies"))
 
 
 def candidate_groups(sketch: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root): texts (by their smallest document) that share buckets, tied into groups."""
-    keys = sketch.select("doc", "hi", F.explode("bands").alias("band"))
-    # the smallest document of a bucket is the smallest of its set: its copies fall into the same buckets
-    buckets = keys.groupBy("band").agg(F.min("doc").alias("hub"), F.min("hi").alias("a"), F.max("hi").alias("b")).where("a <> b")
-    buckets = small_or_shuffled(written(buckets.select("band", "hub"), "buckets"), SMALL)
-    ties = keys.join(buckets, "band").select(F.col("doc").alias("d"), "hub").distinct()
+    """(node, root): sets (by the number of their first row) that share buckets, tied into groups."""
     # copies are represented by the first of their set
-    firsts = sets.select(F.col("doc").alias("d"))
-    return components(ties.join(firsts, "d", "left_semi").select(F.col("d").alias("a"), F.col("hub").alias("b")))
+    firsts = sketch.join(sets.select("node").hint("merge"), "node", "left_semi")
+    keys = firsts.select("node", F.explode("bands").alias("band"))
+    buckets = keys.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("b")).where("hub <> b")
+    buckets = written(buckets.select("band", "hub"), "buckets")
+    ties = keys.join(buckets.hint("merge"), "band").where("node <> hub").select("node", "hub").distinct()
+    return components(ties.select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
 
 def compare_blocks(rows: DataFrame) -> DataFrame:
-    """rows (root, i, j, side, doc, copies, text), sorted by group and pair of blocks.
+    """rows (root, i, j, side, node, copies, text), sorted by group and pair of blocks.
 
-    Returns (doc, n, tie): links of a text within the pair of blocks, copies counted, and the
+    Returns (node, n, tie): links of a text within the pair of blocks, copies counted, and the
     smallest text of the tree that it belongs to there.
     """
-    kind, arrow = rows.schema["doc"].dataType.simpleString(), to_arrow_type(rows.schema["doc"].dataType)
     minimum = least_matches()
 
     def run(batches):
@@ -142,18 +154,16 @@ def compare_blocks(rows: DataFrame) -> DataFrame:
     def _out(found):
         out = list(found)
         if out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], arrow), pa.array([x[1] for x in out], pa.int64()),
-                 pa.array([x[2] for x in out], arrow)], names=["doc", "n", "tie"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["node", "n", "tie"])
 
-    return rows.select("root", "i", "j", "side", "doc", "copies", "text").mapInArrow(run, f"doc {kind}, n bigint, tie {kind}")
+    return rows.select("root", "i", "j", "side", "node", "copies", "text").mapInArrow(run, "node bigint, n bigint, tie bigint")
 
 
 def _links(held: list[tuple], key: tuple, minimum: list[int]):
-    """Links of one pair of blocks; held: (side, doc, copies, text)."""
-    # repeated rows of a document count once
+    """Links of one pair of blocks; held: (side, node, copies, text)."""
+    # repeated rows of a text count once
     held = list({(r[0], r[1]): r for r in sorted(held, key=lambda r: (r[0], r[1]))}.values())
-    docs, copies, side = [r[1] for r in held], np.array([r[2] for r in held]), np.array([r[0] for r in held])
+    nodes, copies, side = [r[1] for r in held], np.array([r[2] for r in held]), np.array([r[0] for r in held])
     sets = [shingles(r[3]) for r in held]
     sigs = np.stack([signature(s) for s in sets])
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -197,9 +207,9 @@ def _links(held: list[tuple], key: tuple, minimum: list[int]):
                 x, y = find(a), find(b)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-    for i, d in enumerate(docs):
+    for i, d in enumerate(nodes):
         if links[i]:
-            yield d, int(links[i]), docs[find(i)]
+            yield d, int(links[i]), nodes[find(i)]
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -212,42 +222,47 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, class_id, n_links) for every document that has words and an id."""
-    sketch = written(sketches(docs, id_col, text), "sketches")
-    # one row per set: its smallest document and its number of documents
-    sets = written(sketch.select("doc", "hi", "lo").distinct().groupBy("hi", "lo").agg(
-        F.min("doc").alias("doc"), F.count("*").alias("copies")), "sets")
+    """(doc, th, class_id, first_th, n_links) for every text that has words and an id; th is the hash of the text.
+
+    class_id and first_th name the first row of the class: the smallest id, then the smallest hash.
+    """
+    # rows get their numbers in a written table, so they stay; no result depends on them
+    sketch = written(sketches(docs, id_col, text).withColumn("node", F.monotonically_increasing_id()), "sketches")
+    sets = written(distinct_sets(sketch), "sets")
     groups = written(candidate_groups(sketch, sets), "groups")
-    # position in the group deals large groups into blocks; ids only, so a long list is cheap
-    sized = groups.groupBy("root").agg(F.count("*").alias("m"))
     # blocks by hash: about BLOCK texts each, no sort over a large group
-    dealt = (groups.join(sized, "root").join(sets.select(F.col("doc").alias("node"), "copies"), "node")
+    sized = groups.groupBy("root").agg(F.count("*").alias("m"))
+    dealt = (groups.join(sized, "root").join(sets.select("node", "doc", "th", "copies"), "node")
              .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
              .withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-             .select(F.col("node").alias("doc"), "root", "copies", "blocks", "block"))
-    dealt = small_or_shuffled(written(dealt, "dealt"), SMALL)
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("text")).join(dealt, "doc")
+             .select("doc", "th", "node", "root", "copies", "blocks", "block"))
+    dealt = written(dealt, "dealt")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc"), text_hash(text).alias("th"), F.col(f"`{text}`").cast("string").alias("text"))
+    # the candidates grow with the corpus: a merge join at every size
+    texts = texts.join(dealt.hint("merge"), ["doc", "th"])
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(
         F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j")))
-    rows = texts.select("root", "copies", "doc", "text", "block", F.explode(pair).alias("p")).select(
+    rows = texts.select("root", "copies", "node", "text", "block", F.explode(pair).alias("p")).select(
         "root", F.col("p.i").alias("i"), F.col("p.j").alias("j"),
-        F.when(F.col("block") == F.col("p.i"), 0).otherwise(1).alias("side"), "doc", "copies", "text")
+        F.when(F.col("block") == F.col("p.i"), 0).otherwise(1).alias("side"), "node", "copies", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "doc")
+    rows = rows.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node")
     found = written(compare_blocks(rows), "links")
-    classes = components(found.select(F.col("doc").alias("a"), F.col("tie").alias("b")))
-    links = found.groupBy("doc").agg(F.sum("n").alias("n"))
-    per_set = (sets.join(links, "doc", "left").join(classes.select(F.col("node").alias("doc"), "root"), "doc", "left")
-               .select("hi", "lo", F.coalesce("root", "doc").alias("class_id"),
-                       (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return sketch.select("doc", "hi", "lo").distinct().join(per_set, ["hi", "lo"]).select("doc", "class_id", "n_links")
+    linked = components(found.select(F.col("node").alias("a"), F.col("tie").alias("b"))).join(sets.select("node", "doc", "th"), "node")
+    first = linked.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("f"))
+    classes = linked.join(first, "root").select("node", F.col("f.doc").alias("class_id"), F.col("f.th").alias("first_th"))
+    links = found.groupBy("node").agg(F.sum("n").alias("n"))
+    per_set = sets.join(links, "node", "left").join(classes, "node", "left").select(
+        "hi", "lo", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("first_th", "th").alias("first_th"),
+        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return sketch.select("doc", "th", "hi", "lo").distinct().join(per_set, ["hi", "lo"]).select(
+        "doc", "th", "class_id", "first_th", "n_links")
 
 
 def join_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: id, class_id, n_links."""
-    found = near_duplicates(docs, id_col, text).groupBy("doc").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
-    ids = docs.select(F.col(f"`{id_col}`").alias("doc"))
-    return ids.join(found, "doc", "left").select(
+    ids = docs.select(F.col(f"`{id_col}`").alias("doc"), text_hash(text).alias("th"))
+    return ids.join(near_duplicates(docs, id_col, text), ["doc", "th"], "left").select(
         F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -257,7 +272,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest id. Rows that share an id stay together."""
-    found = near_duplicates(docs).where("doc <> class_id").select(F.col("doc").alias("_near_copy")).distinct()
-    found = small_or_shuffled(written(found, "near-copies"), SMALL)
-    return docs.join(found, docs["doc_id"] == F.col("_near_copy"), "left_anti")
+    """One document of each class stays: the one with the smallest id, of several texts under that id the one with the smallest hash.
+
+    Repeated rows (same id and text) stay or go together.
+    """
+    copies = near_duplicates(docs).where("doc <> class_id OR th <> first_th").select("doc", "th")
+    keyed = docs.select(in_row(docs), F.col("doc_id").alias("doc"), text_hash("text").alias("th"))
+    return keyed.join(written(copies, "near-copies").hint("merge"), ["doc", "th"], "left_anti").select(*row_fields(docs))
