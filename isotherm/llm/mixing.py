@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import let, small_or_shuffled, table, written
+from isotherm.llm.common import free_name, in_row, let, row_fields, small_or_shuffled, table, written
 
 ENTROPY = 0.9                   # target: share of the way from the natural entropy to the highest
 REPEATS = 4.0                   # a source's budget is at most so many times its tokens
@@ -136,26 +136,30 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
         id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs as drawn, a row per epoch, with struct _mix: source, n_tokens, weight, epoch, block_key, doc_key.
 
-    Reading order: epoch by epoch, within it by block_key, then doc_key.
+    Reading order: epoch by epoch, within it by block_key, then doc_key. Where docs has a column _mix, the struct is __mix.
     """
+    return _drawn(docs, budget, entropy, repeats, seed, id_col, text, source).select(
+        *row_fields(docs), F.col("mix").alias(free_name(docs, "_mix")))
+
+
+def _drawn(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, seed: str = SEED,
+           id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(row, mix): the columns of docs as a struct, and its place."""
     src, ident = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     n = count_tokens(F.col(f"`{text}`"))
     tokens = written(docs.select(src.alias("source"), ident.alias("id"), n.alias("n")), "mix-tokens")
     p = written(plan(tokens, budget, entropy, repeats, seed), "mix-plan")
-    p = small_or_shuffled(p.select(F.struct(*p.columns).alias("_plan"), F.col("source").alias("_src")), MAX_SENT)
+    p = small_or_shuffled(p.select(F.struct(*p.columns).alias("plan"), F.col("source").alias("src")), MAX_SENT)
     # the test for a word stops at the first one; a test of the count would count twice
-    rows = docs.where(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]")).join(p, src == F.col("_src")).withColumn("_n", n)
-    doc_key = _key(seed, src, ident)
-    rows = rows.withColumn("_doc_key", doc_key).select(*[F.col(f"`{c}`") for c in docs.columns], "_plan", "_n", "_doc_key",
-                                                       F.explode(F.sequence(F.lit(0).cast("long"), F.col("_plan.epochs"))).alias("_epoch"))
-    block_key = _key(seed, F.col("_plan.source"), F.col("_epoch").cast("string"), F.substring("_doc_key", 1, BLOCK_DIGITS))
-    q = F.col("_plan")
-    rows = rows.withColumn("_block_key", block_key)
-    taken = (F.col("_epoch") < q["epochs"]) | (F.col("_block_key") < q["cut_block"]) | (
-        (F.col("_block_key") == q["cut_block"]) & (F.col("_doc_key") <= q["cut_doc"]))
-    return rows.where(taken).select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
-        q["source"].alias("source"), F.col("_n").alias("n_tokens"), q["weight"].alias("weight"), F.col("_epoch").alias("epoch"),
-        F.col("_block_key").alias("block_key"), F.col("_doc_key").alias("doc_key")).alias("_mix"))
+    rows = docs.where(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]")).select(
+        in_row(docs), src.alias("src"), n.alias("n"), _key(seed, src, ident).alias("doc_key")).join(p, "src")
+    rows = rows.select("row", "plan", "n", "doc_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("plan.epochs"))).alias("epoch"))
+    q = F.col("plan")
+    rows = rows.withColumn("block_key", _key(seed, q["source"], F.col("epoch").cast("string"), F.substring("doc_key", 1, BLOCK_DIGITS)))
+    taken = (F.col("epoch") < q["epochs"]) | (F.col("block_key") < q["cut_block"]) | (
+        (F.col("block_key") == q["cut_block"]) & (F.col("doc_key") <= q["cut_doc"]))
+    return rows.where(taken).select("row", F.struct(
+        q["source"].alias("source"), F.col("n").alias("n_tokens"), q["weight"].alias("weight"), "epoch", "block_key", "doc_key").alias("mix"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,10 +168,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as drawn, with their place in the reading order."""
-    return mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_mix.epoch").alias("mix_epoch"),
-                            F.col("_mix.block_key").alias("mix_block"), F.col("_mix.doc_key").alias("mix_key"),
-                            F.col("_mix.weight").alias("mix_weight"))
+    """The documents as drawn, with their place in the reading order. A place of an earlier mix is replaced."""
+    place = {"mix_epoch": "epoch", "mix_block": "block_key", "mix_key": "doc_key", "mix_weight": "weight"}
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in place]
+    return _drawn(docs).select(*kept, *[F.col("mix").getField(f).alias(c) for c, f in place.items()])
 
 
 def _sql() -> str:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import count_matching, let, split_words, table
+from isotherm.llm.common import count_matching, in_row, let, row_fields, split_words, table
 from isotherm.session import cut
 
 MIN_WORDS = 50
@@ -252,14 +252,13 @@ def judge(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text: st
 
 def keep_good(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
     """The documents that the base rule and the list keep, with all their columns."""
-    stats = docs.withColumn("_quality_stats", statistics(F.col(text)))
-    s = F.col("_quality_stats")
+    stats = docs.select(in_row(docs), statistics(F.col(f"`{text}`")).alias("stats"))
+    s = F.col("stats")
     flat = F.struct(*[s[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_marks", "n_upper", "n_distinct_words",
                                               "n_repeat_words")],
                     s["lines"]["n"].alias("n_lines"), s["lines"]["dup"].alias("n_dup_lines"))
-    stats = stats.withColumn("_quality_stats", flat)
-    s = F.col("_quality_stats")
-    return stats.where(~base_failed(s) & rules.verdict(s)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stats = stats.withColumn("stats", flat)
+    return stats.where(~base_failed(s) & rules.verdict(s)).select(*row_fields(docs))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,19 @@ def test_jaccard_join_odd(spark, odd, none):
     assert sorted(neardup.stage(spark, odd, SF).columns) == sorted(odd.columns)
 
 
+def test_jaccard_join_rows_that_share_an_id(spark):
+    """Of two texts under one id each has its own links; in the pipeline the near copy goes and the other text stays."""
+    a = " ".join(f"w{i}" for i in range(300))
+    b = " ".join(f"v{i}" for i in range(300))
+    data = [(1, a), (5, a + " more"), (5, b), (5, b), (7, b + " more"), (9, "c d e f g h"), (9, "c, d, e f g h")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.join_links(df).collect())
+    assert got == [(1, 1, 1), (5, 1, 1), (5, 5, 1), (5, 5, 1), (7, 5, 1), (9, 9, 0), (9, 9, 0)]
+    kept = Counter((r.doc_id, r.text) for r in neardup.stage(spark, df, SF).collect())
+    assert kept.pop((9, "c d e f g h"), 0) + kept.pop((9, "c, d, e f g h"), 0) == 1
+    assert kept == {(1, a): 1, (5, b): 2}
+
+
 def test_bayes_bounds():
     least = neardup.least_matches()
     # all equal always stays, a pair at the threshold almost surely
@@ -87,6 +100,31 @@ def test_lines_against_brute_force(spark, docs):
     assert {r.doc: set(r.gone) for r in lines.removed_lines(df).collect()} == brute.kept_lines(data)
 
 
+def test_lines_rows_that_share_an_id(spark):
+    line = "a repeated line of the table"
+    data = [(1, line), (5, f"{line}\nown words A"), (5, "a unique line that nobody has\nquite another end"), (5, f"x\n{line}\ny"),
+            (8, "first said here under eight\nz"), (8, "q\nfirst said here under eight"), (8, "q\nfirst said here under eight")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in lines.drop_lines(df, min_words=1).collect())
+    # under one id the smaller line number is earlier; repeated rows are one document
+    assert got == {(1, line): 1, (5, "own words A"): 1, (5, data[2][1]): 1, (5, "x\ny"): 1, (8, data[4][1]): 1, (8, "q"): 2}
+
+
+def test_lines_of_any_length_within_one_edit(spark):
+    """near_chars 0 against comparing all pairs."""
+    rng = random.Random(4)
+    data = [(i, "\n".join("".join(rng.choice("ab ") for _ in range(rng.randint(0, 11))) for _ in range(3))) for i in range(60)]
+    seen, gone = [], {}
+    for d, t in data:
+        for no, line in enumerate(lines.normal(x) for x in t.split("\n")):
+            if line:
+                if any(lines.within_one(p, line) for p in seen):
+                    gone.setdefault(d, set()).add(no)
+                seen.append(line)
+    got = lines.removed_lines(spark.createDataFrame(data, "doc_id long, text string"), min_words=1, near_chars=0).collect()
+    assert {r.doc: set(r.gone) for r in got} == gone
+
+
 def test_lines_one_edit(spark):
     line = "the quick brown fox jumps over it"
     data = [(1, line), (2, line.replace("quick", "quack")), (3, line.replace("quick", "quik")), (4, line + "s"), (5, "x" + line),
@@ -326,10 +364,48 @@ def test_feistel_is_a_permutation(spark):
 
 
 def test_pseudonyms_odd(odd, none):
-    got = pii.pseudonymise(odd)
+    got = pii.pseudonymise(odd, "k")
     assert [c for c in got.columns if c != "_pii"] == odd.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(rows(odd), key=repr)
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0
+
+
+@pytest.mark.parametrize("size", [120, 300, 1000, 5000])
+def test_pseudonyms_of_long_mail_addresses(spark, size):
+    domain = ".".join(["label7"] * (size // 7))
+    data = [(1, f"to x1@{domain}.com now"), (2, f"to x1@{domain}.com now"), (3, f"to x2@{domain}.com now"), (4, f"to x1@{domain[:-1]}8.com now")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(data, "doc_id long, text string"), "k").collect()}
+    shape = lambda s: re.sub("[a-z]", "a", re.sub(r"\d", "9", s))
+    assert all(shape(got[i]) == shape(t) and got[i] != t for i, t in data)
+    assert got[1] == got[2] and len(set(got.values())) == 3
+
+
+# ---- columns named like helpers -------------------------------------------------------------------
+
+
+def test_columns_named_like_helpers(spark):
+    """Every stage and function keeps columns of any name as they are."""
+    names = ["_doc", "_gone", "_lines", "_plan", "_src", "_epoch", "_n", "_doc_key", "_block_key", "_near_copy", "_quality_stats", "_pii", "_mix",
+             "mix_epoch", "row", "doc", "th", "gone", "plan", "src", "n", "doc_key", "epoch", "mix", "stats", "made", "left", "key", "node"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    df = spark.createDataFrame(docs.collect(), docs.schema).select("*", *[F.concat(F.lit(f"{x} "), F.col("doc_id")).alias(x) for x in names])
+    before = df.columns
+
+    def same(out, but=()):
+        for r in out.collect():
+            assert all(r[x] == f"{x} {r.doc_id}" for x in names if x not in but)
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == before, name
+        same(out)
+    out = corpus_pipeline.STAGES[-1][1](spark, df, SF)
+    # the place of an earlier mix is replaced
+    assert len(set(out.columns)) == len(out.columns) and all(isinstance(r.mix_epoch, int) for r in out.collect())
+    same(out, ["mix_epoch"])
+    for out in (pii.pseudonymise(df, "k"), lines.drop_lines(df), mixing.mix(df)):
+        assert out.columns[:-1] == before and out.columns[-1].startswith("__")
+        same(out)
 
 
 # ---- mixing --------------------------------------------------------------------------------------
