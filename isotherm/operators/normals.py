@@ -2,118 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotherm.functions.calendar import day_index
+from isotherm.functions.numbers import quantile_of_sorted
 from isotherm.operators.common import of_period, with_value
 
 REACH = 7
-CHUNK = 61          # 366 = 6 chunks of 61 calendar days
-CHUNKS = 366 // CHUNK
+LAST = 365          # calendar days are 0..365
 
 
 def _around(days: DataFrame, means: list[str], pooled: str) -> DataFrame:
     """Moving pool over the circular calendar.
 
-    A day goes to the chunk of calendar days it lies in, and again to the next chunk if it is
-    within reach of it: 1.23 copies instead of the 15 that a copy per target day would cost.
-    One shuffle by (station, chunk) then serves everything that follows and splits a heavy
-    station six ways; a chunk holds at most 75 calendar days of the thirty years. The moving
-    sort of a chunk is done on arrays: as lambda expressions it took most of the time.
+    Days are gathered once per calendar day (sums, and the pooled values as one array: at most one
+    per year); on a table bucketed by station that needs no exchange. From here on a station has at
+    most 380 rows, whatever its length: the calendar with both ends repeated beyond the turn of the
+    year, and a row without days wherever no year has one. A frame of fifteen rows then adds the sums and
+    gathers the arrays, which are sorted once per calendar day as plain numbers.
     """
-    k, chunk = F.col("k"), F.floor(F.col("k") / CHUNK).cast("int")
-    inside = F.pmod(k, F.lit(CHUNK))
-    own = F.struct(chunk.alias("stueck"), k.alias("pos"))
-    down = F.struct(
-        F.pmod(chunk - 1, F.lit(CHUNKS)).alias("stueck"),
-        F.when(chunk == 0, k + 366).otherwise(k).alias("pos"))
-    up = F.struct(
-        F.pmod(chunk + 1, F.lit(CHUNKS)).alias("stueck"),
-        F.when(chunk == CHUNKS - 1, k - 366).otherwise(k).alias("pos"))
-    places = (
-        F.when(inside < REACH, F.array(own, down))
-        .when(inside >= CHUNK - REACH, F.array(own, up))
-        .otherwise(F.array(own))
-    )
-    wanted = list(dict.fromkeys([*means, pooled]))
+    pos, own = F.col("pos"), F.col("p") == F.col("pos")
+    wanted = list(dict.fromkeys(means))
+    gathered = days.groupBy("station", day_index(F.col("datum")).alias("k")).agg(
+        *[F.sum(m).alias(f"_s_{m}") for m in wanted], *[F.count(m).alias(f"_n_{m}") for m in wanted],
+        F.collect_list(pooled).alias("_v"))
+    again = (
+        F.when(F.col("k") < REACH, F.array("k", F.col("k") + LAST + 1))
+        .when(F.col("k") > LAST - REACH, F.array("k", F.col("k") - LAST - 1)).otherwise(F.array("k")))
+    order = Window.partitionBy("station").orderBy("pos")
+    # a row also stands for the gap behind it, the first one for the days before it as well
+    since = F.when(F.lag("pos").over(order).isNull(), F.least(pos, F.greatest(pos - REACH, F.lit(0)))).otherwise(pos)
+    until = F.coalesce(F.lead("pos").over(order) - 1, F.greatest(pos, F.least(pos + REACH, F.lit(LAST))))
     rows = (
-        days.select("station", day_index(F.col("datum")).alias("k"), *wanted)
-        .select("station", F.explode(places).alias("p"), *wanted)
-        .select("station", "p.stueck", "p.pos", *wanted)
-        .repartition("station", "stueck")
-        .sortWithinPartitions("station", "stueck", "pos")
+        gathered.withColumn("pos", F.explode(again)).withColumns({"_since": since, "_until": until})
+        .withColumn("p", F.explode(F.sequence("_since", "_until")))
     )
-    names = [*means, "p10", "p90"]
-    schema = "station int, k int, " + ", ".join(f"{n} double" for n in names)
-
-    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Chunks come one after another; the last of a batch may go on in the next."""
-        rest = None
-        for batch in batches:
-            if rest is not None:
-                batch = pd.concat([rest, batch], ignore_index=True)
-            starts = _starts(batch)
-            if len(starts):
-                yield from _pooled(batch.iloc[:starts[-1]], starts[:-1], means, pooled, names)
-                rest = batch.iloc[starts[-1]:]
-        if rest is not None and len(rest):
-            yield from _pooled(rest, _starts(rest), means, pooled, names)
-
-    return rows.mapInPandas(pool, schema)
-
-
-def _starts(rows: pd.DataFrame) -> np.ndarray:
-    station, chunk = rows["station"].to_numpy(), rows["stueck"].to_numpy()
-    if not len(station):
-        return np.empty(0, dtype=int)
-    new = (station[1:] != station[:-1]) | (chunk[1:] != chunk[:-1])
-    return np.concatenate([[0], np.flatnonzero(new) + 1])
-
-
-def _pooled(rows: pd.DataFrame, starts: np.ndarray, means: list[str], pooled: str,
-            names: list[str]) -> Iterator[pd.DataFrame]:
-    """Normals of whole chunks, sorted by position."""
-    if not len(starts):
-        return
-    station, chunk, pos = (rows[c].to_numpy() for c in ("station", "stueck", "pos"))
-    columns = {c: rows[c].to_numpy(dtype=float, na_value=np.nan) for c in {*means, pooled}}
-    out = {n: [] for n in ["station", "k", *names]}
-    for a, b in zip(starts, [*starts[1:], len(rows)]):
-        first = chunk[a] * CHUNK
-        k = np.arange(first, first + CHUNK)
-        p = pos[a:b]
-        lo, hi = np.searchsorted(p, k - REACH, "left"), np.searchsorted(p, k + REACH, "right")
-        some = hi > lo
-        out["station"].append(np.full(some.sum(), station[a]))
-        out["k"].append(k[some])
-        for m in means:
-            v = columns[m][a:b]
-            sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(v))])
-            counts = np.concatenate([[0], np.cumsum(~np.isnan(v))])
-            n = counts[hi] - counts[lo]
-            out[m].append(np.where(n > 0, (sums[hi] - sums[lo]) / np.maximum(n, 1), np.nan)[some])
-        # one row of slots per calendar day, then a window of fifteen rows per target
-        slot = p - (first - REACH)
-        at = np.arange(b - a) - np.searchsorted(p, p, "left")
-        grid = np.full((CHUNK + 2 * REACH, at.max() + 1), np.nan)
-        grid[slot, at] = columns[pooled][a:b]
-        near = np.lib.stride_tricks.sliding_window_view(grid, 2 * REACH + 1, axis=0)
-        near = np.sort(near.reshape(CHUNK, -1), axis=1)       # missing values last
-        n = (~np.isnan(near)).sum(axis=1)
-        for name, share in (("p10", 0.1), ("p90", 0.9)):
-            where = np.maximum(n - 1, 0) * share
-            low, high = np.floor(where).astype(int), np.ceil(where).astype(int)
-            each = np.arange(CHUNK)
-            value = near[each, low] + (near[each, high] - near[each, low]) * (where - low)
-            out[name].append(np.where(n > 0, value, np.nan)[some])
-    frame = pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
-    # NaN means no value: hand it over as NULL
-    yield frame.astype({"station": "int32", "k": "int32"} | {n: "Float64" for n in names})
+    near = Window.partitionBy("station").orderBy("p").rangeBetween(-REACH, REACH)
+
+    def total(name):
+        return F.sum(F.when(own, F.col(name))).over(near)
+
+    pools = rows.select(
+        "station", "p", F.count(F.when(own, 1)).over(near).alias("_days"),
+        *[F.try_divide(total(f"_s_{m}"), total(f"_n_{m}")).alias(m) for m in wanted],
+        F.collect_list(F.when(own, F.col("_v"))).over(near).alias("_pool"),
+    ).where(F.col("p").between(0, LAST) & (F.col("_days") > 0))
+    return pools.withColumn("_pool", F.sort_array(F.flatten("_pool"))).select(
+        "station", F.col("p").alias("k"), *means,
+        quantile_of_sorted(F.col("_pool"), 0.1).alias("p10"), quantile_of_sorted(F.col("_pool"), 0.9).alias("p90"))
 
 
 def day_normals(c: DataFrame, nv: int = 1991) -> DataFrame:

@@ -10,26 +10,46 @@ from isotherm.functions.numbers import displayed, quantile_of_sorted
 from isotherm.operators.common import (
     in_period, of_period, of_year, with_first_dates, with_value, year_curves,
 )
-from isotherm.operators.waves import dry_spells
+from isotherm.operators.waves import longest_dry
 from isotherm.schema import COVERAGE, FULL_YEAR, WET
 
 
-def yearly_totals(c: DataFrame, column: str = "rsk") -> DataFrame:
-    """Sum, days, wet days and largest day; for rain also the longest dry spell."""
+def totals_with_end(c: DataFrame, column: str) -> DataFrame:
+    """The yearly totals, and ``ende``: the year's last day with a value."""
     v = F.col(column)
     rows = c.groupBy("station", F.year("datum").alias("jahr")).agg(
         F.coalesce(F.sum(v), F.lit(0.0)).alias("summe"), F.count(v).alias("tage"),
-        F.count_if(v >= WET).alias("nass"), F.max(v).alias("max"))
+        F.count_if(v >= WET).alias("nass"), F.max(v).alias("max"),
+        F.max(F.when(v.isNotNull(), F.col("datum"))).alias("ende"))
     rows = with_first_dates(rows, c, {"station": F.col("station"), "jahr": F.year("datum")},
                             {"max_datum": (column, "max")})
     rows = rows.select(
         "station", "jahr", "summe", "tage",
         ("nass" if column == "rsk" else F.lit(None).cast("bigint").alias("nass")),
-        "max", "max_datum")
+        "max", "max_datum", "ende")
     if column != "rsk":
         return rows.withColumns({"trocken": F.lit(None).cast("int"),
                                  "trocken_von": F.lit(None).cast("date")})
-    return rows.join(dry_spells(c), ["station", "jahr"], "left")
+    return rows.join(longest_dry(c), ["station", "jahr"], "left").withColumn(
+        "trocken", F.coalesce("trocken", F.lit(0)))
+
+
+def yearly_totals(c: DataFrame, column: str = "rsk") -> DataFrame:
+    """Sum, days, wet days and largest day; for rain also the longest dry spell."""
+    return totals_with_end(c, column).drop("ende")
+
+
+def placed(years: DataFrame, nv: int, min_days: int) -> DataFrame:
+    """Years with place, mean and number of years of the period; years that are not full have no place."""
+    full, whole = F.col("tage") >= min_days, Window.partitionBy("station")
+    first = Window.partitionBy("station", full).orderBy(displayed(F.col("summe"), 1).desc(), F.col("jahr"))
+    usual = F.when(full & in_period(nv), F.col("summe"))
+    return years.withColumns({
+        "platz": F.when(full, F.row_number().over(first)),
+        "normal": F.avg(usual).over(whole),
+        # none where a station has no full year at all
+        "normal_jahre": F.when(F.max(full).over(whole), F.count(usual).over(whole)),
+    })
 
 
 def totals_rank(c: DataFrame, column: str = "rsk", nv: int = 1991,
@@ -38,15 +58,8 @@ def totals_rank(c: DataFrame, column: str = "rsk", nv: int = 1991,
     years = (
         with_value(c, column).groupBy("station", F.year("datum").alias("jahr"))
         .agg(F.sum(column).alias("summe"), F.count(F.lit(1)).alias("tage"))
-        .where(F.col("tage") >= min_days)
     )
-    whole = Window.partitionBy("station")
-    return years.withColumns({
-        "platz": F.row_number().over(
-            whole.orderBy(displayed(F.col("summe"), 1).desc(), F.col("jahr"))),
-        "normal": F.avg(F.when(in_period(nv), F.col("summe"))).over(whole),
-        "normal_jahre": F.count(F.when(in_period(nv), 1)).over(whole),
-    })
+    return placed(years.where(F.col("tage") >= min_days), nv, min_days)
 
 
 def cumulative(c: DataFrame, column: str = "rsk", jahr: int | None = None) -> DataFrame:

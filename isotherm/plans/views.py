@@ -35,19 +35,19 @@ def year_summary(obs: DataFrame, level="alle", jahr: int | None = None, nv: int
 
 def totals_summary(c: DataFrame, column: str = "rsk", jahr: int | None = None, nv: int = 1991,
                    min_days: int = FULL_YEAR) -> DataFrame:
-    """Per station and year: totals with place and normal, and the curve's end beside the band."""
-    all_years = totals.yearly_totals(c, column)
-    rank = totals.totals_rank(c, column, nv, min_days).select("station", "jahr", "platz", "normal", "normal_jahre")
-    end = totals.cumulative(c, column, jahr).groupBy("station", "jahr").agg(
-        F.max(F.struct("k", "kumuliert")).alias("_e")).select(
-        "station", "jahr", F.col("_e.k").alias("k"), F.col("_e.kumuliert").alias("stand"))
+    """Per station and year: totals with place and normal, and the curve's end beside the band.
+
+    Place, normal and the end of the curve (the year's sum, on its last day with a value) all come from
+    the yearly totals; the days are read for those, their dates, the dry spells and the band.
+    """
+    years = totals.placed(totals.totals_with_end(c, column), nv, min_days)
+    some = F.col("tage") > 0
+    wanted = F.lit(int(jahr)) if jahr is not None else F.max(F.when(some, F.col("jahr"))).over(Window.partitionBy("station"))
+    shown = years.withColumn("_shown", some & (F.col("jahr") == wanted)).withColumns({
+        "k": F.when(F.col("_shown"), day_index(F.col("ende"))),
+        "stand": F.when(F.col("_shown"), F.col("summe"))}).drop("ende", "_shown")
     band = totals.cumulative_band(c, column, nv, min_days).select("station", "k", "p10", "p50", "p90")
-    return (
-        all_years.join(rank, ["station", "jahr"], "left")
-        # the same for every full year of a station; one row per year here
-        .withColumns({n: F.max(n).over(Window.partitionBy("station")) for n in ("normal", "normal_jahre")})
-        .join(end, ["station", "jahr"], "left").join(band, ["station", "k"], "left")
-    )
+    return shown.join(band, ["station", "k"], "left")
 
 
 def failed_stations(failed: DataFrame, pattern: str = r"_(\d{5})_") -> DataFrame:
