@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM = 3
+SALTS = 32
 
 
 def _words(text: Column) -> Column:
@@ -56,8 +57,12 @@ def _meet(queries: DataFrame, texts: DataFrame, indexed: Column) -> DataFrame:
         .groupBy("anfrage").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
         .where("r.n > 0").select("anfrage", F.col("r.gram").alias("gram"))
     )
-    met = index.join(rarest, "gram").select("anfrage", "id")
-    return met.join(asked, "anfrage").join(texts, "id")
+    # index and texts grow with the table: its compressed files may look small enough to be sent round, its
+    # rows are not. A semi-join sends its right side at most; a common piece is dealt out by its texts' ids
+    few = index.join(rarest.select("gram").distinct(), "gram", "left_semi").withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    dealt = rarest.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = few.hint("merge").join(dealt, ["gram", "_s"]).select("anfrage", "id")
+    return met.join(asked, "anfrage").join(texts.hint("merge"), "id")
 
 
 def _begins_a_part(w: Column, name: Column, marks: tuple[str, ...]) -> Column:

@@ -133,6 +133,17 @@ def test_search(spark):
     assert got == {1: [(0, 44), (2, 144)], 2: [(4, 3), (4, 4)], 3: [(4, 44)]}
 
 
+def test_search_sends_no_texts_round(spark, tmp_path):
+    spark.range(50).selectExpr("cast(id as int) id", "concat('Ort ', id) name", "1 einwohner", "false gipfel", "1 hoehe").write.parquet(str(tmp_path / "p"))
+    places = spark.read.parquet(str(tmp_path / "p"))
+    q = spark.createDataFrame([(1, "ort 7")], "anfrage int, text string")
+    found = X.search_places(q, places)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sent = [part for part in plan.split("BroadcastExchange")[1:] if "einwohner" in part.split("Exchange")[0]]
+    assert not sent and "SortMergeJoin [id" in plan
+    assert [r.id for r in found.collect()] == [7, 17, 27, 37, 47]
+
+
 def test_gazetteer_and_cities(spark, tmp_path):
     def row(i, name, cls, code, state, people, h, model):
         cells = [""] * 19
