@@ -168,3 +168,46 @@ def test_daylight(spark):
     assert [r.hell for r in with_daylight(df).collect()] == [True, False, True, False]
     high = df.limit(1).select(sun_elevation(F.unix_timestamp("zeit"), F.col("lat"), F.col("lon")).alias("h")).collect()[0].h
     assert high == pytest.approx(90 - 51.5 + 23.44, abs=.5)
+
+
+def _most_joined(df):
+    """Most rows that a join of the plan made, after running it."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            if "Join" in name:
+                most = max(most, node.metrics().get("numOutputRows").get().value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_dense_stations_are_not_all_met(spark):
+    rng = random.Random(5)
+    st = [(i, "s", "l", rng.randrange(0, 900), rng.uniform(50.01, 50.24), rng.uniform(10.01, 10.24), D(1950, 1, 1), D(2026, 1, 1)) for i in range(1500)]
+    pts = [(i, rng.uniform(50.01, 50.24), rng.uniform(10.01, 10.24), rng.choice((None, rng.randrange(0, 900)))) for i in range(150)]
+    sdf, pdf = spark.createDataFrame(st, ST), spark.createDataFrame(pts, PT)
+    everything = len(st) * len(pts)
+    near = G.nearest_station(pdf, sdf, False)
+    assert _most_joined(near) < everything / 4
+    assert {r.punkt: r.km for r in near.collect()} == {i: pytest.approx(min(km(a, b, s[4], s[5]) for s in st), abs=1e-6) for i, a, b, h in pts}
+    places = sdf.selectExpr("id", "name", "id % 9 = 0 gipfel", "lat", "lon")
+    assert _most_joined(G.place_name(pdf, places)) < everything / 4
+    named = {r.punkt: r.ort for r in G.place_name(pdf, places).collect()}
+    for i, a, b, h in pts:
+        by = sorted((km(a, b, s[4], s[5]), s[0]) for s in st)
+        peak = [x for x in by if x[1] % 9 == 0 and x[0] < 0.5]
+        assert named[i] == (peak or [x for x in by if x[1] % 9])[0][1]
+
+
+def test_place_name_beyond_the_nearest_one_outside_the_box(spark):
+    # 1 is nearer but 151 thousandths to the north; 2 lies in the corner of the box
+    places = spark.createDataFrame([(1, "Nord", False, 50.151, 10.0), (2, "Ecke", False, 50.14, 10.24)], "id int, name string, gipfel boolean, lat double, lon double")
+    p = spark.createDataFrame([(1, 50.0, 10.0, None)], PT)
+    assert [(r.ort, r.name) for r in G.place_name(p, places).collect()] == [(2, "bei Ecke")]
