@@ -2,8 +2,8 @@
 
 1. Shards. A task deals its texts into shards of at most SHARD words of one language: the words seen
    (a local dictionary with counts) and the stream of their numbers, with 0 between pieces.
-2. Words. The dictionaries add up to the counts of all words. Words of MIN_COUNT or more get
-   numbers, from 1; the streams are rewritten with them, all other words become 0: a phrase that
+2. Words. The dictionaries' entries meet by word, once, and add up to the counts of all words. Words
+   of MIN_COUNT or more get numbers, from 1; the streams are rewritten with them, all other words become 0: a phrase that
    holds one cannot be frequent.
 3. Phrases of 2, 3, 4, 5 words. A phrase is packed: its word numbers stand side by side in as few
    64-bit lanes as hold them. A permutation of the lanes that can be inverted spreads the
@@ -40,6 +40,7 @@ MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 SHARD = 1_000_000               # words of a shard; a longer text is a shard of its own
 RANGE = 1_000_000               # phrases that a range is sized for
 SALTS = 64
+BUCKETS = 256                   # groups of words that are numbered together
 
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -226,18 +227,24 @@ def shards(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return written(made.withColumn("shard", F.monotonically_increasing_id()), "shards")
 
 
-def frequent_words(words: DataFrame, min_count: int) -> DataFrame:
-    """(lang, word, f, id) with ids from 1 without gaps."""
-    found = written(words.where(F.col("f") >= min_count).withColumn("_m", F.monotonically_increasing_id()), "words")
-    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    before, starts = 0, []
-    # one row per partition
-    for r in found.groupBy(part.alias("p")).count().orderBy("p").collect():
-        starts.append((r.p, before))
-        before += r["count"]
-    start = found.sparkSession.createDataFrame(starts, "p bigint, before bigint")
-    return written(found.withColumn("p", part).join(F.broadcast(start), "p").select(
-        "lang", "word", "f", (F.col("before") + place + 1).cast("int").alias("id")), "word-ids")
+def frequent_words(shard: DataFrame, min_count: int) -> DataFrame:
+    """(lang, word, f, id, shard, pos): frequent words with ids from 1 without gaps, and their places in the dictionaries.
+
+    All entries of a word lie in one of BUCKETS, where windows add them up and number the words.
+    """
+    bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(BUCKETS)).cast("int")
+    entries = shard.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select(
+        "lang", F.col("x.words").alias("word"), "shard", "pos", F.col("x.counts").alias("n")).withColumn("b", bucket)
+    of_word, of_bucket = W.partitionBy("b", "lang", "word"), W.partitionBy("b").orderBy("lang", "word")
+    often = entries.repartition(BUCKETS, "b").withColumn("f", F.sum("n").over(of_word)).where(F.col("f") >= min_count)
+    found = written(often.withColumn("r", F.dense_rank().over(of_bucket)).drop("n"), "words")
+    before, starts = 0, [0] * BUCKETS
+    # one row per bucket
+    for r in found.groupBy("b").agg(F.max("r").alias("n")).orderBy("b").collect():
+        starts[r.b] = before
+        before += r.n
+    return found.withColumn("id", (F.element_at(F.array(*map(F.lit, starts)), F.col("b") + 1) + F.col("r")).cast("int")).select(
+        "lang", "word", "f", "id", "shard", "pos")
 
 
 def windows(stream: np.ndarray, k: int) -> np.ndarray:
@@ -277,10 +284,9 @@ def _rows_out(rows, names, types):
 _STEP_OUT = (["shard", "lang", "range", "data"], [pa.int64(), pa.string(), pa.int64(), pa.binary()])
 
 
-def first_step(shard: DataFrame, ids: DataFrame, packing: Packing, range_bits: int) -> DataFrame:
+def first_step(shard: DataFrame, often: DataFrame, packing: Packing, range_bits: int) -> DataFrame:
     """Streams of frequent words' numbers and the filters of their phrases of two words."""
-    places = shard.select("shard", "lang", F.posexplode("words").alias("pos", "word")).join(
-        ids.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("pos", "id")).alias("ids"))
+    places = often.groupBy("shard").agg(F.collect_list(F.struct("pos", "id")).alias("ids"))
     rows = shard.select("shard", "lang", F.size("words").alias("n"), "stream").join(places, "shard").select(
         "shard", "lang", "n", "stream", "ids.pos", "ids.id")
 
@@ -431,12 +437,11 @@ def count_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", min_c
                   longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrases (ids, f) of one to longest words, words (lang, word, f, id), totals (lang, n)), all counts exact."""
     shard = shards(docs, lang, text)
-    words = written(shard.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(
-        "lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f")), "all-words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    ids = frequent_words(words, min_count)
+    totals = shard.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n)).alias("n"))
+    often = frequent_words(shard, min_count)
+    ids = written(often.select("lang", "word", "f", "id").distinct(), "word-ids")
     grams = ids.select(F.array("id").alias("ids"), "f")
-    most, total = ids.agg(F.max("id")).first()[0], words.agg(F.sum("f")).first()[0]
+    most, total = ids.agg(F.max("id")).first()[0], totals.agg(F.sum("n")).first()[0]
     if most:
         bits = int(most).bit_length()
         step = known = before = None
@@ -444,7 +449,7 @@ def count_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", min_c
             packing = Packing(k, bits)
             # ranges by what can be there at most: all words, later the phrases found before
             spread = min(packing.widths[0], max(4, (total // RANGE).bit_length()))
-            step = first_step(shard, ids, packing, spread) if k == 2 else next_step(step, known, before, packing, spread)
+            step = first_step(shard, often, packing, spread) if k == 2 else next_step(step, known, before, packing, spread)
             counts = merged_counts(step, packing, spread, min_count)
             grams = grams.unionByName(counts.where("ids is not null").select("ids", "f"))
             known, before = counts.where("shard is not null").select("shard", "data"), packing
