@@ -3,6 +3,7 @@ import datetime as dt
 import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,39 @@ def test_windows(spark):
         B.check_bbox((0, 0, 1200, 10))
 
 
+def test_crop_around_is_whole(spark):
+    rng = random.Random(7)
+    t = [dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 1, 0, 5), None]
+    px = [(rng.randrange(395, 440), rng.randrange(295, 345), rng.choice(t), n % 900, n % 3) for n in range(700)]
+    px += px[:30] + [(None, 300, t[0], 1, 1), (400, None, t[0], 2, 2), (-1, 300, t[0], 3, 3), (5000, 300, t[1], 4, 4)]
+    pt = [(n % 310, rng.uniform(300, 335), rng.uniform(400, 430)) for n in range(330)] + [(None, 310.0, 410.0), (1, None, 410.0), (2, 310.0, None), (3, -9.0, 2000.0)]
+    frames = spark.createDataFrame(px, "zeile int, spalte int, timestamp timestamp, by int, wert int").repartition(3)
+    for km in (1, 60, None):
+        points = spark.createDataFrame(pt if km else pt[::20], "id int, gx double, gy double").repartition(3)
+        boxes = [tuple(r) for r in B.windows_around(points, km).collect()]
+        # a pixel without a frame is in none; without frames at all there is no such column
+        for pixels, held in ((frames, [p for p in px if p[2]]), (frames.drop("timestamp"), px)):
+            got = B.crop_around(pixels, points, km)
+            order = [pixels.columns.index(c) for c in got.columns[:-1]]
+            plain = [(*p[:2], *p[3:]) if "timestamp" not in pixels.columns else p for p in held]
+            want = Counter((*(p[i] for i in order), i_d) for p in plain for i_d, o, li, u, re in boxes
+                           if None not in (o, li, p[0], p[1]) and o <= p[0] <= u and li <= p[1] <= re)
+            assert got.columns == [*(["timestamp"] if "timestamp" in pixels.columns else []), *(c for c in pixels.columns if c != "timestamp"), "id"]
+            assert Counter(tuple(r) for r in got.collect()) == want
+
+
+def test_crop_around_is_stored_as_runs(spark, tmp_path):
+    """The rows grow with pixels times windows; the bytes of most of them are to be runs and repeats."""
+    rng = random.Random(8)
+    px = [(n, rng.randrange(400, 464), rng.randrange(300, 364)) for n in rng.sample(range(10**9), 2000)]
+    pt = [(n, rng.uniform(290, 370), rng.uniform(390, 470)) for n in rng.sample(range(10**9), 1500)]
+    got = B.crop_around(spark.createDataFrame(px, "nr long, zeile int, spalte int"), spark.createDataFrame(pt, "id int, gx double, gy double"), 60)
+    got.write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    assert rows > 800_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.8 * rows
+
+
 def test_frames_and_classes(spark):
     packed = base64.b64encode(zlib.compress(bytes([0, 0, 10, 0, 1, 1, 209, 0]))).decode()
     df = spark.createDataFrame([(dt.datetime(2026, 1, 1), packed)], "timestamp timestamp, precipitation_5 string")
